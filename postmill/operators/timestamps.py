@@ -28,9 +28,9 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 _MONTH = {name[:n]: i + 1 for i, name in enumerate(_MONTHS) for n in {3, len(name)}} | {"sept": 9}
 
-_TIME = r"(?P<H>9{1,2}):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?(?: ?(?P<half>aa))?"
+_TIME = r"(?P<H>9{1,2}):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?(?: ?(?P<half>aa)(?!a))?"
 _BASIC_TIME = r"(?P<H>99)(?P<M>99)(?:(?P<S>99)(?:[.,](?P<f>9{1,12}))?)?"
-_ZONE = r"(?: ?(?P<off>[+-]99:?99|[+-]99)| ?(?P<zone>a{1,4}|a+(?:/a+(?:_a+)*)+))?"
+_ZONE = r"(?: ?(?P<off>[+-]99:?99|[+-]99)| (?P<zone>a{1,4}|a+(?:/a+(?:_a+)*)+)|(?P<z>a))?"
 _DATES = (
     r"(?P<Y>9{4})(?P<sep>[-/.])(?P<m>9{1,2})(?P=sep)(?P<d>9{1,2})",
     r"(?P<Y>9{4})-(?P<yday>999)",
@@ -140,11 +140,11 @@ def _instants(values: np.ndarray, mask: str, zones: np.ndarray, styles: np.ndarr
     else:
         names = zones
         fixed = np.zeros(n, dtype=bool)
-        if "zone" in at:
-            names = word("zone")
+        if "zone" in at or "z" in at:
+            names = word("zone" if "zone" in at else "z")
             minutes = _by_word(names, lambda w: ABBREVIATIONS.get(w.upper(), 10**6) if "/" not in w else 10**6)
             fixed = minutes < 10**6
-            ok &= fixed | ("/" in mask[at["zone"]])
+            ok &= fixed | ("/" in mask)
             sec = wall - np.where(fixed, minutes, 0) * 60
         else:
             sec = wall.copy()
