@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 from postmill.llm.encode import encode_texts
 from postmill.llm.leak import find_leaks
+from postmill.llm.lines import repeated_blocks, without_blocks
 from postmill.session import table
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_blocks(table(spark, d, "ashby")).select("board", F.col("lines")[0].alias("line"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Each description without the lines that its board repeats."""
+    ashby = table(spark, d, "ashby").select("board", "id", "descriptionPlain")
+    return without_blocks(ashby, repeated_blocks(ashby)).select("board", "id", "clean_text").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -31,5 +42,26 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).distinct()
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages}
-SQL: dict[str, str] = {}
+QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages}
+
+_LINES = r"""
+WITH line_rows AS (
+    SELECT board, id, pos, raw, lower(trim(regexp_replace(raw, '[\s\p{Z}\x85\x1c-\x1f]+', ' ', 'g'))) AS line
+    FROM (SELECT DISTINCT board, id, descriptionPlain,
+                 unnest(string_split(descriptionPlain, chr(10))) AS raw,
+                 unnest(range(len(string_split(descriptionPlain, chr(10))))) AS pos FROM ashby)
+), totals AS (SELECT board, count(DISTINCT id) AS total FROM ashby GROUP BY board),
+found AS (
+    SELECT board, line FROM line_rows JOIN totals USING (board) WHERE line <> ''
+    GROUP BY board, line, total HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.2 * total
+)"""
+
+SQL: dict[str, str] = {
+    "p5_found": f"{_LINES} SELECT board, line FROM found",
+    "p5_clean": f"""{_LINES}
+SELECT DISTINCT a.board, a.id, CASE WHEN a.descriptionPlain IS NULL THEN NULL ELSE coalesce(k.clean_text, '') END AS clean_text
+FROM ashby a LEFT JOIN (
+    SELECT board, id, string_agg(raw, chr(10) ORDER BY pos) AS clean_text FROM line_rows l
+    WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.board = l.board AND f.line = l.line) GROUP BY board, id
+) k ON a.board = k.board AND a.id = k.id""",
+}
