@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from postmill.llm.encode import encode_texts
 from postmill.llm.leak import find_leaks
 from postmill.llm.lines import repeated_blocks, without_blocks
+from postmill.llm.neardup import NearDuplicates
 from postmill.session import table
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return NearDuplicates(table(spark, d, "ashby")).pairs()
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each posting with the first posting of its class of equal texts, and its number of links."""
+    return NearDuplicates(table(spark, d, "ashby")).classes()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_blocks(table(spark, d, "ashby")).select("board", F.col("lines")[0].alias("line"))
 
@@ -42,7 +52,7 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages}
 
 _LINES = r"""
 WITH line_rows AS (
