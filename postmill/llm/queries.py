@@ -11,6 +11,7 @@ from postmill.llm.encode import encode_texts
 from postmill.llm.leak import find_leaks
 from postmill.llm.lines import repeated_blocks, without_blocks
 from postmill.llm.neardup import NearDuplicates
+from postmill.llm.spans import shared_spans, span_coverage, span_pairs
 from postmill.session import table
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -52,7 +53,16 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return span_pairs(shared_spans(table(spark, d, "documents")))
+
+
+def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document with a shared span, how much of its text stands elsewhere."""
+    return span_coverage(shared_spans(table(spark, d, "documents")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 _LINES = r"""
 WITH line_rows AS (
