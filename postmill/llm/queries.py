@@ -11,6 +11,7 @@ from postmill.llm.encode import encode_texts
 from postmill.llm.leak import find_leaks
 from postmill.llm.lines import repeated_blocks, without_blocks
 from postmill.llm.neardup import NearDuplicates
+from postmill.llm.places import resolve_places
 from postmill.llm.spans import shared_spans, span_coverage, span_pairs
 from postmill.session import table
 
@@ -26,6 +27,29 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(table(spark, d, "ashby")).classes()
 
 
+# Between blanks, after the stronger delimiters; upper case is the code of a region.
+_VALUES = r"[;|]|(?<=\s)/(?=\s)"
+
+
+def _place_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every single value of the two feeds: feed, record, value."""
+    parts = F.flatten(F.transform(F.split("location", _VALUES), lambda v: F.split(F.regexp_replace(v, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", ""), r"[\s\p{Z}]+or[\s\p{Z}]+")))
+    ashby = table(spark, d, "ashby").select(F.lit("ashby").alias("feed"), F.col("id").alias("record_id"), F.explode(parts).alias("value"))
+    simplify = table(spark, d, "simplify").select(F.lit("simplify").alias("feed"), F.col("id").alias("record_id"), F.explode("locations").alias("value"))
+    return ashby.unionByName(simplify)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = resolve_places(_place_values(spark, d), "value", table(spark, d, "places"))
+    return found.where("place_id is not null").select("feed", "record_id", "place_id").distinct()
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that name no listed place, and in how many records they stand."""
+    found = resolve_places(_place_values(spark, d), "value", table(spark, d, "places"))
+    return found.where("place_id = -1").groupBy("value").agg(F.countDistinct("feed", "record_id").alias("n_records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_blocks(table(spark, d, "ashby")).select("board", F.col("lines")[0].alias("line"))
 
@@ -62,7 +86,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return span_coverage(shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 _LINES = r"""
 WITH line_rows AS (
