@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.encode import encode_texts
+from postmill.llm.history import dedup_history, history_rows
 from postmill.llm.leak import find_leaks
 from postmill.llm.lines import repeated_blocks, without_blocks
+from postmill.llm.names import link_names, name_pairs
 from postmill.llm.neardup import NearDuplicates
 from postmill.llm.places import resolve_places
 from postmill.llm.spans import shared_spans, span_coverage, span_pairs
@@ -18,6 +20,20 @@ from postmill.session import table
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "simplify").select(F.col("company_name").alias("name"))
+    return typed.unionAll(table(spark, d, "labels").select("company"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_pairs(link_names(_names(spark, d)))
+
+
+def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with the most frequent spelling of its employer."""
+    return link_names(_names(spark, d)).select("name", "canonical")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(table(spark, d, "ashby")).pairs()
 
@@ -60,6 +76,27 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_blocks(ashby, repeated_blocks(ashby)).select("board", "id", "clean_text").distinct()
 
 
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    batches = table(spark, d, "ashby_batches").select("batch_no", "seq", "board", "title", "location")
+    batches = resolve_places(batches, "location", table(spark, d, "places"))
+    # Null and empty locations are equal to each other; a location that names no place equals none.
+    empty = F.col("place_id").isNull()
+    place = F.when(empty, F.lit("none")).when(F.col("place_id") > 0, F.col("place_id").cast("string"))
+    cases, state = dedup_history(history_rows(batches, place))
+    state.drop()  # a caller with more batches to come keeps it
+    return cases.distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, d)
+
+
+def p7_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that are accepted after all batches."""
+    cases = _cases(spark, d).select(F.col("seq_b").alias("seq"))
+    return table(spark, d, "ashby_batches").select("batch_no", "seq").where("batch_no is not null and seq is not null").join(cases, "seq", "left_anti")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -86,7 +123,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return span_coverage(shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_accepted": p7_accepted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 _LINES = r"""
 WITH line_rows AS (
