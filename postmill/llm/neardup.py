@@ -28,7 +28,11 @@ BROADCAST_CANDIDATES = 100_000
 ALL_PAIRS_WITHIN = 1_000
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(c) for c in range(16)])
+# Area of a region of the plane of darts, and the distribution of the number of darts in one.
+_AREA = 4
+_POISSON = np.cumsum([math.exp(-_AREA) * _AREA**c / math.factorial(c) for c in range(40)])
+# A dart's hash gives its place in the strip (40 bits) and its coordinate (24 bits).
+_PLACE, _SLOT = np.uint64(40), np.uint64(24)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,63 +48,65 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _darts(elements: np.ndarray, weights: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks and identities of the darts below ``weights`` and of rank under ``limit``.
+def _darts(elements: np.ndarray, weights: np.ndarray, limit: float, size: int) -> np.ndarray:
+    """Keys of the darts below ``weights`` and of rank under about ``limit``: coordinate, then rank.
 
-    The plane of an element is cut into regions of area one: level 0 has the weights from 0 to 1, a
-    level v above it those from 2^(v-1) to 2^v, in strips of rank 2^(1-v). A region holds a number of
-    darts with a Poisson distribution of mean one.
+    The plane of an element is cut into regions of one area: level 0 has the weights from 0 to 1, a
+    level v above it those from 2^(v-1) to 2^v, in strips of rank as high as the area demands. A
+    region holds a number of darts with a Poisson distribution. The rank is kept as a fixed-point
+    number, whose 54 bits also serve as the dart's identity within its coordinate.
     """
-    ranks, names = [], []
+    keys = []
     top = max(0, math.ceil(math.log2(weights.max()))) if len(weights) else -1
     for level in range(top + 1):
         low, width = (0.0, 1.0) if level == 0 else (2.0 ** (level - 1), 2.0 ** (level - 1))
-        here = elements[weights > low]
-        bound = weights[weights > low]
-        strips = math.ceil(limit * width)
+        reach = weights > low
+        here, bound = elements[reach], weights[reach]
+        strips = math.ceil(limit * width / _AREA)
         with np.errstate(over="ignore"):
-            region = mix(np.repeat(here, strips) ^ mix(np.uint64(level << 40) + np.tile(np.arange(strips, dtype=np.uint64), len(here))))
+            numbers = mix(np.arange(strips, dtype=np.uint64) + np.uint64(level << 40))
+            region = mix((here[:, None] ^ numbers).ravel())
             count = np.searchsorted(_POISSON, _unit(region), side="right")
-            total = int(count.sum())
-            nth = np.arange(total, dtype=np.uint64) - np.repeat(np.cumsum(count) - count, count).astype(np.uint64)
-            dart = mix(np.repeat(region, count) + mix(nth + np.uint64(1)))
-        at = low + width * _unit(mix(dart ^ np.uint64(1)))
-        strip = np.repeat(np.tile(np.arange(strips), len(here)), count)
-        rank = (strip + _unit(mix(dart ^ np.uint64(2)))) / width
-        seen = (rank < limit) & (at < np.repeat(np.repeat(bound, strips), count))
-        ranks.append(rank[seen])
-        names.append(dart[seen])
-    if not ranks:
-        return np.zeros(0), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(ranks), np.concatenate(names)
+            ends = np.cumsum(count)
+            nth = np.arange(1, int(ends[-1]) + 1, dtype=np.uint64) if len(ends) else np.zeros(0, dtype=np.uint64)
+            nth -= np.repeat((ends - count).astype(np.uint64), count)
+            dart = mix(np.repeat(region, count) + nth * _GOLD)
+            strip = np.repeat(np.tile(np.arange(strips, dtype=np.uint64), len(here)), count)
+            slot = ((dart & np.uint64(0xFFFFFF)) * np.uint64(size)) >> _SLOT
+            # Within its strip, of height area / width, the place is 40 bits; above it the strip's number.
+            rank = (((strip << _PLACE) | (dart >> _SLOT)) * np.uint64(_AREA)) >> np.uint64(max(0, level - 1))
+        key = (slot << np.uint64(54)) | rank
+        if (bound < low + width).any():
+            at = low + width * _unit(mix(dart ^ np.uint64(1)))
+            key = key[at < np.repeat(np.repeat(bound, strips), count)]
+        keys.append(key)
+    return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """``size`` coordinates of a weighted set of 64-bit elements with positive weights."""
-    out = np.zeros(size, dtype=np.uint64)
+    """``size`` (at most 1024) coordinates of a weighted set of 64-bit elements with positive weights."""
     total = float(weights.sum())
     if total <= 0:
-        return out
-    throw = size * (math.log(size) + 2)
+        return np.zeros(size, dtype=np.uint64)
+    throw = size * (math.log(size) + 1.5)
+    slots = np.arange(size, dtype=np.uint64)
     while True:
-        rank, dart = _darts(elements, weights, throw / total)
-        slot = (mix(dart ^ np.uint64(3)) % np.uint64(size)).astype(np.int64)
-        order = np.argsort(rank, kind="stable")[::-1]
-        filled = np.zeros(size, dtype=bool)
-        filled[slot] = True
-        if filled.all():
-            out[slot[order]] = dart[order]  # of equal slots the last, the least rank, stays
-            return out
-        throw *= 2
-
-
-def bands_of(signature: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key for each band of ``rows`` coordinates, different bands apart."""
-    table = signature.reshape(-1, rows)
-    with np.errstate(over="ignore"):
-        key = np.arange(len(table), dtype=np.uint64)
-        for k in range(rows):
-            key = mix(key ^ table[:, k])
+        keys = np.sort(_darts(elements, weights, throw / total, size))
+        at = np.searchsorted(keys, slots << np.uint64(54))
+        found = keys[np.minimum(at, len(keys) - 1)] if len(keys) else slots
+        # A coordinate is full if its least dart is there; ranks beyond the limit aren't complete.
+        rank = (found & np.uint64((1 << 54) - 1)).astype(np.float64) * 2.0**-40
+        if len(keys) and ((found >> np.uint64(54)) == slots).all() and (rank < throw / total).all():
+            return found
+        throw *= 1.5
+
+
+def bands_of(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """Of each signature, one 64-bit key for each band of ``rows`` coordinates, different bands apart."""
+    table = signatures.reshape(len(signatures), -1, rows)
+    key = np.broadcast_to(np.arange(table.shape[1], dtype=np.uint64), table.shape[:2])
+    for k in range(rows):
+        key = mix(key ^ table[:, :, k])
     return key.view(np.int64)
 
 
@@ -156,8 +162,9 @@ def _sets(df: DataFrame, key: str, title: str, body: str, n: int, min_words: int
                     keys.append(k)
                     classes.append(shingle.hash(s.tobytes()))
                     sizes.append(len(s))
-                    u = s.view(np.uint64)
-                    lists.append(bands_of(dart_signature(u, np.ones(len(u)), ROWS * BANDS), ROWS) if with_bands else s)
+                    lists.append(dart_signature(s.view(np.uint64), np.ones(len(s)), ROWS * BANDS) if with_bands else s)
+                if with_bands and lists:
+                    lists = list(bands_of(np.stack(lists), ROWS))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, pa.string()),
