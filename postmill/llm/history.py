@@ -67,13 +67,9 @@ class AcceptedState:
         self.folder = f"{shared_dir(spark)}/{name}"
         self.empty = True
 
-    def accept(self, contents: DataFrame) -> None:
-        """Append contents ``h, board, place, words, batch_no, seq``, which are not held yet."""
-        full = contents.select("h", "batch_no", "seq")
-        parts = contents.select("h", "batch_no", "seq", F.explode(_left_out()).alias("p")).select(
-            F.col("p.lh").alias("lh"), F.col("p.word").alias("word"), "h", "batch_no", "seq"
-        )
-        for df, table, key in ((full, self.full, "h"), (parts, self.parts, "lh")):
+    def accept(self, contents: DataFrame, parts: DataFrame) -> None:
+        """Append contents ``h, batch_no, seq`` that are not held yet, and their parts ``lh, word, h, batch_no, seq``."""
+        for df, table, key in ((contents, self.full, "h"), (parts, self.parts, "lh")):
             (
                 df.repartition(self.buckets, key).write.mode("append").format("parquet").bucketBy(self.buckets, key).sortBy(key)
                 .option("path", f"{self.folder}/{table}").saveAsTable(table)
@@ -90,15 +86,37 @@ class AcceptedState:
 
 
 def _left_out() -> Column:
-    """Of ``words``: each word, with the hash of board, place and the other words."""
+    """Of ``words``: each word that may be mistyped, with hashes of the rest and of a piece of the word.
+
+    One slip in a word leaves its front or its back half whole, so two words that differ by one have a
+    piece in common: the front or the back of ``(shorter length - 2) / 2`` letters. The piece is part
+    of the hash, so records that differ in one word only, however many, don't all meet.
+    """
     n = F.size("words")
-    rest = lambda i: F.concat(F.slice("words", 1, i), F.slice("words", i + 2, n))
-    return F.transform(
-        F.filter(F.sequence(F.lit(0), n - 1), lambda i: i < n),
-        lambda i: F.struct(F.xxhash64(F.lit("part"), F.col("board"), F.col("place"), F.array_join(rest(i), " ")).alias("lh"), F.get("words", i).alias("word")),
+    rest = lambda i: F.array_join(F.concat(F.slice("words", 1, i), F.slice("words", i + 2, n)), " ")
+    words = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: ~x["word"].rlike(_NUMERALS) & (F.length(x["word"]) >= 2))
+    return F.flatten(
+        F.transform(
+            words,
+            lambda x: F.transform(
+                _pieces(x["word"]),
+                lambda piece: F.struct(F.xxhash64(F.lit("part"), F.col("board"), F.col("place"), rest(x["i"]), piece).alias("lh"), x["word"].alias("word")),
+            ),
+        )
     )
 
 
+def _half(word: Column, less: int) -> Column:
+    return F.greatest(F.floor((F.length(word) - (less + 2)) / 2), F.lit(0)).cast("int")
+
+
+def _pieces(word: Column) -> Column:
+    """Front and back pieces of a word, for a partner as long and for one a letter shorter."""
+    front = [F.concat(F.lit("<"), F.substring(word, F.lit(1), _half(word, less))) for less in (0, 1)]
+    back = [F.concat(F.lit(">"), F.substring(word, F.length(word) - _half(word, less) + 1, _half(word, less))) for less in (0, 1)]
+    return F.array_distinct(F.array(*front, *back))
+
+
 def _at(batch: str = "batch_no", seq: str = "seq") -> Column:
     return F.struct(F.col(batch).alias("batch_no"), F.col(seq).alias("seq"))
 
@@ -111,22 +129,19 @@ def dedup_batch(state: AcceptedState, rows: DataFrame) -> DataFrame:
     first row before anything is joined, so a content delivered very often is one row here.
     """
     keyed = rows.where("h is not null")
-    contents = cut(
-        keyed.groupBy("h").agg(F.min(_at()).alias("at"), F.first("board").alias("board"), F.first("place").alias("place"), F.first("words").alias("words"))
-    )
-    parts = contents.select("h", "at", F.explode(_left_out()).alias("p")).select("h", "at", "p.lh", "p.word")
+    contents, parts = _contents(keyed)
     slip = one_slip(F.col("word"), F.col("other"))
+    own = F.struct("batch_no", "seq")
     if state.empty:
-        owners = contents.select("h", F.lit(None).cast("struct<batch_no:int,seq:bigint>").alias("owner")).limit(0)
+        owners = contents.select("h", own.alias("owner")).limit(0)
     else:
         full, held = state.spark.table(state.full), state.spark.table(state.parts)
-        same = contents.select("h").join(full, "h").select("h", _at().alias("owner"))
-        near = parts.join(held.select("lh", F.col("word").alias("other"), "batch_no", "seq"), "lh").where(slip).select("h", _at().alias("owner"))
+        same = contents.select("h").join(full, "h").select("h", own.alias("owner"))
+        near = parts.select("h", "lh", "word").join(held.select("lh", F.col("word").alias("other"), "batch_no", "seq"), "lh").where(slip).select("h", own.alias("owner"))
         owners = same.unionByName(near).groupBy("h").agg(F.min("owner").alias("owner"))
     owners = cut(owners)
-    fresh = contents.join(owners, "h", "left_anti")
     # Contents new in this batch that are one slip apart: an earlier one that is accepted owns a later one.
-    new_parts = parts.join(owners, "h", "left_anti")
+    new_parts = parts.join(owners, "h", "left_anti").select("lh", "word", "h", own.alias("at"))
     later = new_parts.select("lh", F.col("h").alias("late"), F.col("at").alias("late_at"), F.col("word").alias("other"))
     edges = cut(
         new_parts.join(later, "lh").where((F.col("at") < F.col("late_at")) & slip).select(F.col("h").alias("early"), F.col("at").alias("early_at"), "late").distinct()
@@ -140,11 +155,19 @@ def dedup_batch(state: AcceptedState, rows: DataFrame) -> DataFrame:
         gone = owned.select("h")
         edges = cut(edges.join(gone.toDF("late"), "late", "left_anti").join(gone.toDF("early"), "early", "left_anti"))
     owners = reduce(DataFrame.unionByName, [owners, *inner])
-    accepted = cut(reduce(lambda df, o: df.join(o.select("h"), "h", "left_anti"), inner, fresh).select("h", "board", "place", "words", "at.batch_no", "at.seq"))
-    state.accept(accepted)
+    accepted = contents.join(owners, "h", "left_anti")
     by_owner = keyed.join(owners, "h").select(F.col("owner.seq").alias("seq_a"), F.col("seq").alias("seq_b"))
     again = keyed.join(accepted.select("h", F.col("seq").alias("seq_a")), "h").where("seq <> seq_a").select("seq_a", F.col("seq").alias("seq_b"))
-    return cut(by_owner.unionByName(again))
+    cases = cut(by_owner.unionByName(again))
+    state.accept(accepted, parts.join(owners, "h", "left_anti"))
+    return cases
+
+
+def _contents(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first row of each content, and its parts."""
+    first = keyed.groupBy("h").agg(F.min(_at()).alias("at"), F.first("board").alias("board"), F.first("place").alias("place"), F.first("words").alias("words"))
+    parts = cut(first.select("h", "at.batch_no", "at.seq", F.explode_outer(_left_out()).alias("p")).select("p.lh", "p.word", "h", "batch_no", "seq"))
+    return parts.select("h", "batch_no", "seq").distinct(), parts.where("lh is not null")
 
 
 def history_rows(df: DataFrame, place: Column) -> DataFrame:
@@ -171,8 +194,7 @@ def dedup_history(rows: DataFrame, state: AcceptedState | None = None) -> tuple[
     for number in numbers:
         batch = rows.where(F.col("batch_no") == number)
         if number == 0:
-            first = batch.groupBy("h").agg(F.min(_at()).alias("at"), F.first("board").alias("board"), F.first("place").alias("place"), F.first("words").alias("words"))
-            state.accept(first.select("h", "board", "place", "words", "at.batch_no", "at.seq"))
+            state.accept(*_contents(batch))
         else:
             cases.append(dedup_batch(state, batch))
     none = spark.createDataFrame([], "seq_a bigint, seq_b bigint")

@@ -137,7 +137,20 @@ found AS (
     GROUP BY board, line, total HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.2 * total
 )"""
 
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_TRIPLES = rf"""
+WITH p AS (SELECT id, {_WORDS.format("coalesce(title, '') || chr(10) || descriptionPlain")} AS w FROM (SELECT DISTINCT id, title, descriptionPlain FROM ashby) WHERE descriptionPlain IS NOT NULL),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM p, unnest(range(1, len(w) - 1)) r(i) WHERE len(w) >= 20),
+c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+x AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
+"""
+_RUNS = lambda name, key, table: f"{name} AS (SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS t FROM (SELECT {key}, {_WORDS.format('text')} AS w FROM {table}), unnest(range(1, len(w) - 10)) r(i))"
+
 SQL: dict[str, str] = {
+    "p2_found": f"""{_TRIPLES} SELECT id_a, id_b FROM x JOIN c ca ON ca.id = id_a JOIN c cb ON cb.id = id_b WHERE k * 100 >= 70 * (ca.n + cb.n - k)""",
+    "p9_found": f"WITH {_RUNS('d', 'doc_id', 'documents')}, {_RUNS('e', 'item_id', 'eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (t)",
+    "p10_found": """WITH w AS (SELECT DISTINCT doc_id, md5(text[i:i + 299]) AS h FROM documents, unnest(range(1, len(text) - 298)) r(i) WHERE len(text) >= 300)
+ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p5_found": f"{_LINES} SELECT board, line FROM found",
     "p5_clean": f"""{_LINES}
 SELECT DISTINCT a.board, a.id, CASE WHEN a.descriptionPlain IS NULL THEN NULL ELSE coalesce(k.clean_text, '') END AS clean_text
