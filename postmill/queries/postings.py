@@ -9,6 +9,7 @@ from postmill.functions import text as X
 from postmill.operators import predicates as P
 from postmill.operators.cards import assemble, card_order, new_divider, page_of, role_groups, urgency
 from postmill.operators.facets import facet_counts
+from postmill.operators.location import dictionary, location_facets
 from postmill.operators.predicates import SearchParams
 from postmill.operators.rules import Cascade, counters, first_rule, route
 from postmill.operators.timestamps import number_instant
@@ -222,6 +223,12 @@ def quoted_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("id", F.concat_ws(",", X.quoted(F.col("company")), X.quoted(F.col("title"))).alias("line")).distinct()
 
 
+def location_parts(spark: SparkSession, d: str) -> DataFrame:
+    terms = dictionary(table(spark, d, "places"), [("USA", "United States"), ("US", "United States")])
+    out = location_facets(table(spark, d, "ashby").select("id", "location").distinct(), ["id"], "location", terms)
+    return out.select("id", F.array_join("countries", "|").alias("countries"), F.array_join("regions", "|").alias("regions")).distinct()
+
+
 QUERIES = {
     "feed_c": feed_c, "feed_d": feed_d, "display_names": display_names, "html_text": html_text, "html_escaped": html_escaped, "url_keys": url_keys,
     "url_tokens": url_tokens, "min_years": min_years, "field_rules": field_rules, "route_cascade": route_cascade, "run_counters": run_counters,
@@ -231,7 +238,7 @@ QUERIES = {
     "filter_text": filter_text, "filter_values": filter_values, "filter_overlap": filter_overlap, "filter_new": filter_new, "filter_window": filter_window,
     "filter_windows_overlap": filter_windows_overlap, "filter_keep_null": filter_keep_null, "filter_curated": filter_curated,
     "location_conditions": location_conditions, "enum_maps": enum_maps, "strict_dates": strict_dates, "class_years": class_years,
-    "canonical_terms": canonical_terms, "grounded_titles": grounded_titles, "label_lines": label_lines, "quoted_lines": quoted_lines,
+    "canonical_terms": canonical_terms, "grounded_titles": grounded_titles, "label_lines": label_lines, "quoted_lines": quoted_lines, "location_parts": location_parts,
 }
 
 _WORD = lambda c, p: f"coalesce(regexp_matches({c}, '(?i)(?:^|[^A-Za-z0-9_])(?:{p})(?:[^A-Za-z0-9_]|$)'), false)"
@@ -319,4 +326,15 @@ SQL = {
  FROM (SELECT *, regexp_extract(title, '([A-Z][a-z]{5,})$', 1) AS w FROM ashby)""",
     "label_lines": "SELECT DISTINCT id, CASE WHEN l IN ('relevant', 'borderline', 'irrelevant') THEN l END AS label FROM (SELECT id, trim(label) AS l FROM labels)",
     "quoted_lines": """SELECT DISTINCT id, '"' || replace(coalesce(company, ''), '"', '""') || '","' || replace(coalesce(title, ''), '"', '""') || '"' AS line FROM labels""",
+    "location_parts": rf"""WITH dict AS (
+ SELECT DISTINCT region_code AS term, true AS exact, 0 AS priority, country, region FROM places WHERE region_code IS NOT NULL
+ UNION SELECT lower(region), false, 1, country, region FROM places WHERE region IS NOT NULL UNION SELECT lower(country), false, 2, country, NULL FROM places
+ UNION SELECT lower(city), false, 3, min(country), min(region) FROM places GROUP BY lower(city) HAVING count(DISTINCT (country, coalesce(region, ''))) = 1
+ UNION SELECT x, true, 0, 'United States', NULL FROM (VALUES ('USA'), ('US')) v(x)),
+v AS (SELECT DISTINCT location FROM ashby WHERE location IS NOT NULL),
+t AS (SELECT DISTINCT location, {_clean("x")} AS t FROM (SELECT location, unnest(regexp_split_to_array(p, '[,/()\x{{2013}}\x{{2014}}]|\s-\s')) AS x FROM (SELECT location, unnest(regexp_split_to_array(location, '[;|]|\s+or\s+')) AS p FROM v))),
+h AS (SELECT location, t, priority, country, region FROM t JOIN dict ON lower(t) = lower(term) WHERE t <> '' AND (NOT exact OR t = term)
+ QUALIFY row_number() OVER (PARTITION BY location, t ORDER BY priority, country, region NULLS FIRST) = 1),
+g AS (SELECT location, array_to_string(list_sort(list_distinct(list(country))), '|') AS countries, coalesce(array_to_string(list_sort(list_distinct(list(region) FILTER (region IS NOT NULL))), '|'), '') AS regions FROM h GROUP BY location)
+SELECT DISTINCT id, coalesce(countries, '') AS countries, coalesce(regions, '') AS regions FROM ashby LEFT JOIN g USING (location)""",
 }

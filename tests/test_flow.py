@@ -112,3 +112,13 @@ def test_readers(spark, tmp_path):
     assert S.read_lines(spark, str(tmp_path / "b.json"), "url string").where("url is not null").count() == 2
     (tmp_path / "c.csv").write_text('id,company,title,url,label\n1,"A ""B"", C",t,u,relevant\n')
     assert S.read_labels(spark, str(tmp_path / "c.csv")).first().company == 'A "B", C'
+
+
+def test_sinks(spark, tmp_path):
+    from postmill.sources.sinks import write_csv, write_json
+
+    df = spark.createDataFrame([(1, 'a "b"', "t", "u", "relevant")], "id bigint, company string, title string, url string, label string")
+    write_csv(df, str(tmp_path / "c"))
+    assert S.read_labels(spark, str(tmp_path / "c")).collect() == df.collect()
+    write_json(df, str(tmp_path / "j"))
+    assert spark.read.schema(df.schema).json(str(tmp_path / "j")).collect() == df.collect()
