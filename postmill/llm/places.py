@@ -182,7 +182,7 @@ class Gazetteer:
 
     def choose(self, words: list[str], hits: list[tuple[int, str, int, int]]) -> tuple[int, list[int]]:
         """The least distance of a city that agrees with the rest of the value, and the places left at it."""
-        options: dict[int, tuple[int, int]] = {}
+        options: dict[int, tuple[int, bool, int]] = {}
         for d, key, i, j in hits:
             regions, countries = self.said(words[:i] + words[j:])
             for place, region, country in self.places[key]:
@@ -192,7 +192,9 @@ class Gazetteer:
                         continue
                 if not regions and countries and country not in countries:
                     continue
-                rank = (d, -len(key))
+                # A run that ends in a region's word takes in what should tell places apart.
+                edge = j - i > 1 and (words[i] in self.known_words or words[j - 1] in self.known_words)
+                rank = (d, edge, -len(key))
                 if place not in options or rank < options[place]:
                     options[place] = rank
         if not options:
@@ -278,7 +280,7 @@ def resolve_places(df: DataFrame, value: str, places: DataFrame, out: str = "pla
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = pdf[value]
-            told = at.notna().to_numpy() & np.array([bool(v and v.strip(" \t\r\n\xa0\u200b\ufeff")) if isinstance(v, str) else False for v in at])
+            told = at.notna().to_numpy() & np.array([isinstance(v, str) and bool(v.strip().strip("\u200b\ufeff")) for v in at])
             values = [v for v, t in zip(at, told) if t]
             best: dict[str, tuple[int, list[int]]] = {}
             for token, rows in shared:
