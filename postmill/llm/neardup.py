@@ -235,15 +235,21 @@ class NearDuplicates:
         )
 
     def pairs(self) -> DataFrame:
-        """All pairs of records ``id_a < id_b``; within very large classes, links to the first record."""
+        """All pairs of records ``id_a < id_b``.
+
+        A class of more than ``ALL_PAIRS_WITHIN`` equal sets is not expanded: its first record stands
+        for it in pairs with others, and its members are linked to the first.
+        """
         m = self.members
+        classes = m.groupBy("cls").agg(F.count("*").alias("size"), F.min("k").alias("first"))
+        copies = cut(m.join(classes, "cls"))
+        shown = copies.where((F.col("size") <= ALL_PAIRS_WITHIN) | (F.col("k") == F.col("first")))
         across = (
-            self.links.join(m.select(F.col("cls").alias("a"), F.col("k").alias("x")), "a")
-            .join(m.select(F.col("cls").alias("b"), F.col("k").alias("y")), "b")
+            self.links.join(shown.select(F.col("cls").alias("a"), F.col("k").alias("x")), "a")
+            .join(shown.select(F.col("cls").alias("b"), F.col("k").alias("y")), "b")
             .select("x", "y")
         )
-        classes = m.groupBy("cls").agg(F.count("*").alias("size"), F.min("k").alias("first")).where("size > 1")
-        copies = m.join(classes, "cls")
+        copies = copies.where("size > 1")
         few = copies.where(F.col("size") <= ALL_PAIRS_WITHIN)
         inner = few.select("cls", F.col("k").alias("x")).join(few.select("cls", F.col("k").alias("y")), "cls").where("x < y")
         star = copies.where((F.col("size") > ALL_PAIRS_WITHIN) & (F.col("k") > F.col("first"))).select(F.col("first").alias("x"), F.col("k").alias("y"))

@@ -14,7 +14,7 @@ from postmill.llm.lines import repeated_blocks, without_blocks
 from postmill.llm.names import link_names, name_pairs
 from postmill.llm.neardup import NearDuplicates
 from postmill.llm.places import resolve_places
-from postmill.llm.spans import shared_spans, span_coverage, span_pairs
+from postmill.llm.spans import SharedSpans
 from postmill.session import table
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -115,12 +115,12 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return span_pairs(shared_spans(table(spark, d, "documents")))
+    return SharedSpans(table(spark, d, "documents")).pairs()
 
 
 def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Of each document with a shared span, how much of its text stands elsewhere."""
-    return span_coverage(shared_spans(table(spark, d, "documents")))
+    return SharedSpans(table(spark, d, "documents")).coverage()
 
 
 QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_accepted": p7_accepted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}

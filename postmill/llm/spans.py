@@ -20,6 +20,8 @@ from postmill.session import cut
 
 # Code points that are worked on at once; longer texts are taken in overlapping segments.
 SEGMENT = 400_000
+# Classes of equal texts with more members than this are linked to their first member only.
+ALL_PAIRS_WITHIN = 1_000
 # A bucket with more windows than this is not sorted in one task: its windows are exchanged one by one.
 BUCKET_WINDOWS = 1_000_000
 
@@ -222,12 +224,14 @@ def _loose(length: int):
     return run
 
 
-def shared_spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 300, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+class SharedSpans:
     """Spans of at least ``length`` code points that stand in two or more records.
 
-    Columns ``g1, g2, doc, start, end``: the span of ``doc`` from ``start`` to before ``end``; spans
-    with equal (g1, g2) consist of windows that stand in exactly the same set of records. ``key``
-    must be an integer. Windows are compared by 128 bits of hash; all of a text is looked at.
+    Records with equal texts form a class whose first record stands for it; spans are searched among
+    first records only. ``spans`` has ``g1, g2, doc, start, end``: the span of ``doc`` from ``start`` to
+    before ``end``; spans with equal (g1, g2) consist of windows that stand in exactly the same set of
+    records. ``copies`` has ``doc, first, size, chars`` of each record of a class of two or more.
+    ``key`` must be an integer. Windows are compared by 128 bits of hash; all of a text is looked at.
 
     Defined results: null keys, null, empty and short texts give nothing; a stretch repeated within
     one record only is no case; repeated deliveries of a record are one record. A key that comes with
@@ -239,9 +243,48 @@ def shared_spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", leng
     bucket. A bucket whose windows are too many for one task is counted by exchanging its windows
     instead, pre-aggregated; both ways give the same rows.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    rows = rows.where(F.length("text") >= length)
-    places = cut(rows.mapInArrow(_cut_out(length), "mini bigint, doc bigint, start bigint, n bigint"))
+
+    def __init__(self, df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 300, bucket_windows: int = BUCKET_WINDOWS) -> None:
+        rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+        rows = rows.where(F.length("text") >= length)
+        named = cut(rows.select("doc", F.md5("text").alias("h"), F.length("text").alias("chars")).distinct())
+        classes = named.groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("size")).where("size > 1")
+        self.copies = cut(named.join(classes, "h").select("doc", "first", "size", "chars"))
+        places = rows.mapInArrow(_cut_out(length), "mini bigint, doc bigint, start bigint, n bigint")
+        places = cut(places.join(self.copies.where("doc <> first").select("doc"), "doc", "left_anti"))
+        self.spans = _shared(rows, places, length, bucket_windows)
+
+    def pairs(self) -> DataFrame:
+        """Pairs ``doc_id_a < doc_id_b`` that share a span, each once.
+
+        All members of a class are paired, unless it has more than ``ALL_PAIRS_WITHIN``: then its
+        first record stands for it in pairs with other texts, and its members are linked to the first.
+        """
+        few = self.copies.where(F.col("size") <= ALL_PAIRS_WITHIN)
+        members = few.select("first", F.col("doc").alias("member"))
+        groups = self.spans.select("g1", "g2", "doc").distinct()
+        full = groups.join(members, groups["doc"] == members["first"], "left").select("g1", "g2", "doc", F.coalesce("member", "doc").alias("x"))
+        a, b = full.withColumnsRenamed({"doc": "da", "x": "a"}), full.withColumnsRenamed({"doc": "db", "x": "b"})
+        across = a.join(b, ["g1", "g2"]).where("da < db").select("a", "b")
+        inner = members.join(members.withColumnRenamed("member", "b"), "first").where("member < b").select(F.col("member").alias("a"), "b")
+        star = self.copies.where((F.col("size") > ALL_PAIRS_WITHIN) & (F.col("doc") > F.col("first"))).select(F.col("first").alias("a"), F.col("doc").alias("b"))
+        both = across.unionByName(inner).unionByName(star).where("a <> b")
+        return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+
+    def coverage(self) -> DataFrame:
+        """Of each record with a shared span: how many of its code points lie in one."""
+        own = self.spans.select("doc", "start", "end").unionByName(self.copies.select("doc", F.lit(0).cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("end")))
+        order = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+        fresh = F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(order), F.lit(0)))
+        return (
+            own.distinct()
+            .withColumn("fresh", fresh)
+            .groupBy(F.col("doc").alias("doc_id"))
+            .agg(F.sum(F.when(F.col("fresh") > 0, F.col("fresh")).otherwise(0)).alias("shared_chars"))
+        )
+
+
+def _shared(rows: DataFrame, places: DataFrame, length: int, bucket_windows: int) -> DataFrame:
     shared = (
         places.groupBy("mini")
         .agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.sum("n").alias("windows"))
@@ -273,23 +316,3 @@ def shared_spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", leng
         .drop("run")
     )
     return cut(spans.unionByName(hot))
-
-
-def span_pairs(spans: DataFrame) -> DataFrame:
-    """Pairs of records ``doc_id_a < doc_id_b`` that share a span; each pair once."""
-    m = spans.select("g1", "g2", "doc").distinct()
-    a, b = m.withColumnRenamed("doc", "doc_id_a"), m.withColumnRenamed("doc", "doc_id_b")
-    return a.join(b, ["g1", "g2"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
-
-
-def span_coverage(spans: DataFrame) -> DataFrame:
-    """Of each record with a shared span: how many of its code points lie in one."""
-    order = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(order), F.lit(0)))
-    return (
-        spans.select("doc", "start", "end")
-        .distinct()
-        .withColumn("fresh", fresh)
-        .groupBy(F.col("doc").alias("doc_id"))
-        .agg(F.sum(F.when(F.col("fresh") > 0, F.col("fresh")).otherwise(0)).alias("shared_chars"))
-    )

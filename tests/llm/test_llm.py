@@ -341,13 +341,22 @@ def test_shared_spans(spark, bucket):
     text = lambda n: "".join(r.choices("ab cdé👍漢", k=n))
     shared = [text(40), text(60), "=" * 45]
     docs = [(i, text(r.randint(0, 120)) + r.choice([*shared, ""]) + text(r.randint(0, 60)) + r.choice([*shared, ""])) for i in range(40)]
-    docs += [(90, None), (91, ""), (92, text(31) * 3), (93, shared[1][:29]), (94, shared[1][:30]), (95, "=" * 2000)]
+    docs += [(97, docs[3][1]), (98, docs[3][1]), (90, None), (91, ""), (92, text(31) * 3), (93, shared[1][:29]), (94, shared[1][:30]), (95, "=" * 2000)]
     df = spark.createDataFrame(docs + docs[:2], "doc_id bigint, text string").withColumns({"doc": F.lit(1), "mini": F.lit(2), "hot": F.lit(3)})
     pairs, cover = brute_spans(docs, 30)
-    spans = SP.shared_spans(df, length=30, bucket_windows=bucket)
-    assert {tuple(x) for x in SP.span_pairs(spans).collect()} == pairs and len(pairs) > 100
-    assert {x.doc_id: x.shared_chars for x in SP.span_coverage(spans).collect()} == cover
-    assert SP.span_pairs(SP.shared_spans(df.limit(0), length=30)).count() == 0
+    spans = SP.SharedSpans(df, length=30, bucket_windows=bucket)
+    assert {tuple(x) for x in spans.pairs().collect()} == pairs and len(pairs) > 100
+    assert {x.doc_id: x.shared_chars for x in spans.coverage().collect()} == cover
+    assert SP.SharedSpans(df.limit(0), length=30).pairs().count() == 0
+
+
+def test_many_equal_texts_are_not_expanded(spark, monkeypatch):
+    monkeypatch.setattr("postmill.llm.spans.ALL_PAIRS_WITHIN", 5)
+    text = "".join(random.Random(3).choices(string.ascii_letters, k=60))
+    df = spark.createDataFrame([(i, text) for i in range(20)] + [(50, text[:40] + "xx"), (51, "yy" + text[10:45])], "doc_id bigint, text string")
+    spans = SP.SharedSpans(df, length=30)
+    assert {tuple(x) for x in spans.pairs().collect()} == {(0, i) for i in range(1, 20)} | {(0, 50), (0, 51), (50, 51)}
+    assert {x.doc_id: x.shared_chars for x in spans.coverage().collect()} == {i: 60 for i in range(20)} | {50: 40, 51: 35}
 
 
 def test_long_text_in_segments(monkeypatch):
