@@ -157,8 +157,11 @@ def link_names(names: DataFrame) -> DataFrame:
     full = parsed.where("not initials")
     placed = full.select("name", "n", F.posexplode("words").alias("pos", "word"))
     heads = placed.groupBy("word").agg(F.sum(F.when(F.col("pos") == 0, F.col("n")).otherwise(0)).alias("head"), F.sum("n").alias("all"))
-    # A word longer than any slip could make it outweighs a word that only seldom begins a name.
-    weight = F.struct((F.col("head") / F.col("all")).alias("share"), F.col("head").alias("head"), (-F.col("pos")).alias("at"), F.col("word").alias("word"))
+    # Of words that mostly begin names the one that does so most; where there is none, the rarest word.
+    share = F.col("head") / F.col("all")
+    known = (share >= 0.5) & (F.length("word") > 1)
+    order = F.when(known, share).when(F.length("word") > 1, -F.col("all").cast("double")).otherwise(F.lit(-1e18))
+    weight = F.struct(known.alias("known"), order.alias("order"), F.col("head").alias("head"), (-F.col("pos")).alias("at"), F.col("word").alias("word"))
     marks = placed.join(heads, "word").groupBy("name").agg(F.max(weight).alias("best")).select("name", F.col("best.word").alias("mark"))
     marked = cut(full.join(marks, "name").select("name", "n", "words", "mark"))
 
