@@ -141,7 +141,8 @@ def walk_back(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _query_vector(df: DataFrame) -> list[float]:
-    return [float(x) for x in df.where("vec_id = 0").select("embedding").first()[0]]
+    row = df.where("vec_id = 0 and embedding is not null").select("embedding").first()
+    return [float(x) for x in row[0]] if row else [1.0]  # no vector to ask for: all similarities are null
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
