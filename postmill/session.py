@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if known is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="postmill-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
