@@ -77,7 +77,8 @@ def ndcg_at_k(ranked: DataFrame, k: int, gains: dict[str, float], rank: str = "r
     best = scored.select("__g").orderBy(F.col("__g").desc()).limit(k)
     best = best.withColumn("__r", F.row_number().over(Window.orderBy(F.col("__g").desc())) - 1)
     ideal = best.agg(F.sum(F.col("__g") / F.log2(F.col("__r") + 2)).alias("ideal"))
-    return got.crossJoin(ideal).select(F.when(F.col("ideal") > 0, F.coalesce("got", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"))
+    both = got.unionByName(ideal, allowMissingColumns=True).agg(F.max("got").alias("got"), F.max("ideal").alias("ideal"))
+    return both.select(F.when(F.col("ideal") > 0, F.coalesce("got", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"))
 
 
 def pool(lists: DataFrame, k: int, approach: str = "approach", rank: str = "rank", key: str = "id") -> DataFrame:

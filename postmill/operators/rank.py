@@ -62,10 +62,10 @@ def global_rank(df: DataFrame, score: str, key: str, out: str = "rank") -> DataF
 
 def bands(ranked: DataFrame, rank: str = "rank", out: str = "band") -> DataFrame:
     """Strong below max(5, 10 % of all), then good for the next 25 %, else fair."""
-    total = ranked.agg(F.count("*").alias("__all"))
-    strong = F.greatest(F.lit(5), F.ceil(F.col("__all") * F.lit(0.1)))
-    band = F.when(F.col(rank) < strong, "strong").when(F.col(rank) < strong + F.ceil(F.col("__all") * F.lit(0.25)), "good").otherwise("fair")
-    return ranked.crossJoin(F.broadcast(total)).withColumn(out, band).drop("__all")  # one row
+    total = ranked.count()
+    strong = max(5, math.ceil(total * 0.1))
+    good = strong + math.ceil(total * 0.25)
+    return ranked.withColumn(out, F.when(F.col(rank) < strong, "strong").when(F.col(rank) < good, "good").otherwise("fair"))
 
 
 def fold_roles(ranked: DataFrame, by: list[str], rank: str, key: str, location: str) -> DataFrame:
@@ -103,10 +103,9 @@ def mean_pair_cosine(df: DataFrame, vector: str, label: str) -> DataFrame:
     every = sums.groupBy("d").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     every = every.agg(F.sum(F.col("s") * F.col("s")).alias("sq"), F.max("n").alias("n"))
     every = every.select(((F.col("sq") - F.col("n")) / 2).alias("all_sum"), (F.col("n") * (F.col("n") - 1) / 2).alias("all_n"))
+    both = intra.unionByName(every, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("in_sum", "in_n", "all_sum", "all_n")])
     ratio = lambda a, b: F.when(b > 0, a / b)
-    return intra.crossJoin(every).select(  # one row each
+    return both.select(
         ratio(F.col("in_sum"), F.col("in_n")).alias("intra"),
         ratio(F.col("all_sum") - F.col("in_sum"), F.col("all_n") - F.col("in_n")).alias("inter"),
     )
-
-
