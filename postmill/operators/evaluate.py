@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.operators.dedup import first_n
-
 # More cells than this are not brought to the driver for an allocation.
 MAX_CELLS = 100_000
 
@@ -101,4 +99,4 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return ranked.withColumn("batch", F.floor(F.col("__rank") / size)).drop("__rank", "__o")
 
 
-__all__ = ["allocate", "batches", "entered", "first_n", "holdout", "ndcg_at_k", "pool", "precision_at_k", "stratified_counts", "stratified_sample"]
+__all__ = ["allocate", "batches", "entered", "holdout", "ndcg_at_k", "pool", "precision_at_k", "stratified_counts", "stratified_sample"]

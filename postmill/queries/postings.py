@@ -13,7 +13,7 @@ from postmill.operators.location import dictionary, location_facets
 from postmill.operators.predicates import SearchParams
 from postmill.operators.rules import Cascade, counters, first_rule, route
 from postmill.operators.timestamps import number_instant
-from postmill.schema import CATEGORY_FIELD, EMPLOYMENT, WORKPLACE, clean, mapped
+from postmill.schema import CATEGORY_FIELD, EMPLOYMENT, WORKPLACE, mapped
 from postmill.session import table
 from postmill.sources.feeds import normalise_c, normalise_d
 
