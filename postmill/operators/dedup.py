@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.schema import dedup_key
+from postmill.session import cut
 
 _KEYS = "array<struct<source:string,source_external_id:string>>"
 
@@ -56,16 +57,26 @@ def alias_targets(copies: DataFrame, aliases: str, key: str, targets: DataFrame,
     return hit.groupBy("copy").agg(F.min_by("alias", "pos").alias("target"))
 
 
-def alias_pass(batch: DataFrame, stored: DataFrame, key: str, keys: str, active: str) -> tuple[DataFrame, DataFrame]:
+def cross_keys(keys: str, source: Column) -> Column:
+    """The keys of other sources; of the own source they are copies, never aliases."""
+    return F.filter(union_keys(F.col(keys)), lambda k: k.source != source)
+
+
+def alias_pass(batch: DataFrame, stored: DataFrame, key: str, keys: str, active: str, aliases: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Copies folded into the row they alias: first one in the batch, else an active stored one.
 
     Gives the batch without the copies and with the targets' keys extended, and the key additions
-    of stored rows ``(target, keys)``. ``key`` is a struct column, ``keys`` an array of such structs.
+    of stored rows ``(target, keys)``. ``key`` is a struct column, ``keys`` an array of such structs;
+    ``aliases`` has those of them that are aliases, if not all are. Of two rows that alias each other
+    the smaller stays, and a copy of a row that is folded itself stays too: no key may get lost.
     """
-    inside = alias_targets(batch, keys, key, batch, key).withColumn("where", F.lit("batch"))
+    inside = cut(alias_targets(batch, aliases or keys, key, batch, key).withColumn("where", F.lit("batch")))
+    back = inside.select(F.col("target").alias("copy"), F.col("copy").alias("target"))
+    inside = inside.join(back.where(F.col("copy") < F.col("target")), ["copy", "target"], "left_anti")
     rest = batch.join(inside.select(F.col("copy").alias(key)), key, "left_anti")
-    outside = alias_targets(rest, keys, key, stored.where(F.col(active)), key).withColumn("where", F.lit("stored"))
-    folds = inside.unionByName(outside)
+    outside = alias_targets(rest, aliases or keys, key, stored.where(F.col(active)), key).withColumn("where", F.lit("stored"))
+    folds = cut(inside.unionByName(outside))
+    folds = folds.join(folds.select(F.col("copy").alias("target")), "target", "left_anti").select("copy", "target", "where")
     added = (
         batch.select(F.col(key).alias("copy"), F.col(keys).alias("had"))
         .join(folds, "copy")
@@ -79,13 +90,23 @@ def alias_pass(batch: DataFrame, stored: DataFrame, key: str, keys: str, active:
     return left, added.where("`where` = 'stored'").select("target", "keys")
 
 
-def retire_carriers(written: DataFrame, stored: DataFrame, key: str, keys: str, active: str) -> DataFrame:
+def fold_keys(stored: DataFrame, folds: DataFrame, key: str, keys: str, seen: str, now: Column) -> DataFrame:
+    """``stored`` with the keys of ``folds`` ``(target, keys)`` added to their targets, which thereby count as seen."""
+    more = folds.groupBy(F.col("target").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("__more"))
+    hit = F.col("__more").isNotNull()
+    grown = F.filter(union_keys(F.col(keys), F.col("__more")), lambda k: k != F.col(key))
+    joined = stored.join(more, key, "left")
+    return joined.withColumn(keys, F.when(hit, grown).otherwise(F.col(keys))).withColumn(seen, F.when(hit, now).otherwise(F.col(seen))).drop("__more")
+
+
+def retire_carriers(written: DataFrame, stored: DataFrame, key: str, keys: str, active: str, aliases: str | None = None) -> DataFrame:
     """Active stored rows that alias a row just written: ``carrier``, ``target`` and the keys to fold into it.
 
-    A carrier that was written itself stays; only keys of another source are aliases.
+    A carrier that was written itself stays; only keys of another source are aliases, and of these
+    only the ones in ``aliases``, if given.
     """
     there = written.select(F.col(key).alias("alias")).distinct()
-    carriers = stored.where(F.col(active)).select(F.col(key).alias("carrier"), F.col(keys).alias("had"), F.posexplode(keys).alias("pos", "alias"))
+    carriers = stored.where(F.col(active)).select(F.col(key).alias("carrier"), F.col(keys).alias("had"), F.posexplode(aliases or keys).alias("pos", "alias"))
     hit = carriers.where(F.col("alias.source") != F.col("carrier.source")).join(there, "alias")
     hit = hit.join(there.withColumnRenamed("alias", "carrier"), "carrier", "left_anti")
     first = hit.groupBy("carrier").agg(F.min_by(F.struct("alias", "had"), "pos").alias("f"))

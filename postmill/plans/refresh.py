@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.models import Classifier, RuleClassifier, classify
-from postmill.operators.dedup import own_key, retire_carriers, survivors, union_keys
+from postmill.operators.dedup import alias_pass, cross_keys, fold_keys, own_key, owners, retire_carriers, survivors, union_keys
 from postmill.operators.lifecycle import delisted, insert_new, merge, partition_seen
 from postmill.operators.rules import Cascade, counters, decide, route
 from postmill.plans.store import SnapshotStore
@@ -18,7 +18,8 @@ from postmill.session import cut
 KEY = ["source", "source_external_id"]
 LISTINGS = (
     "source string, source_external_id string, company string, title string, location string, description_plain string, url string, "
-    "duplicate_keys array<struct<source:string,source_external_id:string>>, kind string, first_seen timestamp, last_seen timestamp, is_listed boolean"
+    "duplicate_keys array<struct<source:string,source_external_id:string>>, kind string, first_seen timestamp, last_seen timestamp, is_listed boolean, "
+    "aliases array<struct<source:string,source_external_id:string>>"
 )
 REJECTS = "source string, source_external_id string, last_seen timestamp"
 
@@ -33,35 +34,54 @@ class Refresh:
     delisting_sources: tuple[str, ...] = ()
 
     def run(self, delivery: DataFrame, complete: DataFrame, now: str, offsets: dict | None = None) -> DataFrame:
-        """Dedup, split by what is known, route and judge the unseen, merge, delist, publish; gives the counts.
+        """Delist, dedup, split by what is known, route and judge the unseen, merge, retire, publish; gives the counts.
 
         ``delivery`` has the columns of LISTINGS up to ``duplicate_keys``; ``complete`` the
-        ``(source, company)`` scopes whose full snapshot arrived. A verdict is asked for unseen rows
-        that no rule decides. Only rejects of the model are remembered; other drops are judged again
-        in the next run. A delisted row that comes again is active again. Offsets become current
-        with the state, so a failed run is repeated from the old ones.
+        ``(source, company)`` scopes whose full snapshot arrived. What left is delisted first, so
+        that it owns no repost. A survivor whose role another active row owns, and a copy that
+        aliases a row of the batch or an active one, is folded: its keys go to that row, which
+        counts as seen. ``aliases`` keeps the delivered keys of other sources; folded keys aren't
+        aliases. A verdict is asked for unseen rows that no rule decides. Only rejects of the model
+        are remembered; other drops are judged again in the next run. A delisted row that comes
+        again is active again. Offsets become current with the state, so a failed run is repeated
+        from the old ones.
         """
         store, at = self.store, F.lit(now).cast("timestamp")
         stored, rejects, number = store.read("listings", LISTINGS), store.read("rejects", REJECTS), store.number
+        stored = stored.withColumn("aliases", F.coalesce("aliases", cross_keys("duplicate_keys", F.col("source"))))
+        gone = delisted(
+            stored.where(F.col("source").isin(list(self.delisting_sources))), delivery, complete, ["source", "company"], KEY, "is_listed"
+        ).select(*KEY, F.lit(False).alias("is_listed"))
+        gone = cut(gone)
+        held = cut(merge(stored, gone, KEY, only=["is_listed"], insert=False))
+        keyed = held.withColumn("key", own_key())
         one = survivors(delivery, dedup_key("company", "title", "location"), "source_external_id", [F.col("source")])
         same = F.transform("siblings", lambda k: F.struct(F.col("source").alias("source"), k.alias("source_external_id")))
-        batch = cut(partition_seen(one.withColumn("duplicate_keys", union_keys(F.col("duplicate_keys"), same)).drop("siblings"), stored, rejects, KEY))
+        one = one.withColumns({"key": own_key(), "siblings": same, "aliases": cross_keys("duplicate_keys", F.col("source"))})
+        owned = cut(owners(one, keyed, "company", "title", "location", "key", "is_listed"))
+        had = keyed.select("key", F.col("duplicate_keys").alias("had"), F.col("aliases").alias("had_aliases"))
+        mine = owned.where("outcome <> 'other'").join(had, "key", "left")
+        mine = mine.withColumns({"duplicate_keys": union_keys("had", "duplicate_keys", "siblings"), "aliases": union_keys("had_aliases", "aliases")})
+        left, folds = alias_pass(cut(mine.drop("siblings", "owner", "outcome", "had", "had_aliases")), keyed, "key", "duplicate_keys", "is_listed", "aliases")
+        copies = owned.where("outcome = 'other'").select(F.col("owner").alias("target"), union_keys(F.array("key"), "siblings").alias("keys"))
+        folds = cut(copies.unionByName(folds))
+        batch = cut(partition_seen(left.drop("key"), held, rejects, KEY))
         routed = route(batch.where("seen = 'unseen'"), self.cascade, "title", "description_plain")
         asked = classify(routed.where("route = 'model'"), self.client or RuleClassifier(), KEY, "title", "description_plain")
         judged = cut(decide(routed.join(asked, KEY, "left"), "relevant", "kind", "error"))
         keeps = judged.where("bucket = 'keep'").select(*batch.drop("seen").columns, "kind")
         stamp = {"first_seen": at, "last_seen": at, "is_listed": F.lit(True)}
-        next_rows = merge(stored, keeps.withColumns(stamp), KEY, once=["first_seen"])
+        next_rows = merge(held, keeps.withColumns(stamp), KEY, once=["first_seen"])
         known = batch.where("seen = 'keep'").drop("seen").withColumns({"last_seen": at, "is_listed": F.lit(True)})
-        facts = ["company", "title", "location", "description_plain", "url", "last_seen", "is_listed"]
-        next_rows = cut(merge(next_rows, known, KEY, only=facts, insert=False))
-        written = next_rows.where(F.col("last_seen") == at).select(own_key().alias("key"))
-        retired = retire_carriers(written, next_rows.withColumn("key", own_key()), "key", "duplicate_keys", "is_listed").select("carrier.*")
-        gone = delisted(
-            next_rows.where(F.col("source").isin(list(self.delisting_sources))), delivery, complete, ["source", "company"], KEY, "is_listed"
-        ).select(*KEY)
-        off = cut(gone.unionByName(retired).distinct().withColumn("is_listed", F.lit(False)))
+        facts = ["company", "title", "location", "description_plain", "url", "duplicate_keys", "aliases", "last_seen", "is_listed"]
+        next_rows = merge(next_rows, known, KEY, only=facts, insert=False).withColumn("key", own_key())
+        next_rows = cut(fold_keys(next_rows, folds, "key", "duplicate_keys", "last_seen", at))
+        written = keeps.select(own_key().alias("key")).unionByName(known.select(own_key().alias("key")))
+        retired = cut(retire_carriers(written, next_rows, "key", "duplicate_keys", "is_listed", "aliases"))
+        next_rows = fold_keys(next_rows, retired.select("target", F.col("fold").alias("keys")), "key", "duplicate_keys", "last_seen", at).drop("key")
+        off = retired.select("carrier.*", F.lit(False).alias("is_listed"))
         final = merge(next_rows, off, KEY, only=["is_listed"], insert=False)
+        off = off.unionByName(gone)
         seen_again = batch.where("seen = 'reject'").select(*KEY, at.alias("last_seen"))
         fresh = judged.where("bucket = 'model_reject'").select(*KEY, at.alias("last_seen"))
         next_rejects = insert_new(merge(rejects, seen_again, KEY, insert=False), fresh, KEY)

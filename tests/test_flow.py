@@ -122,3 +122,36 @@ def test_sinks(spark, tmp_path):
     assert S.read_labels(spark, str(tmp_path / "c")).collect() == df.collect()
     write_json(df, str(tmp_path / "j"))
     assert spark.read.schema(df.schema).json(str(tmp_path / "j")).collect() == df.collect()
+
+
+def stored_rows(store):
+    return {(r.source, r.source_external_id): (r.is_listed, [tuple(k) for k in r.duplicate_keys or []], r.last_seen.day) for r in store.read("listings", LISTINGS).collect()}
+
+
+def test_refresh_folds_later_copies(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    run = Refresh(store, CASCADE, delisting_sources=("c",))
+    scope = spark.createDataFrame([("c", "Acme")], "source string, company string")
+    run.run(delivery(spark, ("c", "1", "Engineer Intern", "X", None), ("c", "8", "Web Intern", "Z", None), ("d", "5", "Data Intern", "Y", [("c", "9")])), scope.limit(0), "2025-01-01 00:00:00")
+    # The same role under another id and in another feed, an alias of a stored row, and one in the batch.
+    again = delivery(spark, ("c", "2", "Engineer Intern", "X ", None), ("d", "7", "Web Intern", "Z", None), ("d", "3", "Web Dev Intern", "Z", [("c", "8")]), ("c", "6", "Lab Intern", "V", None), ("d", "6", "Lab Intern II", "V", [("c", "6")]))
+    for day in (2, 3):  # suppressed each time
+        run.run(again, scope.limit(0), f"2025-01-0{day} 00:00:00")
+        assert stored_rows(store) == {
+            ("c", "1"): (True, [("c", "2")], day),
+            ("c", "8"): (True, [("d", "3"), ("d", "7")], day),
+            ("c", "6"): (True, [("d", "6")], day),
+            ("d", "5"): (True, [("c", "9")], 1),
+        }
+    # The row that a carrier aliases is written: the carrier retires and its key is kept.
+    run.run(delivery(spark, ("c", "9", "Data Intern II", "Y", None)), scope.limit(0), "2025-01-04 00:00:00")
+    rows = stored_rows(store)
+    assert rows[("c", "9")] == (True, [("d", "5")], 4) and rows[("d", "5")][0] is False
+    # A folded key is no alias: its own row may come without the owner's being retired.
+    run.run(delivery(spark, ("d", "7", "Robot Intern", "Z", None)), scope.limit(0), "2025-01-05 00:00:00")
+    rows = stored_rows(store)
+    assert rows[("c", "8")][0] and rows[("d", "7")][0]
+    # A full snapshot without the owner delists it first, so the repost is a listing of its own.
+    run.run(delivery(spark, ("c", "2", "Engineer Intern", "X", None)), scope, "2025-01-06 00:00:00")
+    rows = stored_rows(store)
+    assert not rows[("c", "1")][0] and rows[("c", "2")][0]

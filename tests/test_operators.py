@@ -209,3 +209,11 @@ def test_profile():
     first, second = slot.begin(), slot.begin()
     assert slot.finish(second, "b") and not slot.finish(first, "a") and slot.held == (2, "b")
     assert needs_new_vector("a", "b") and not needs_new_vector("a", "a")
+
+
+def test_alias_pass_loses_no_key(spark):
+    schema = "key struct<source:string,source_external_id:string>, keys array<struct<source:string,source_external_id:string>>"
+    batch = spark.createDataFrame([(("c", "1"), [("d", "1")]), (("d", "1"), [("c", "1")]), (("e", "1"), [("d", "1")])], schema)
+    left, more = D.alias_pass(batch, batch.limit(0).selectExpr("*", "true as on"), "key", "keys", "on")
+    assert {tuple(r.key): [tuple(x) for x in r["keys"]] for r in left.collect()} == {("c", "1"): [("d", "1")], ("e", "1"): [("d", "1")]}
+    assert more.count() == 0
