@@ -24,6 +24,8 @@ def union_keys(*arrays: Column) -> Column:
 def survivors(df: DataFrame, by: list[Column], key: str, order: list[Column] | None = None) -> DataFrame:
     """One row for each group of equal keys: the smallest ``key``, and ``siblings``, the others' keys.
 
+    ``key`` may be a struct: ids of several sources are told apart by ``own_key`` only.
+
     Grouped by ``min_by`` with map-side combining instead of a window, so a group with a third of all
     rows is reduced before the exchange. Null keys of ``by`` form a group of their own; of equal
     smallest keys any one row stays, being a repeated row.

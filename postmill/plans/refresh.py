@@ -55,9 +55,8 @@ class Refresh:
         gone = cut(gone)
         held = cut(merge(stored, gone, KEY, only=["is_listed"], insert=False))
         keyed = held.withColumn("key", own_key())
-        one = survivors(delivery, dedup_key("company", "title", "location"), "source_external_id", [F.col("source")])
-        same = F.transform("siblings", lambda k: F.struct(F.col("source").alias("source"), k.alias("source_external_id")))
-        one = one.withColumns({"key": own_key(), "siblings": same, "aliases": cross_keys("duplicate_keys", F.col("source"))})
+        one = survivors(delivery.withColumn("key", own_key()), dedup_key("company", "title", "location"), "key")
+        one = one.withColumn("aliases", cross_keys("duplicate_keys", F.col("source")))
         owned = cut(owners(one, keyed, "company", "title", "location", "key", "is_listed"))
         had = keyed.select("key", F.col("duplicate_keys").alias("had"), F.col("aliases").alias("had_aliases"))
         mine = owned.where("outcome <> 'other'").join(had, "key", "left")

@@ -155,3 +155,11 @@ def test_refresh_folds_later_copies(spark, tmp_path):
     run.run(delivery(spark, ("c", "2", "Engineer Intern", "X", None)), scope, "2025-01-06 00:00:00")
     rows = stored_rows(store)
     assert not rows[("c", "1")][0] and rows[("c", "2")][0]
+
+
+def test_refresh_siblings_of_several_sources(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    run = Refresh(store, CASCADE)
+    none = spark.createDataFrame([], "source string, company string")
+    run.run(delivery(spark, ("c", "1", "Engineer Intern", "X", None), ("d", "9", "Engineer Intern", "X", None), ("c", "2", "Web Intern", "X", None), ("d", "2", "Web Intern", "X", None)), none, "2025-01-01 00:00:00")
+    assert stored_rows(store) == {("c", "1"): (True, [("d", "9")], 1), ("c", "2"): (True, [("d", "2")], 1)}
