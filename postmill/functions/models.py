@@ -11,6 +11,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Classifier(Protocol):
@@ -110,6 +111,35 @@ def classify(df: DataFrame, client: Classifier, keys: list[str], title: str, bod
     return df.select(*dict.fromkeys([*keys, title, body])).mapInPandas(run, f"{_types(df, keys)}, relevant boolean, kind string, field string, error string")
 
 
+# What an extraction may find, and its types.
+EXTRACTED = {
+    "grad_date_min": "date", "grad_date_max": "date", "grad_year_min": "int", "grad_year_max": "int",
+    "citizenship_status": "string", "degree_status": "string", "application_deadline": "timestamp",
+}
+
+
+def extract(df: DataFrame, client, keys: list[str], title: str, body: str) -> DataFrame:
+    """``keys``, the fields of ``EXTRACTED`` that ``client.extract(title, body)`` finds, and ``error``.
+
+    A failing row has an error and null fields; a value that isn't of its field's type is null.
+    """
+
+    def one(t, b) -> tuple:
+        try:
+            r = with_retry(lambda: client.extract(t or "", b or ""))
+            return (*[None if r.get(f) is None else str(r[f]) for f in EXTRACTED], None)
+        except Exception as e:  # noqa: BLE001 - isolated by row
+            return (*[None] * len(EXTRACTED), str(e)[:500])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = pd.DataFrame([one(t, b) for t, b in zip(pdf[title], pdf[body])], columns=[*EXTRACTED, "error"], index=pdf.index, dtype=object)
+            yield pd.concat([pdf[keys], got], axis=1)
+
+    told = df.select(*dict.fromkeys([*keys, title, body])).mapInPandas(run, f"{_types(df, keys)}, {', '.join(f'{f} string' for f in EXTRACTED)}, error string")
+    return told.select(*keys, *[F.col(f).try_cast(t).alias(f) for f, t in EXTRACTED.items()], "error")
+
+
 def embed(df: DataFrame, client: Embedder, keys: list[str], text: str, size: int = 16) -> DataFrame:
     """``keys, vector, error``: texts go to the client in groups of ``size``.
 

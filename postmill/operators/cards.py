@@ -89,3 +89,15 @@ def urgency(deadline: Column, now: Column, soon_days: int = 14) -> Column:
 
 def days_left(deadline: Column, now: Column) -> Column:
     return F.ceil((F.unix_micros(deadline) - F.unix_micros(now)) / F.lit(86_400_000_000))
+
+
+def grad_window(lowest: Column, highest: Column) -> Column:
+    """A label of years of graduation: both, one, from one on, up to one; empty without any."""
+    short = lambda y: F.concat(F.lit("\u2019"), F.substring(y.cast("string"), 3, 100))
+    both = F.when(lowest == highest, short(lowest)).otherwise(F.concat(short(lowest), F.lit("\u2013"), short(highest)))
+    return (
+        F.when(lowest.isNull() & highest.isNull(), "")
+        .when(highest.isNull(), F.concat(short(lowest), F.lit("+")))
+        .when(lowest.isNull(), F.concat(F.lit("\u2264"), short(highest)))
+        .otherwise(both)
+    )

@@ -91,6 +91,19 @@ def entered(a: DataFrame, b: DataFrame, k: int, rank: str = "rank", key: str = "
     return a.where(F.col(rank) < k).select(key).join(b.where(F.col(rank) < k).select(key), key, "left_anti")
 
 
+def judged(ranked: DataFrame, labels: DataFrame, k: int, rank: str = "rank", key: str = "id", label: str = "label") -> DataFrame:
+    """``ranked`` with its labels; a row among the first ``k`` without one is an error."""
+    missing = F.raise_error(F.concat(F.lit("unlabelled item "), F.col(key).cast("string"))).cast("string")
+    blank = F.coalesce(F.col(label), F.lit("")) == ""
+    return ranked.join(labels.select(key, label), key, "left").withColumn(label, F.when(blank & (F.col(rank) < k), missing).otherwise(F.col(label)))
+
+
+def retained(labels: DataFrame, pooled: DataFrame, items: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """Labelled rows outside the pool whose item still exists."""
+    told = labels.where(F.coalesce(F.col(label), F.lit("")) != "")
+    return told.join(pooled.select(key), key, "left_anti").join(items.select(key), key, "left_semi")
+
+
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """``df`` with the number of its batch in a total order, full batches of ``size``."""
     from postmill.operators.rank import global_rank
@@ -99,4 +112,4 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return ranked.withColumn("batch", F.floor(F.col("__rank") / size)).drop("__rank", "__o")
 
 
-__all__ = ["allocate", "batches", "entered", "holdout", "ndcg_at_k", "pool", "precision_at_k", "stratified_counts", "stratified_sample"]
+__all__ = ["allocate", "batches", "entered", "holdout", "judged", "ndcg_at_k", "pool", "precision_at_k", "retained", "stratified_counts", "stratified_sample"]

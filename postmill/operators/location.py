@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.schema import clean
@@ -54,3 +54,9 @@ def location_facets(df: DataFrame, key: list[str], location: str, terms: DataFra
     empty = F.array().cast("array<string>")
     joined = df.select(*key, F.col(location).alias("__v")).join(arrays, "__v", "left")
     return joined.select(*key, F.coalesce("countries", empty).alias("countries"), F.coalesce("regions", empty).alias("regions"))
+
+
+def user_countries(countries: Column, states: Column) -> Column:
+    """The countries a user chose, each once, and US if any state was chosen."""
+    none = F.array().cast("array<string>")
+    return F.array_union(F.coalesce(countries, none), F.when(F.size(F.coalesce(states, none)) > 0, F.array(F.lit("US"))).otherwise(none))

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.models import Classifier, RuleClassifier, classify
+from postmill.functions.models import EXTRACTED, Classifier, RuleClassifier, classify, extract
 from postmill.operators.dedup import alias_pass, cross_keys, fold_keys, own_key, owners, retire_carriers, survivors, union_keys
 from postmill.operators.lifecycle import delisted, insert_new, merge, partition_seen
+from postmill.operators.location import location_facets
 from postmill.operators.rules import Cascade, counters, decide, route
 from postmill.plans.store import SnapshotStore
 from postmill.schema import dedup_key
@@ -19,8 +20,11 @@ KEY = ["source", "source_external_id"]
 LISTINGS = (
     "source string, source_external_id string, company string, title string, location string, description_plain string, url string, "
     "duplicate_keys array<struct<source:string,source_external_id:string>>, kind string, first_seen timestamp, last_seen timestamp, is_listed boolean, "
-    "aliases array<struct<source:string,source_external_id:string>>"
+    "aliases array<struct<source:string,source_external_id:string>>, countries array<string>, regions array<string>, "
+    + ", ".join(f"{f} {t}" for f, t in EXTRACTED.items())
 )
+# Columns that a delivery may have beside those of LISTINGS up to duplicate_keys.
+OPTIONAL = {"preclassified_kind": "string", "application_deadline": "timestamp"}
 REJECTS = "source string, source_external_id string, last_seen timestamp"
 
 
@@ -32,6 +36,23 @@ class Refresh:
     cascade: Cascade
     client: Classifier = None
     delisting_sources: tuple[str, ...] = ()
+    places: DataFrame = None
+    extractor: object = None
+
+    def _located(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the facets of their location, made at every write; null without a dictionary."""
+        if self.places is None:
+            none = F.lit(None).cast("array<string>")
+            return rows.withColumns({"countries": none, "regions": none})
+        return rows.join(location_facets(rows, KEY, "location", self.places), KEY, "left")
+
+    def _extracted(self, keeps: DataFrame) -> DataFrame:
+        """``keeps`` with the extracted fields; a deadline of the feed wins, and preclassified rows aren't read."""
+        if self.extractor is None:
+            return keeps
+        found = extract(keeps.where("preclassified_kind is null"), self.extractor, KEY, "title", "description_plain").drop("error")
+        found = found.withColumnRenamed("application_deadline", "told")
+        return keeps.join(found, KEY, "left").withColumn("application_deadline", F.coalesce("application_deadline", "told")).drop("told")
 
     def run(self, delivery: DataFrame, complete: DataFrame, now: str, offsets: dict | None = None) -> DataFrame:
         """Delist, dedup, split by what is known, route and judge the unseen, merge, retire, publish; gives the counts.
@@ -43,12 +64,15 @@ class Refresh:
         counts as seen. ``aliases`` keeps the delivered keys of other sources; folded keys aren't
         aliases. A verdict is asked for unseen rows that no rule decides. Only rejects of the model
         are remembered; other drops are judged again in the next run. A delisted row that comes
-        again is active again. Offsets become current with the state, so a failed run is repeated
+        again is active again. A delivery may have the columns of OPTIONAL: an unseen row with
+        ``preclassified_kind`` is kept as that without rules or model. Keeps go to the extractor, if
+        there is one; every written row has its location's facets by ``places``. Offsets become current with the state, so a failed run is repeated
         from the old ones.
         """
         store, at = self.store, F.lit(now).cast("timestamp")
         stored, rejects, number = store.read("listings", LISTINGS), store.read("rejects", REJECTS), store.number
         stored = stored.withColumn("aliases", F.coalesce("aliases", cross_keys("duplicate_keys", F.col("source"))))
+        delivery = delivery.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in delivery.columns})
         gone = delisted(
             stored.where(F.col("source").isin(list(self.delisting_sources))), delivery, complete, ["source", "company"], KEY, "is_listed"
         ).select(*KEY, F.lit(False).alias("is_listed"))
@@ -58,21 +82,24 @@ class Refresh:
         one = survivors(delivery.withColumn("key", own_key()), dedup_key("company", "title", "location"), "key")
         one = one.withColumn("aliases", cross_keys("duplicate_keys", F.col("source")))
         owned = cut(owners(one, keyed, "company", "title", "location", "key", "is_listed"))
-        had = keyed.select("key", F.col("duplicate_keys").alias("had"), F.col("aliases").alias("had_aliases"))
+        had = keyed.select("key", F.col("duplicate_keys").alias("had"), F.col("aliases").alias("had_aliases"), F.col("application_deadline").alias("had_deadline"))
         mine = owned.where("outcome <> 'other'").join(had, "key", "left")
-        mine = mine.withColumns({"duplicate_keys": union_keys("had", "duplicate_keys", "siblings"), "aliases": union_keys("had_aliases", "aliases")})
-        left, folds = alias_pass(cut(mine.drop("siblings", "owner", "outcome", "had", "had_aliases")), keyed, "key", "duplicate_keys", "is_listed", "aliases")
+        mine = mine.withColumns({"duplicate_keys": union_keys("had", "duplicate_keys", "siblings"), "aliases": union_keys("had_aliases", "aliases"), "application_deadline": F.coalesce("application_deadline", "had_deadline")})
+        left, folds = alias_pass(cut(mine.drop("siblings", "owner", "outcome", "had", "had_aliases", "had_deadline")), keyed, "key", "duplicate_keys", "is_listed", "aliases")
         copies = owned.where("outcome = 'other'").select(F.col("owner").alias("target"), union_keys(F.array("key"), "siblings").alias("keys"))
         folds = cut(copies.unionByName(folds))
         batch = cut(partition_seen(left.drop("key"), held, rejects, KEY))
-        routed = route(batch.where("seen = 'unseen'"), self.cascade, "title", "description_plain")
+        unseen = batch.where("seen = 'unseen'")
+        routed = route(unseen.where("preclassified_kind is null"), self.cascade, "title", "description_plain")
         asked = classify(routed.where("route = 'model'"), self.client or RuleClassifier(), KEY, "title", "description_plain")
-        judged = cut(decide(routed.join(asked, KEY, "left"), "relevant", "kind", "error"))
+        pre = unseen.where("preclassified_kind is not null").withColumns({"kind": F.col("preclassified_kind"), "bucket": F.lit("keep")})
+        judged = cut(decide(routed.join(asked, KEY, "left"), "relevant", "kind", "error").unionByName(pre, allowMissingColumns=True))
         keeps = judged.where("bucket = 'keep'").select(*batch.drop("seen").columns, "kind")
+        keeps = cut(self._located(self._extracted(keeps)))
         stamp = {"first_seen": at, "last_seen": at, "is_listed": F.lit(True)}
         next_rows = merge(held, keeps.withColumns(stamp), KEY, once=["first_seen"])
-        known = batch.where("seen = 'keep'").drop("seen").withColumns({"last_seen": at, "is_listed": F.lit(True)})
-        facts = ["company", "title", "location", "description_plain", "url", "duplicate_keys", "aliases", "last_seen", "is_listed"]
+        known = self._located(batch.where("seen = 'keep'").drop("seen")).withColumns({"last_seen": at, "is_listed": F.lit(True)})
+        facts = ["company", "title", "location", "description_plain", "url", "duplicate_keys", "aliases", "countries", "regions", "application_deadline", "last_seen", "is_listed"]
         next_rows = merge(next_rows, known, KEY, only=facts, insert=False).withColumn("key", own_key())
         next_rows = cut(fold_keys(next_rows, folds, "key", "duplicate_keys", "last_seen", at))
         written = keeps.select(own_key().alias("key")).unionByName(known.select(own_key().alias("key")))

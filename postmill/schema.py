@@ -86,3 +86,15 @@ def parse_vector(text: Column) -> Column:
     """The vector of a text; malformed and empty ones give null."""
     v = F.from_json(text, "array<double>")
     return F.when((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()), v)
+
+
+def valid_signature(json: Column) -> Column:
+    """The signature in a JSON object, null unless of its shape: 1 to 20 skills, a level, a focus of 1 to 300 UTF-16 units."""
+    raw = F.try_parse_json(json)
+    part = lambda name: F.try_variant_get(raw, f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(F.schema_of_variant(part(name)), F.lit(""))
+    s = F.from_json(json, "skills array<string>, domains array<string>, level string, focus string")
+    texts = lambda name: kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(s[name], lambda x: x.isNull())
+    good = texts("skills") & F.size(s["skills"]).between(1, 20) & texts("domains") & (kind("level") == "STRING") & (s["level"] != "")
+    good = good & (kind("focus") == "STRING") & (clean(s["focus"]) != "") & (F.octet_length(F.encode(s["focus"], "UTF-16BE")) <= 600)
+    return F.when(good, s)

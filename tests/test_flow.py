@@ -163,3 +163,28 @@ def test_refresh_siblings_of_several_sources(spark, tmp_path):
     none = spark.createDataFrame([], "source string, company string")
     run.run(delivery(spark, ("c", "1", "Engineer Intern", "X", None), ("d", "9", "Engineer Intern", "X", None), ("c", "2", "Web Intern", "X", None), ("d", "2", "Web Intern", "X", None)), none, "2025-01-01 00:00:00")
     assert stored_rows(store) == {("c", "1"): (True, [("d", "9")], 1), ("c", "2"): (True, [("d", "2")], 1)}
+
+
+class Extractor:
+    def extract(self, title, body):
+        if "Web" in title:
+            raise ValueError("no answer")
+        return {"grad_year_min": 2027, "grad_year_max": "soon", "degree_status": "bachelor", "application_deadline": "2025-03-01"}
+
+
+def test_refresh_fills_rows(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    terms = spark.createDataFrame([("utah", False, 1, "US", "UT"), ("france", False, 2, "FR", None)], "term string, exact boolean, priority int, country string, region string")
+    run = Refresh(store, CASCADE, places=terms, extractor=Extractor())
+    none = spark.createDataFrame([], "source string, company string")
+    plain = delivery(spark, ("c", "1", "Engineer Intern", "Utah", None), ("c", "2", "Web Engineer Intern", "France", None), ("c", "3", "Engineer Intern II", "Mars", None), ("d", "4", "Manager", "Utah", None))
+    told = plain.selectExpr("*", "if(source_external_id in ('2', '3'), timestamp'2025-02-01', null) application_deadline", "if(source = 'd', 'new grad', null) preclassified_kind")
+    run.run(told, none, "2025-01-01 00:00:00")
+    rows = {r.source_external_id: r for r in store.read("listings", LISTINGS).collect()}
+    assert {i: (r.countries, r.regions) for i, r in rows.items()} == {"1": (["US"], ["UT"]), "2": (["FR"], []), "3": ([], []), "4": (["US"], ["UT"])}
+    assert {i: (r.grad_year_min, r.grad_year_max, r.degree_status) for i, r in rows.items()} == {"1": (2027, None, "bachelor"), "2": (None,) * 3, "3": (2027, None, "bachelor"), "4": (None,) * 3}
+    assert {i: r.application_deadline and r.application_deadline.month for i, r in rows.items()} == {"1": 3, "2": 2, "3": 2, "4": None}
+    assert rows["4"].kind == "new grad"
+    run.run(delivery(spark, ("c", "1", "Engineer Intern", "France", None)), none, "2025-01-02 00:00:00")  # an edit makes the facets again
+    row = store.read("listings", LISTINGS).where("source_external_id = '1'").first()
+    assert (row.countries, row.grad_year_min, row.application_deadline.month) == (["FR"], 2027, 3)

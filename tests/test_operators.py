@@ -217,3 +217,27 @@ def test_alias_pass_loses_no_key(spark):
     left, more = D.alias_pass(batch, batch.limit(0).selectExpr("*", "true as on"), "key", "keys", "on")
     assert {tuple(r.key): [tuple(x) for x in r["keys"]] for r in left.collect()} == {("c", "1"): [("d", "1")], ("e", "1"): [("d", "1")]}
     assert more.count() == 0
+
+
+def test_small_functions_of_the_survey(spark):
+    from postmill.operators.cards import grad_window
+    from postmill.operators.evaluate import judged, retained
+    from postmill.operators.location import user_countries
+    from postmill.schema import valid_signature
+
+    years = spark.createDataFrame([(None, None), (2026, 2026), (2026, 2028), (2026, None), (None, 2028)], "a int, b int")
+    assert [r[0] for r in years.select(grad_window(F.col("a"), F.col("b"))).collect()] == ["", "’26", "’26–’28", "’26+", "≤’28"]
+    chosen = spark.createDataFrame([(["CA"], ["UT"]), (["US"], ["UT"]), (["CA"], []), (None, None)], "c array<string>, s array<string>")
+    assert [r[0] for r in chosen.select(user_countries(F.col("c"), F.col("s"))).collect()] == [["CA", "US"], ["US"], ["CA"], []]
+    sig = lambda skills='["a"]', focus='"f"', level='"l"', domains="[]": f'{{"skills": {skills}, "domains": {domains}, "level": {level}, "focus": {focus}}}'
+    good = [sig(), sig(focus=f'"{"x" * 300}"'), sig(skills=str(["a"] * 20).replace("'", '"'))]
+    bad = [sig("[]"), sig("[1]"), sig('["a", null]'), sig('"a"'), sig(str(["a"] * 21).replace("'", '"')), sig(focus='" "'), sig(focus=f'"{"x" * 301}"'), sig(focus="1"), sig(level='""'), sig(domains="null"), "[]", "no", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i int, t string")
+    assert [r.i for r in df.where(valid_signature(F.col("t")).isNotNull()).orderBy("i").collect()] == [0, 1, 2]
+    ranked = spark.createDataFrame([(1, 0), (2, 1)], "id int, rank int")
+    labels = spark.createDataFrame([(1, "relevant"), (3, "irrelevant"), (4, "relevant"), (5, "")], "id int, label string")
+    assert {r.id: r.label for r in judged(ranked, labels, 1).collect()} == {1: "relevant", 2: None}
+    with pytest.raises(Exception, match="unlabelled item 2"):
+        judged(ranked, labels, 2).collect()
+    items = spark.createDataFrame([(1,), (3,), (5,)], "id int")
+    assert [r.id for r in retained(labels, ranked, items).collect()] == [3]
