@@ -24,7 +24,7 @@ from postmill.session import cut, small
 ROWS, BANDS = 7, 100
 # Candidates are joined to their texts by broadcast up to this many of them, else by shuffle.
 BROADCAST_CANDIDATES = 100_000
-# Classes of equal sets with more members than this are linked to their first member only.
+# Groups of equal texts with more members than this are linked to their first member only.
 ALL_PAIRS_WITHIN = 1_000
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -147,20 +147,22 @@ def _text_of(title, body):
 
 
 def _sets(df: DataFrame, key: str, title: str, body: str, n: int, min_words: int, with_bands: bool) -> DataFrame:
-    """Of each record with enough words: key, class (hash of its set), set size and its bands or its set."""
+    """Of each record with enough words: key, class (hash of its set), hash of its text, set size and its bands or its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n, min_words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512).to_pydict()
-                keys, classes, sizes, lists = [], [], [], []
+                keys, classes, texts, sizes, lists = [], [], [], [], []
                 for k, t, b in zip(part["k"], part["t"], part["b"]):
-                    s = shingle(_text_of(t, b))
+                    text = _text_of(t, b)
+                    s = shingle(text)
                     if s is None:
                         continue
                     keys.append(k)
                     classes.append(shingle.hash(s.tobytes()))
+                    texts.append(shingle.hash(text))
                     sizes.append(len(s))
                     lists.append(dart_signature(s.view(np.uint64), np.ones(len(s)), ROWS * BANDS) if with_bands else s)
                 if with_bands and lists:
@@ -169,15 +171,16 @@ def _sets(df: DataFrame, key: str, title: str, body: str, n: int, min_words: int
                     [
                         pa.array(keys, pa.string()),
                         pa.array(np.array(classes, dtype=np.uint64).view(np.int64), pa.int64()),
+                        pa.array(np.array(texts, dtype=np.uint64).view(np.int64), pa.int64()),
                         pa.array(sizes, pa.int32()),
                         pa.array(lists, pa.list_(pa.int64())),
                     ],
-                    names=["k", "cls", "n", "items"],
+                    names=["k", "cls", "txt", "n", "items"],
                 )
 
     rows = df.where(F.col(key).isNotNull() & F.col(body).isNotNull())
     rows = rows.select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(body).alias("b"))
-    return rows.mapInArrow(run, "k string, cls bigint, n int, items array<bigint>")
+    return rows.mapInArrow(run, "k string, cls bigint, txt bigint, n int, items array<bigint>")
 
 
 class NearDuplicates:
@@ -211,6 +214,7 @@ class NearDuplicates:
     ) -> None:
         signed = cut(_sets(df, key, title, body, n, min_words, True))
         self.members = signed.select("cls", "k").distinct()
+        self.texts = signed.select("cls", "txt", "k").distinct()
         classes = signed.groupBy("cls").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("items").alias("bands"))
         banded = classes.select("cls", "n", F.explode("bands").alias("band"))
         a, b = banded.select("band", F.col("cls").alias("a"), F.col("n").alias("na")), banded.select("band", F.col("cls").alias("b"), F.col("n").alias("nb"))
@@ -237,21 +241,19 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """All pairs of records ``id_a < id_b``.
 
-        A class of more than ``ALL_PAIRS_WITHIN`` equal sets is not expanded: its first record stands
-        for it in pairs with others, and its members are linked to the first.
+        Within a class all are paired. Only more than ``ALL_PAIRS_WITHIN`` records of exactly one text
+        aren't expanded: the first stands for them in pairs with other texts, and they are linked to it.
         """
-        m = self.members
-        classes = m.groupBy("cls").agg(F.count("*").alias("size"), F.min("k").alias("first"))
-        copies = cut(m.join(classes, "cls"))
-        shown = copies.where((F.col("size") <= ALL_PAIRS_WITHIN) | (F.col("k") == F.col("first")))
+        m = self.texts
+        groups = m.groupBy("cls", "txt").agg(F.count("*").alias("size"), F.min("k").alias("first"))
+        copies = cut(m.join(groups, ["cls", "txt"]))
+        shown = copies.where((F.col("size") <= ALL_PAIRS_WITHIN) | (F.col("k") == F.col("first"))).select("cls", "k").distinct()
         across = (
             self.links.join(shown.select(F.col("cls").alias("a"), F.col("k").alias("x")), "a")
             .join(shown.select(F.col("cls").alias("b"), F.col("k").alias("y")), "b")
             .select("x", "y")
         )
-        copies = copies.where("size > 1")
-        few = copies.where(F.col("size") <= ALL_PAIRS_WITHIN)
-        inner = few.select("cls", F.col("k").alias("x")).join(few.select("cls", F.col("k").alias("y")), "cls").where("x < y")
+        inner = shown.select("cls", F.col("k").alias("x")).join(shown.select("cls", F.col("k").alias("y")), "cls").where("x < y")
         star = copies.where((F.col("size") > ALL_PAIRS_WITHIN) & (F.col("k") > F.col("first"))).select(F.col("first").alias("x"), F.col("k").alias("y"))
         both = across.unionByName(inner.select("x", "y")).unionByName(star).where("x <> y")
         return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -100,6 +100,17 @@ def test_hot_class_is_not_expanded(spark, monkeypatch):
     assert {(x.class_id, x.n_links) for x in near.classes().collect()} == {("k00", 19)}
 
 
+def test_hot_class_lists_pairs_of_its_texts(spark, monkeypatch):
+    monkeypatch.setattr("postmill.llm.neardup.ALL_PAIRS_WITHIN", 5)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"k{i:02d}", "t", t) for i, t in enumerate([text] * 7 + [text.upper()] * 2 + [text.replace(" ", ", ")])]
+    near = NearDuplicates(spark.createDataFrame(rows, "id string, title string, descriptionPlain string"))
+    star = {("k00", f"k{i:02d}") for i in range(1, 7)}
+    full = {("k00", "k07"), ("k00", "k08"), ("k00", "k09"), ("k07", "k08"), ("k07", "k09"), ("k08", "k09")}
+    assert {tuple(x) for x in near.pairs().collect()} == star | full
+    assert {(x.class_id, x.n_links) for x in near.classes().collect()} == {("k00", 9)}
+
+
 def test_dart_similarity():
     r = np.random.default_rng(3)
     x = r.integers(0, 2**63, 300).astype(np.uint64)
