@@ -19,8 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import cut
+
 # Entries of the reference that one tree holds; a longer list is divided over several trees.
 SHARD_ENTRIES = 50_000
+# A list of up to so many entries (some 20 MB) goes to every worker whole; of a longer one each task gets one shard.
+BROADCAST_ENTRIES = 200_000
+# Distinct values that one task holds against one shard, where the list is too long for every worker.
+SALT_VALUES = 50_000
 # Resolved values that a worker remembers: a bound on its memory, not on what is resolved.
 REMEMBERED = 100_000
 RADIUS = 2
@@ -133,32 +139,25 @@ class BKTree:
         return hits
 
 
-class Gazetteer:
-    """A shard of the reference list, and what its values may say beside a city."""
+class Areas:
+    """What values may say beside a city: the regions and countries of the whole list, and the measures of its names."""
 
-    def __init__(self, rows: list[tuple[int, str, str | None, str | None, str | None]]) -> None:
-        self.places: dict[str, list[tuple[int, str | None, str | None]]] = defaultdict(list)
+    def __init__(self, areas: list[tuple[str | None, str | None, str | None]], shortest: int, longest: int, most_words: int) -> None:
+        self.shortest, self.longest, self.most_words = shortest, longest, most_words + 1
         self.regions: dict[tuple[str, ...], str] = {}
         self.countries: dict[tuple[str, ...], str] = {}
-        for place, city, region, code, country in rows:
-            region_key, country_key = (fold(x) if x else None for x in (region, country))
-            if key := "".join(words_of(city or "")):
-                self.places[key].append((place, region_key, country_key))
+        for region, code, country in areas:
             for name in (region, code):
                 if name and (w := tuple(_WORD.findall(fold(name)))):
-                    self.regions[w] = region_key or fold(name)
-            if country and (w := tuple(_WORD.findall(country_key))):
-                self.countries[w] = country_key
+                    self.regions[w] = fold(region or name)
+            if country and (w := tuple(_WORD.findall(fold(country)))):
+                self.countries[w] = fold(country)
         for alias, country in _COUNTRIES.items():
             if country in self.countries.values():
                 self.countries.setdefault(tuple(alias.split()), country)
         self.known_words = {w for k in (*self.regions, *self.countries) for w in k}
-        self.tree = BKTree(sorted(self.places))
-        self.longest = max((len(k) for k in self.places), default=0)
-        self.shortest = min((len(k) for k in self.places), default=0)
-        self.most_words = 1 + max((len(words_of(r[1] or "")) for r in rows), default=0)
 
-    def windows(self, words: list[str]) -> Iterator[tuple[str, int, int]]:
+    def runs(self, words: list[str]) -> Iterator[tuple[str, int, int]]:
         """Runs of words that may be a city, written together."""
         for i in range(len(words)):
             for j in range(i + 1, min(i + self.most_words, len(words)) + 1):
@@ -169,7 +168,7 @@ class Gazetteer:
                     yield key, i, j
 
     def said(self, words: list[str]) -> tuple[set[str], set[str]]:
-        """Regions and countries that words name, exactly or, where none does, with one slip."""
+        """Regions and countries that words name."""
         regions, countries = set(), set()
         for i in range(len(words)):
             for j in range(i + 1, min(i + 4, len(words) + 1)):
@@ -180,84 +179,137 @@ class Gazetteer:
                     countries.add(self.countries[w])
         return regions, countries
 
-    def choose(self, words: list[str], hits: list[tuple[int, str, int, int]]) -> tuple[int, list[int]]:
-        """The least distance of a city that agrees with the rest of the value, and the places left at it."""
-        options: dict[int, tuple[int, bool, int]] = {}
-        for d, key, i, j in hits:
+    def choose(self, words: list[str], hits: list[tuple]) -> list[int]:
+        """Of hits ``(distance, key, i, j, places of the key)`` the places of the best reading, whatever their order.
+
+        A run of words that is exactly a listed name means that name: it isn't read as another one
+        misspelt, not even where its own places are ruled out by what stands beside it.
+        """
+        taken = {n for d, _, i, j, _ in hits if d == 0 for n in range(i, j)}
+        options: dict[int, tuple] = {}
+        for d, key, i, j, places in hits:
+            if d and not taken.isdisjoint(range(i, j)):
+                continue
             regions, countries = self.said(words[:i] + words[j:])
-            for place, region, country in self.places[key]:
+            run = "".join(words[i:j])
+            for place, region, country in places:
                 if regions and region not in regions:
                     # Of a code that is both a country and a region the country may be meant.
                     if region is not None or not countries or country not in countries:
                         continue
                 if not regions and countries and country not in countries:
                     continue
-                # A run that ends in a region's word takes in what should tell places apart.
+                # A run that ends in a region's word takes in what should tell places apart. First letters are
+                # seldom mistyped, so of names as near the one with the same first letter is meant.
                 edge = j - i > 1 and (words[i] in self.known_words or words[j - 1] in self.known_words)
-                rank = (d, edge, -len(key))
+                rank = (d, edge, key[:1] != run[:1], -len(key))
                 if place not in options or rank < options[place]:
                     options[place] = rank
-        if not options:
-            return 99, []
-        best = min(options.values())
-        return best[0], [p for p, r in options.items() if r == best]
-
-    def resolve(self, values: list[str]) -> list[tuple[int, list[int]]]:
-        """For each value the distance and the places of its best reading; no place where it names none."""
-        out: list[tuple[int, list[int]]] = [(99, [])] * len(values)
-        asked: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-        split = [words_of(v) for v in values]
-        for n, words in enumerate(split):
-            found = [(key, i, j) for key, i, j in self.windows(words)]
-            exact = [(0, key, i, j) for key, i, j in found if key in self.places]
-            if exact:
-                out[n] = self.choose(words, exact)
-            if not out[n][1] and not exact:
-                for key, i, j in found:
-                    asked[key].append((n, i, j))
-        queries = sorted(asked)
-        near: dict[int, list[tuple[int, str, int, int]]] = defaultdict(list)
-        left = queries
-        for radius in range(1, RADIUS + 1):  # most slips are single ones, and a small radius prunes best
-            hits = self.tree.within(left, radius)
-            for q, found in hits.items():
-                for n, i, j in asked[left[q]]:
-                    near[n] += [(d, self.tree.names[node], i, j) for d, node in found]
-            done = {n for n in near if self.choose(split[n], near[n])[1]}
-            left = [k for k in left if any(n not in done for n, _, _ in asked[k])]
-        for n, found in near.items():
-            out[n] = self.choose(split[n], sorted(set(found)))
+        best = min(options.values(), default=None)
+        return sorted(p for p, r in options.items() if r == best)
+
+
+class Index:
+    """The names of a list, or of a shard of it, in BK-trees of at most ``SHARD_ENTRIES`` names each."""
+
+    def __init__(self, entries: list[tuple[int, str, str | None, str | None]]) -> None:
+        self.places: dict[str, list[tuple]] = defaultdict(list)
+        for place, key, region, country in entries:
+            self.places[key].append((place, fold(region) if region else None, fold(country) if country else None))
+        names = sorted(self.places)
+        self.trees = [BKTree(names[lo : lo + SHARD_ENTRIES]) for lo in range(0, len(names), SHARD_ENTRIES)]
+
+    def within(self, queries: list[str], radius: int) -> dict[int, list[tuple[int, str]]]:
+        """For each query with a hit: (distance, name) over all trees."""
+        out: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for tree in self.trees:
+            for q, found in tree.within(queries, radius).items():
+                out[q] += [(d, tree.names[n]) for d, n in found]
         return out
 
 
-_gazetteers: dict[str, Gazetteer] = {}
-_memory: dict[tuple[str, str], tuple[int, list[int]]] = {}
+def read_values(areas: Areas, index: Index, values: list[str]) -> list[list[int]]:
+    """The places that each value may name: one where it names a place, none or several where it names none."""
+    split = [words_of(v) for v in values]
+    asked: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+    for n, words in enumerate(split):
+        for key, i, j in areas.runs(words):
+            asked[key].append((n, i, j))
+    out: list[list[int]] = [[] for _ in values]
+    near: dict[int, list[tuple]] = defaultdict(list)
+    left = sorted(asked)
+    for radius in range(RADIUS + 1):  # most values are free of slips or have one, and a small radius prunes best
+        fresh: dict[int, list[tuple]] = defaultdict(list)
+        for q, found in index.within(left, radius).items():
+            for n, i, j in asked[left[q]]:
+                fresh[n] += [(d, key, i, j, index.places[key]) for d, key in found if d == radius]
+        for n, found in fresh.items():
+            near[n] += found
+            out[n] = areas.choose(split[n], near[n])
+        left = [k for k in left if any(not out[n] for n, _, _ in asked[k])]
+    return out
+
+
+_indexes: dict[str, Index] = {}
+_memory: dict[str, list[int]] = {}
+_current: list[str] = []
+
+
+def _remembered(token: str, areas: Areas, entries, values: list[str]) -> dict[str, list[int]]:
+    """Readings of distinct values; the worker keeps one list's trees and its latest readings."""
+    if _current != [token]:
+        _indexes.clear()
+        _memory.clear()
+        _current[:] = [token]
+        _indexes[token] = Index(entries())
+    out = {v: _memory[v] for v in values if v in _memory}
+    fresh = [v for v in values if v not in out]
+    out.update(zip(fresh, read_values(areas, _indexes[token], fresh)))
+    _memory.update((v, out[v]) for v in fresh if len(v) < 200)
+    for v in list(_memory)[: max(0, len(_memory) - REMEMBERED)]:  # the oldest
+        del _memory[v]
+    return out
 
 
-def _resolved(token: str, rows, values: list[str]) -> dict[str, tuple[int, list[int]]]:
-    if token not in _gazetteers:
-        if len(_gazetteers) > 3:
-            _gazetteers.clear()
-        _gazetteers[token] = Gazetteer(rows())
-    fresh = [v for v in dict.fromkeys(values) if (token, v) not in _memory]
-    got = dict(zip(fresh, _gazetteers[token].resolve(fresh)))
-    if len(_memory) + len(got) > REMEMBERED:
-        _memory.clear()
-    known = {v: _memory.get((token, v)) or got[v] for v in set(values)} if values else {}
-    _memory.update({(token, v): r for v, r in got.items() if len(v) < 200})
-    return known
+def _told(at: pd.Series) -> np.ndarray:
+    return np.array([isinstance(v, str) and bool(v.strip().strip("\u200b\ufeff")) for v in at], dtype=bool)
+
 
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        words = [words_of(c) for c in pdf["city"]]
+        pdf = pdf.assign(key=["".join(w) for w in words], n_words=[len(w) for w in words])
+        yield pdf[pdf["key"] != ""]
 
-def _shards(places: DataFrame) -> Iterator[list[tuple]]:
-    """The reference list in blocks of bounded size."""
-    block = []
-    rows = places.select("place_id", "city", "region", "region_code", "country")
-    for row in rows.where("place_id is not null and city is not null").distinct().orderBy("place_id").toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == SHARD_ENTRIES:
-            yield block
-            block = []
-    yield block
+
+def _by_shards(values: DataFrame, entries: DataFrame, areas: Areas, n_entries: int) -> DataFrame:
+    """``value, found``: readings of distinct values where no worker can hold the whole list.
+
+    Each task holds one shard of the names against one part of the values, all within the bounds
+    above; the hits of the shards are then put together for each value.
+    """
+    shards, salts = -(-n_entries // SHARD_ENTRIES), -(-values.count() // SALT_VALUES)
+    entries = entries.withColumn("shard", (F.xxhash64("key") % shards + shards) % shards).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(max(salts, 1) - 1))))
+    asked = values.withColumn("salt", (F.xxhash64("value") % salts + salts) % salts if salts else F.lit(0)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def hold(asked: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        index = Index(list(entries[["place_id", "key", "region", "country"]].astype(object).where(entries.notna(), None).itertuples(index=False, name=None)))
+        rows = [(v, key, i, j) for v in asked["value"] for key, i, j in areas.runs(words_of(v))]
+        keys = sorted({r[1] for r in rows})
+        hits = {keys[q]: found for q, found in index.within(keys, RADIUS).items()}
+        out = [(v, d, name, i, j, *p) for v, key, i, j in rows for d, name in hits.get(key, ()) for p in index.places[name]]
+        return pd.DataFrame(out, columns=["value", "d", "name", "i", "j", "place", "region", "country"])
+
+    hits = asked.groupBy("shard", "salt").cogroup(entries.groupBy("shard", "salt"))
+    hits = hits.applyInPandas(hold, "value string, d int, name string, i int, j int, place bigint, region string, country string")
+    hits = hits.groupBy("value").agg(F.collect_list(F.struct("d", "name", "i", "j", "place", "region", "country")).alias("hits"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [areas.choose(words_of(v), [(h["d"], h["name"], h["i"], h["j"], [(h["place"], h["region"], h["country"])]) for h in hits]) for v, hits in zip(pdf["value"], pdf["hits"])]
+            yield pd.DataFrame({"value": pdf["value"], "found": found})
+
+    return hits.mapInPandas(decide, "value string, found array<bigint>")
 
 
 def resolve_places(df: DataFrame, value: str, places: DataFrame, out: str = "place_id") -> DataFrame:
@@ -265,31 +317,38 @@ def resolve_places(df: DataFrame, value: str, places: DataFrame, out: str = "pla
 
     A value names a place if some run of its words, folded and written together, lies within two
     edits of the place's city, and nothing else in the value speaks against the place's region or
-    country; the nearest city wins. Cities of one name are told apart by region or country; where the
-    value does not say, it names none. Defined results: null and blank values give null; equal
-    entries of the list count once, of two entries alike the value names none; all other columns
-    pass through, whatever their names; an empty list gives -1 for every value.
-
-    Plan: a map, no exchange. The list goes to the workers in blocks of ``SHARD_ENTRIES``; beyond one
-    block each value is held against every block and the nearest winner is kept, in the same map.
+    country; the nearest city wins. Every run goes down the tree, exact names included. Cities of one
+    name are told apart by region or country; where the value does not say, it names none. Defined
+    results: null and blank values give null; equal entries of the list count once, of two entries
+    alike the value names none; all other columns pass through, whatever their names; an empty list
+    gives -1 for every value. The result doesn't depend on how the list is divided.
+
+    Plan: a map, no exchange, while the list has at most ``BROADCAST_ENTRIES`` entries (counted
+    first). A longer list is divided into shards of ``SHARD_ENTRIES`` names, and the distinct values
+    are held against one shard in each task. Only its regions and countries go to every worker.
     """
-    sc = df.sparkSession.sparkContext
-    shared = [(uuid.uuid4().hex, sc.broadcast(block)) for block in _shards(places)]
-    names = df.columns
+    spark = df.sparkSession
+    rows = places.select(*[F.col(c).cast(t) for c, t in (("place_id", "bigint"), ("city", "string"), ("region", "string"), ("region_code", "string"), ("country", "string"))])
+    rows = rows.where("place_id is not null and city is not null").distinct()
+    entries = cut(rows.mapInPandas(_keyed, "place_id bigint, city string, region string, region_code string, country string, key string, n_words int"))
+    n, shortest, longest, most = entries.agg(F.count("*"), F.min(F.length("key")), F.max(F.length("key")), F.max("n_words")).first()
+    areas = Areas([tuple(r) for r in entries.select("region", "region_code", "country").distinct().collect()], shortest or 0, longest or 0, most or 0)
+    entries = entries.select("place_id", "key", "region", "country").distinct()
+    if n > BROADCAST_ENTRIES:
+        told = df.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct()
+        told = cut(told.mapInPandas(lambda batches: (pdf[_told(pdf["value"])] for pdf in batches), "value string"))
+        read = _by_shards(told, entries, areas, n)
+        one = told.join(read, "value", "left").select(F.col("value").alias("__v"), F.when(F.size("found") == 1, F.col("found")[0]).otherwise(-1).cast("int").alias("__p"))
+        return df.join(one, F.col(value) == F.col("__v"), "left").withColumn(out, F.col("__p")).drop("__v", "__p")
+    token, shared = uuid.uuid4().hex, spark.sparkContext.broadcast((areas, [tuple(r) for r in entries.collect()]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = pdf[value]
-            told = at.notna().to_numpy() & np.array([isinstance(v, str) and bool(v.strip().strip("\u200b\ufeff")) for v in at])
-            values = [v for v, t in zip(at, told) if t]
-            best: dict[str, tuple[int, list[int]]] = {}
-            for token, rows in shared:
-                for v, (d, found) in _resolved(token, lambda rows=rows: rows.value, values).items():
-                    had = best.get(v, (99, []))
-                    best[v] = (d, found) if d < had[0] else (d, had[1] + found) if d == had[0] else had
-            result = [(best[v][1][0] if len(best[v][1]) == 1 else -1) if t else None for v, t in zip(at, told)]
-            pdf[out] = pd.array(result, dtype="Int64")
+            told = _told(at)
+            found = _remembered(token, shared.value[0], lambda: shared.value[1], list(dict.fromkeys(at[told])))
+            pdf[out] = pd.array([(found[v][0] if len(found[v]) == 1 else -1) if t else None for v, t in zip(at, told)], dtype="Int64")
             yield pdf
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{kinds}, `{out}` bigint").withColumn(out, F.col(out).cast("int"))

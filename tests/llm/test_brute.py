@@ -11,10 +11,11 @@ from oracle import FOLDER
 from pyspark.sql import functions as F
 from test_llm import plain_distance
 
+from postmill.llm import places as PL
 from postmill.llm import queries as Q
 from postmill.llm.history import SHORTENINGS, dedup_history, history_rows
 from postmill.llm.names import link_names, name_pairs
-from postmill.llm.places import RADIUS, Gazetteer, words_of
+from postmill.llm.places import RADIUS, Areas, Index, read_values, words_of
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 NUMERAL = re.compile(r"[ivx]+|.*\d.*")
@@ -73,33 +74,73 @@ def table(name):
 
 
 def gazetteer():
-    cols = ["place_id", "city", "region", "region_code", "country"]
-    return Gazetteer([tuple(None if pd.isna(x) else x for x in r) for r in table("places")[cols].values.tolist()])
+    """The whole list, and a reader of values by it."""
+    rows = [tuple(None if pd.isna(x) else x for x in r) for r in table("places")[["place_id", "city", "region", "region_code", "country"]].values.tolist()]
+    split = [words_of(r[1]) for r in rows]
+    keys = ["".join(w) for w in split]
+    areas = Areas([r[2:] for r in rows], min(map(len, keys)), max(map(len, keys)), max(map(len, split)))
+    index = Index([(r[0], k, r[2], r[4]) for r, k in zip(rows, keys)])
+    return index, lambda values: read_values(areas, index, values)
 
 
 @needs_data
 def test_places_against_a_full_scan():
-    g = gazetteer()
+    index, read = gazetteer()
     values = sorted({v for x in table("simplify").locations.dropna() for v in x if v and v.strip()})
-    for v, (d, found) in zip(values, g.resolve(values)):
+    for v, found in zip(values, read(values)):
         words = words_of(v)
         runs = {"".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
-        close = {p for key, places in g.places.items() for p, *_ in places if any(abs(len(r) - len(key)) <= RADIUS and plain_distance(r, key) <= RADIUS for r in runs)}
+        close = {p for key, places in index.places.items() for p, *_ in places if any(abs(len(r) - len(key)) <= RADIUS and plain_distance(r, key) <= RADIUS for r in runs)}
         assert set(found) <= close
-        exact = {p for key, places in g.places.items() for p, *_ in places if key in runs}
-        if exact:
-            assert d == 0 or not found
-        if not close:
-            assert not found
+
+
+@needs_data
+def test_places_whatever_the_shards(spark, monkeypatch):
+    """One tree, a tree for each name, and a task for each shard: row for row the same."""
+    places = spark.read.parquet(f"{FOLDER}/places.parquet")
+    df = spark.read.parquet(f"{FOLDER}/simplify.parquet").select("id", F.explode_outer("locations").alias("value"))
+    rows = lambda: sorted(map(repr, PL.resolve_places(df, "value", places).collect()))
+    want = rows()
+    monkeypatch.setattr(PL, "SHARD_ENTRIES", 20)
+    monkeypatch.setattr(PL, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(PL, "SALT_VALUES", 100)
+    assert rows() == want
+    index, read = gazetteer()
+    monkeypatch.setattr(PL, "SHARD_ENTRIES", 1)
+    entries = [(p, k, r, c) for k, rows_ in index.places.items() for p, r, c in rows_]
+    single = PL.Index(entries)
+    assert len(single.trees) == len(index.places)
+    values = sorted({v for (v,) in df.select("value").where("value is not null").distinct().collect()})
+    keys = sorted({w for v in values for w in words_of(v)})
+    one, many = index.within(keys, RADIUS), single.within(keys, RADIUS)
+    assert {q: sorted(h) for q, h in one.items()} == {q: sorted(h) for q, h in many.items()}
+
+
+def test_places_memory_and_trees(monkeypatch):
+    """A worker that forgets readings gives the same ones, and builds its trees once for a list."""
+    built = []
+    monkeypatch.setattr(PL, "REMEMBERED", 3)
+    monkeypatch.setattr(PL, "SHARD_ENTRIES", 1)
+    monkeypatch.setattr(PL, "BKTree", lambda names, make=PL.BKTree: built.append(names) or make(names))
+    cities = ["Quillvale", "Oakenmere", "Fernbury", "Wrenbury", "Lindenhaven"]
+    areas = Areas([], 8, 11, 1)
+    entries = [(n, c.lower(), None, None) for n, c in enumerate(cities)]
+    for _ in range(3):
+        got = PL._remembered("list", areas, lambda: entries, [*cities, "Quilvale", "nowhere"])
+        assert [got[c] for c in cities] == [[n] for n in range(5)] and got["Quilvale"] == [0] and got["nowhere"] == []
+        assert len(PL._memory) <= 3
+    assert len(built) == 5
+    # Of two names one slip away the one with the same first letter is meant.
+    assert read_values(areas, Index(entries), ["Frenbury", "Wernbury"]) == [[2], [3]]
 
 
 @needs_data
 def test_p3_and_p7_over_tables(spark):
-    g, cache = gazetteer(), {}
+    read, cache = gazetteer()[1], {}
 
     def place(v):
         if v not in cache:
-            found = g.resolve([v])[0][1]
+            found = read([v])[0]
             cache[v] = found[0] if len(found) == 1 else -1
         return cache[v]
 

@@ -129,7 +129,7 @@ PLACES = [(1, "Quillvale", "Quebec", "QC", "Canada"), (2, "Quillvale", "Oregon",
           (4, "Belmérac", None, None, "France"), (5, "Fort Yelling", "Ohio", "OH", "United States"), (6, "Oakenmere", "Nevada", "NV", "United States")]
 VALUES = {
     "Quillvale": -1, "quillvale, qc": 1, "Quillvale OR": 2, "Quillvale, Canada": 1, "US-ME-Lake Hesper": 3, "LakeHesper": 3, "Lake Hespr, Maine": 3, "Lаke Hesper": 3, "Greater Oakenmere Area": 6,
-    "BELMERAC (France)": 4, "Ft. Yelling": 5, "Oake nmere NV": 6, "Oaknmree": 6, "Remote": -1, "Ohio, United States": -1, "Ijsselkerke, Ohio": -1, "": None, "  ": None, "x" * 5000: -1, "Ohio - Fort Yelling": 5,
+    "BELMERAC (France)": 4, "Ft. Yelling": 5, "Oake nmere NV": 6, "Oaknmree": 6, "Quillvale, Ohio": -1, "Remote": -1, "Ohio, United States": -1, "Ijsselkerke, Ohio": -1, "": None, "  ": None, "x" * 5000: -1, "Ohio - Fort Yelling": 5,
 }
 
 
@@ -142,10 +142,12 @@ def test_places(spark):
     assert resolve_places(df.limit(0), "value", places).count() == 0
 
 
-def test_places_sharded(spark, monkeypatch):
-    monkeypatch.setattr("postmill.llm.places.SHARD_ENTRIES", 2)
+@pytest.mark.parametrize("whole", [0, 100])
+def test_places_sharded(spark, monkeypatch, whole):
+    monkeypatch.setattr("postmill.llm.places.SHARD_ENTRIES", 1)
+    monkeypatch.setattr("postmill.llm.places.BROADCAST_ENTRIES", whole)
     places = spark.createDataFrame(PLACES, "place_id int, city string, region string, region_code string, country string")
-    df = spark.createDataFrame([(k,) for k in VALUES], "value string")
+    df = spark.createDataFrame([(k,) for k in VALUES], "value string").withColumns({"found": F.lit(1), "shard": F.lit(2)})
     got = {r.value: r.place_id for r in resolve_places(df, "value", places).collect()}
     assert got == VALUES
 
