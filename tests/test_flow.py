@@ -5,6 +5,7 @@ import pytest
 
 from postmill.operators.rules import Cascade
 from postmill.plans.refresh import LISTINGS, REJECTS, Refresh
+from postmill.plans.pointer import Conflict
 from postmill.plans.store import SnapshotStore
 from postmill.schema import FEED_A, FEED_B, FEED_C, FEED_D
 from postmill.sources import feeds as S
@@ -57,6 +58,48 @@ def test_store_guards(spark, tmp_path):
         store.publish({}, expected=1)
 
 
+def test_store_survives_crashes(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, str(tmp_path), parts=4)
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("cast(id as int) a")
+    read = lambda: sorted(r.a for r in store.read("t", "a int").collect())
+    store.publish({"t": rows(0, 3)}, {"x": 1})
+    publish = store.pointers.publish
+    for when in ("before", "after"):  # the tables are written, the pointer isn't; or it is, and nobody was told
+
+        def dies(document, expected):
+            if when == "after":
+                publish(document, expected)
+            raise OSError("lost")
+
+        monkeypatch.setattr(store.pointers, "publish", dies)
+        with pytest.raises(OSError):
+            store.publish({"t": rows(10, 12)}, {"x": 2})
+        monkeypatch.setattr(store.pointers, "publish", publish)
+        assert (read(), store.offsets) == (([0, 1, 2], {"x": 1}) if when == "before" else ([10, 11], {"x": 2}))
+    # Between: a half-written file under a name of its own is no state.
+    (tmp_path / ".half").write_text("{")
+    assert store.number == 2 and read() == [10, 11]
+    # Of two writers that read the same state one fails.
+    with pytest.raises(Conflict):
+        publish({"tables": {}, "offsets": {}}, 1)
+    assert store.publish({"t": rows(0, 1)}) == 3
+
+
+def test_store_rewrites_touched_parts_only(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path), parts=4)
+    keyed = lambda n, v: spark.createDataFrame([(i, v) for i in range(n)], "k int, v string")
+    store.publish({"t": keyed(40, "old")}, keys={"t": ["k"]})
+    one = store.part_of(["k"]) == 1
+    for n in range(4):
+        store.publish({"t": keyed(40, f"new{n}").where(one)}, keys={"t": ["k"]}, only={"t": [1]})
+    got = {r.k: r.v for r in store.read("t", "k int, v string").collect()}
+    touched = {r.k for r in keyed(40, "").where(one).collect()}
+    assert touched and {k for k, v in got.items() if v == "new3"} == touched and len(got) == 40
+    assert {r.k for r in store.read("t", "k int, v string", only=[1]).collect()} == touched
+    folders = [p.name for p in (tmp_path / "t").iterdir()]
+    assert len(folders) == 4 and any(f.startswith("snapshot=1-") for f in folders)  # untouched parts stay where they are
+
+
 def test_stream(spark, tmp_path):
     folder = str(tmp_path / "in")
     for i in range(3):
