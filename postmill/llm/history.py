@@ -1,21 +1,30 @@
 """New batches held against all that was accepted before (problem 7).
 
-A record's content is its board, its place and the parts of its role. The accepted state keeps, in
-bucketed tables, one hash of the whole content and one hash for each way of leaving one part out.
-A new record repeats an accepted one if the whole hash is there (a full copy), or if it shares all
-parts but one and the two parts left over are the same word but for one mistyped spot.
+A record's content is its board, its place and the parts of its role; the parts are its paragraphs.
+The accepted state keeps bucketed tables of hashes: of whole contents, of single paragraphs, and of
+all paragraphs but one. A new record repeats an accepted one if its whole hash is there (a full copy),
+or if all its paragraphs but one are covered by an accepted record and the two left over are the same
+word but for one mistyped spot. Paragraphs that nothing accepted has rule most records out first.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.plans.pointer import Pointers
 from postmill.session import cut, shared_dir
 
+# Appends after which the tables of a state are written anew, one file for each bucket.
+COMPACT_AFTER = 16
+# Links within one batch that one task works off in order; while there are more, whole levels of them go first.
+ORDERED_LINKS = 1_000_000
+
 # Usual shortenings of the words of job titles, and what they stand for.
 SHORTENINGS = {
     "eng": "engineer", "engr": "engineer", "engnr": "engineer", "anlst": "analyst", "sci": "scientist", "prod": "product",
@@ -30,9 +39,13 @@ SHORTENINGS = {
 _NUMERALS = r"^([ivx]+|.*\p{N}.*)$"
 
 
-def role_parts(title: Column) -> Column:
-    """The sorted words of a title in lower case, shortenings written out; null and blank give none."""
-    table = F.create_map(*[F.lit(x) for pair in SHORTENINGS.items() for x in pair])
+def role_parts(title: Column, shortenings: dict[str, str] = SHORTENINGS) -> Column:
+    """The sorted words of a title in lower case, shortenings written out; null and blank give none.
+
+    The table of shortenings is fixed for a state: one that was learned anew would give accepted
+    contents other hashes than they were stored with.
+    """
+    table = F.create_map(*[F.lit(x) for pair in (shortenings or {"": ""}).items() for x in pair])
     words = F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     spelled = F.flatten(F.transform(words, lambda w: F.split(F.coalesce(F.element_at(table, w), w), " ")))
     return F.array_sort(F.coalesce(spelled, F.array().cast("array<string>")))
@@ -52,150 +65,255 @@ def one_slip(a: Column, b: Column) -> Column:
 
 
 class AcceptedState:
-    """Hashes of everything accepted so far, in two bucketed tables in the shared folder.
-
-    ``full`` (content hash, order, record) and ``parts`` (hash without one part, that part, order,
-    record). A batch is read against both by their buckets, so the state is neither shuffled nor are
-    the accepted texts read again; accepting a batch appends rows. Every content has one row.
+    """Hashes of everything accepted so far, in bucketed tables under one folder.
+
+    ``full`` (two hashes of a content, batch, number), ``paragraphs`` (hash of board, place and one
+    word) and ``parts`` (two hashes of all words but one with a piece of that word, the word, batch,
+    number). A batch is read against them by their buckets, so the state is neither shuffled nor are
+    accepted texts read again; accepting a batch appends rows. ``open`` finds the state again, in
+    this application or a later one: a numbered pointer names the tables, their number of buckets and
+    the appends that count, so what a lost run appended is never read. Contents are told apart by 128 bits.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark = spark
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        name = uuid.uuid4().hex
-        self.full, self.parts = f"postmill_full_{name}", f"postmill_parts_{name}"
-        self.folder = f"{shared_dir(spark)}/{name}"
-        self.empty = True
-
-    def accept(self, contents: DataFrame, parts: DataFrame) -> None:
-        """Append contents ``h, batch_no, seq`` that are not held yet, and their parts ``lh, word, h, batch_no, seq``."""
-        for df, table, key in ((contents, self.full, "h"), (parts, self.parts, "lh")):
-            (
-                df.repartition(self.buckets, key).write.mode("append").format("parquet").bucketBy(self.buckets, key).sortBy(key)
-                .option("path", f"{self.folder}/{table}").saveAsTable(table)
-            )
-        self.empty = False
+    TABLES = {
+        "full": ("h bigint, g bigint, batch_no int, seq bigint", ("h", "g")),
+        "paragraphs": ("ph bigint", ("ph",)),
+        "parts": ("lh bigint, lg bigint, word string, batch_no int, seq bigint", ("lh", "lg")),
+    }
+
+    def __init__(self, spark: SparkSession, path: str, number: int, document: dict) -> None:
+        self.spark, self.path, self.number, self.document = spark, path, number, document
+        self.buckets, self._known = document["buckets"], {}
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> AcceptedState:
+        """A new empty state; in the shared folder if no ``path`` is given."""
+        path = path or f"{shared_dir(spark)}/accepted-{uuid.uuid4().hex}"
+        document = {"buckets": buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "generation": uuid.uuid4().hex, "appends": [], "batches": []}
+        return cls(spark, path, Pointers(spark, path).publish(document, 0), document)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> AcceptedState:
+        """The state that was made at ``path``, as it was after its last accepted batch."""
+        number, document = Pointers(spark, path).latest()
+        if not number:
+            raise ValueError(f"no accepted state at {path}")
+        return cls(spark, path, number, document)
+
+    def _name(self, table: str) -> str:
+        """The catalogue name of a table of this generation; made known to the session when first used."""
+        name = f"postmill_{table}_{self.document['generation']}"
+        if name not in self._known:
+            columns, key = self.TABLES[table]
+            by = ", ".join(key)
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({columns}, append string) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+                f"INTO {self.buckets} BUCKETS LOCATION '{self.path}/{self.document['generation']}/{table}'"
+            )
+            self._known[name] = True
+        return name
+
+    def table(self, table: str, before: int | None = None) -> DataFrame:
+        """The rows of a table that count, of batches before a number if one is given."""
+        rows = self.spark.table(self._name(table)).where(F.col("append").isin(self.document["appends"] or [""])).drop("append")
+        return rows if before is None else rows.where(F.col("batch_no") < before)
+
+    def _append(self, frames: dict[str, DataFrame], append: str) -> None:
+        for table, df in frames.items():
+            columns, key = self.TABLES[table]
+            names = [c.split()[0] for c in columns.split(", ")]
+            df.select(*names, F.lit(append).alias("append")).repartition(self.buckets, *key).write.insertInto(self._name(table))
+
+    def accept(self, contents: DataFrame, number: int) -> None:
+        """Append the contents ``h, g, board, place, words, batch_no, seq`` of a batch; once for each batch."""
+        if number in self.document["batches"]:
+            return
+        append = uuid.uuid4().hex
+        seen = contents.select(F.explode(_paragraphs()["ph"]).alias("ph")).distinct()
+        seen = seen.join(self.table("paragraphs"), "ph", "left_anti") if self.document["appends"] else seen
+        parts = contents.select(F.explode(_all_but_one(stored=True)).alias("p"), "batch_no", "seq").select("p.*", "batch_no", "seq")
+        self._append({"full": contents, "paragraphs": seen, "parts": parts}, append)
+        self._publish(self.document | {"appends": [*self.document["appends"], append], "batches": [*self.document["batches"], number]})
+        if len(self.document["appends"]) > COMPACT_AFTER:
+            self.compact()
+
+    def _publish(self, document: dict) -> None:
+        pointers = Pointers(self.spark, self.path)
+        self.number = pointers.publish(document, self.number)
+        self.document = document
+        pointers.forget(self.number - 1)
+
+    def compact(self) -> None:
+        """Write the tables anew as one append, and delete the old ones once they are named no more."""
+        old, append = self.document["generation"], uuid.uuid4().hex
+        frames = {t: self.table(t) for t in self.TABLES}
+        names = list(self._known)
+        self.document = self.document | {"generation": uuid.uuid4().hex}
+        self._append(frames, append)
+        self._publish(self.document | {"appends": [append]})
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        Pointers(self.spark, self.path).remove(old)
 
     def drop(self) -> None:
         """Forget the state and delete its files."""
-        for table in (self.full, self.parts):
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        for name in self._known:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        Pointers(self.spark, self.path).remove("")
+
+
+def _paragraphs() -> Column:
+    """Of ``words``: each distinct word with its hash beside board and place."""
+    return F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("w"), F.xxhash64(F.lit("one"), F.col("board"), F.col("place"), w).alias("ph")))
+
+
+def _reach(length: Column) -> Column:
+    """How many first or last letters of a word of this length one slip leaves whole, wherever it is."""
+    return F.greatest(F.floor((length - 1) / 2), F.lit(0)).cast("int")
 
 
-def _left_out() -> Column:
+def _all_but_one(stored: bool) -> Column:
     """Of ``words``: each word that may be mistyped, with hashes of the rest and of a piece of the word.
 
-    One slip in a word leaves its front or its back half whole, so two words that differ by one have a
-    piece in common: the front or the back of ``(shorter length - 2) / 2`` letters. The piece is part
-    of the hash, so records that differ in one word only, however many, don't all meet.
+    One slip in a word leaves its front or its back whole. The piece is part of the hash, so records
+    that differ in one word only, however many, don't all meet. A stored word has the two pieces that
+    fit its own length; a word that asks has those for partners as long and a letter shorter or longer.
     """
     n = F.size("words")
     rest = lambda i: F.array_join(F.concat(F.slice("words", 1, i), F.slice("words", i + 2, n)), " ")
+
+    def pieces(word: Column) -> Column:
+        lengths = [0] if stored else [-1, 0, 1]
+        front = [F.concat(F.lit("<"), F.substring(word, F.lit(1), _reach(F.length(word) + more))) for more in lengths]
+        back = [F.concat(F.lit(">"), F.substring(word, F.length(word) - _reach(F.length(word) + more) + 1, _reach(F.length(word) + more))) for more in lengths]
+        return F.array_distinct(F.array(*front, *back))
+
+    def hashes(x: Column, piece: Column) -> Column:
+        of = lambda seed: F.xxhash64(F.lit(seed), F.col("board"), F.col("place"), rest(x["i"]), piece)
+        return F.struct(of("part").alias("lh"), of("again").alias("lg"), x["word"].alias("word"))
+
     words = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: ~x["word"].rlike(_NUMERALS) & (F.length(x["word"]) >= 2))
-    return F.flatten(
-        F.transform(
-            words,
-            lambda x: F.transform(
-                _pieces(x["word"]),
-                lambda piece: F.struct(F.xxhash64(F.lit("part"), F.col("board"), F.col("place"), rest(x["i"]), piece).alias("lh"), x["word"].alias("word")),
-            ),
-        )
-    )
+    return F.flatten(F.transform(words, lambda x: F.transform(pieces(x["word"]), lambda piece: hashes(x, piece))))
+
 
+def _asking(contents: DataFrame) -> DataFrame:
+    """``h, g, lh, lg, word`` of contents: what a record with one mistyped spot would be found by."""
+    return contents.select("h", "g", "batch_no", "seq", F.explode(_all_but_one(stored=False)).alias("p")).select("h", "g", "batch_no", "seq", "p.*")
 
-def _half(word: Column, less: int) -> Column:
-    return F.greatest(F.floor((F.length(word) - (less + 2)) / 2), F.lit(0)).cast("int")
 
+def _covered(contents: DataFrame, held: DataFrame) -> DataFrame:
+    """Contents of which at most one paragraph is in no accepted record, and which one that is.
+
+    One mistyped spot leaves all other paragraphs as they were, so with two that nothing accepted has
+    a record can't repeat one. Only the word that is missing, where there is one, can be the mistyped one.
+    """
+    asked = contents.select("h", "g", F.explode(_paragraphs()).alias("p")).select("h", "g", "p.w", "p.ph")
+    missing = asked.join(held, "ph", "left_anti").groupBy("h", "g").agg(F.count("*").alias("n"), F.min("w").alias("missing"))
+    return contents.join(missing, ["h", "g"], "left").where("n is null or n = 1").drop("n")
 
-def _pieces(word: Column) -> Column:
-    """Front and back pieces of a word, for a partner as long and for one a letter shorter."""
-    front = [F.concat(F.lit("<"), F.substring(word, F.lit(1), _half(word, less))) for less in (0, 1)]
-    back = [F.concat(F.lit(">"), F.substring(word, F.length(word) - _half(word, less) + 1, _half(word, less))) for less in (0, 1)]
-    return F.array_distinct(F.array(*front, *back))
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of links in the order of their later ends: the contents that an earlier one owns that isn't owned itself."""
+    owned: set[int] = set()
+    for pdf in batches:
+        out = []
+        for early, late in zip(pdf["early"].tolist(), pdf["late"].tolist()):
+            if early not in owned and late not in owned:
+                owned.add(late)
+                out.append(late)
+        yield pd.DataFrame({"late": out})
 
-def _at(batch: str = "batch_no", seq: str = "seq") -> Column:
-    return F.struct(F.col(batch).alias("batch_no"), F.col(seq).alias("seq"))
 
+def _owned_within(edges: DataFrame) -> DataFrame:
+    """Which contents of a batch another one of it owns: ``early, late``, by their numbers.
 
-def dedup_batch(state: AcceptedState, rows: DataFrame) -> DataFrame:
+    ``edges`` link a content to each later one that would repeat it. While there are more than
+    ``ORDERED_LINKS``, contents that no earlier one can own are settled together, with all they own;
+    the rest is worked off in order by one task.
+    """
+    settled, left = [], edges
+    while left.limit(ORDERED_LINKS + 1).count() > ORDERED_LINKS:
+        first = left.join(left.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        gone = cut(first.select("late").distinct())
+        settled.append(gone)
+        left = cut(left.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti"))
+    rest = left.coalesce(1).sortWithinPartitions("late", "early").mapInPandas(_in_order, "late bigint")
+    owned = cut(reduce(DataFrame.unionByName, settled, rest))
+    kept = edges.join(owned, "late").join(owned.withColumnRenamed("late", "early"), "early", "left_anti")
+    return kept.groupBy("late").agg(F.min("early").alias("early"))
+
+
+def dedup_batch(state: AcceptedState, rows: DataFrame, number: int) -> DataFrame:
     """Cases of one batch: ``seq_a`` (accepted) and ``seq_b``; the rest is accepted into ``state``.
 
-    ``rows`` has ``h, board, place, words, batch_no, seq``; a null ``h`` (no place that could be the
+    Only what was accepted in batches before ``number`` counts, so a batch that is run again after a
+    crash gives the same cases, and is accepted once.
+
+    ``rows`` has ``h, g, board, place, words, batch_no, seq``; a null ``h`` (no place that could be the
     same) is never a case and need not be kept. Equal contents of the batch are reduced to their
     first row before anything is joined, so a content delivered very often is one row here.
     """
     keyed = rows.where("h is not null")
-    contents, parts = _contents(keyed)
+    contents = cut(_contents(keyed))
     slip = one_slip(F.col("word"), F.col("other"))
     own = F.struct("batch_no", "seq")
-    if state.empty:
-        owners = contents.select("h", own.alias("owner")).limit(0)
-    else:
-        full, held = state.spark.table(state.full), state.spark.table(state.parts)
-        same = contents.select("h").join(full, "h").select("h", own.alias("owner"))
-        near = parts.select("h", "lh", "word").join(held.select("lh", F.col("word").alias("other"), "batch_no", "seq"), "lh").where(slip).select("h", own.alias("owner"))
-        owners = same.unionByName(near).groupBy("h").agg(F.min("owner").alias("owner"))
-    owners = cut(owners)
+    same = contents.select("h", "g").join(state.table("full", number), ["h", "g"]).select("h", "g", own.alias("owner"))
+    likely = _covered(contents, state.table("paragraphs"))
+    asking = likely.select("h", "g", "missing", F.explode(_all_but_one(stored=False)).alias("p")).select("h", "g", "missing", "p.*").where("missing is null or word = missing")
+    held = state.table("parts", number).withColumnRenamed("word", "other")
+    near = asking.join(held, ["lh", "lg"]).where(slip).select("h", "g", own.alias("owner"))
+    owners = cut(same.unionByName(near).groupBy("h", "g").agg(F.min("owner.seq").alias("owner")) if state.document["appends"] else contents.select("h", "g", F.col("seq").alias("owner")).limit(0))
     # Contents new in this batch that are one slip apart: an earlier one that is accepted owns a later one.
-    new_parts = parts.join(owners, "h", "left_anti").select("lh", "word", "h", own.alias("at"))
-    later = new_parts.select("lh", F.col("h").alias("late"), F.col("at").alias("late_at"), F.col("word").alias("other"))
-    edges = cut(
-        new_parts.join(later, "lh").where((F.col("at") < F.col("late_at")) & slip).select(F.col("h").alias("early"), F.col("at").alias("early_at"), "late").distinct()
-    )
-    inner = []
-    while not edges.isEmpty():
-        ends = edges.select(F.col("late").alias("early")).distinct()
-        first = edges.join(ends, "early", "left_anti")  # from contents that no earlier one can own
-        owned = cut(first.groupBy(F.col("late").alias("h")).agg(F.min("early_at").alias("owner")))
-        inner.append(owned)
-        gone = owned.select("h")
-        edges = cut(edges.join(gone.toDF("late"), "late", "left_anti").join(gone.toDF("early"), "early", "left_anti"))
-    owners = reduce(DataFrame.unionByName, [owners, *inner])
-    accepted = contents.join(owners, "h", "left_anti")
-    by_owner = keyed.join(owners, "h").select(F.col("owner.seq").alias("seq_a"), F.col("seq").alias("seq_b"))
-    again = keyed.join(accepted.select("h", F.col("seq").alias("seq_a")), "h").where("seq <> seq_a").select("seq_a", F.col("seq").alias("seq_b"))
-    cases = cut(by_owner.unionByName(again))
-    state.accept(accepted, parts.join(owners, "h", "left_anti"))
+    fresh = contents.join(owners.select("h", "g"), ["h", "g"], "left_anti")
+    early = fresh.select(F.explode(_all_but_one(stored=True)).alias("p"), F.col("seq").alias("early")).select("p.lh", "p.lg", F.col("p.word").alias("other"), "early")
+    edges = cut(_asking(fresh).join(early, ["lh", "lg"]).where((F.col("early") < F.col("seq")) & slip).select("early", F.col("seq").alias("late")).distinct())
+    inner = cut(_owned_within(edges))
+    accepted = cut(fresh.join(inner.select(F.col("late").alias("seq")), "seq", "left_anti"))
+    inner = contents.select("h", "g", F.col("seq").alias("late")).join(inner, "late").select("h", "g", F.col("early").alias("owner"))
+    owner_of = owners.unionByName(inner).unionByName(accepted.select("h", "g", F.col("seq").alias("owner")))
+    cases = cut(keyed.select("h", "g", "seq").join(owner_of, ["h", "g"]).where("seq <> owner").select(F.col("owner").alias("seq_a"), F.col("seq").alias("seq_b")))
+    state.accept(accepted, number)
     return cases
 
 
-def _contents(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first row of each content, and its parts."""
-    first = keyed.groupBy("h").agg(F.min(_at()).alias("at"), F.first("board").alias("board"), F.first("place").alias("place"), F.first("words").alias("words"))
-    parts = cut(first.select("h", "at.batch_no", "at.seq", F.explode_outer(_left_out()).alias("p")).select("p.lh", "p.word", "h", "batch_no", "seq"))
-    return parts.select("h", "batch_no", "seq").distinct(), parts.where("lh is not null")
+def _contents(keyed: DataFrame) -> DataFrame:
+    """The first row of each content. Numbers are unique, so they alone order the rows of a batch."""
+    row = F.struct("batch_no", "seq", "board", "place", "words")
+    return keyed.groupBy("h", "g").agg(F.min_by(row, F.struct("batch_no", "seq")).alias("r")).select("h", "g", "r.*")
 
 
-def history_rows(df: DataFrame, place: Column) -> DataFrame:
-    """The rows of batches with the hash of their content; ``place`` is null where none can be the same."""
+def history_rows(df: DataFrame, place: Column, shortenings: dict[str, str] = SHORTENINGS) -> DataFrame:
+    """The rows of batches with the hashes of their content; ``place`` is null where none can be the same."""
     rows = df.where("batch_no is not null and seq is not null").select(
-        F.col("batch_no").cast("int").alias("batch_no"), F.col("seq").cast("bigint").alias("seq"), "board", place.alias("place"), role_parts(F.col("title")).alias("words")
+        F.col("batch_no").cast("int").alias("batch_no"), F.col("seq").cast("bigint").alias("seq"), F.col("board").cast("string").alias("board"),
+        place.cast("string").alias("place"), role_parts(F.col("title"), shortenings).alias("words"),
     )
     known = F.col("board").isNotNull() & F.col("place").isNotNull() & (F.size("words") > 0)
-    return rows.withColumn("h", F.when(known, F.xxhash64(F.lit("all"), "board", "place", F.array_join("words", " "))))
+    of = lambda seed: F.when(known, F.xxhash64(F.lit(seed), "board", "place", F.array_join("words", " ")))
+    return rows.withColumns({"h": of("all"), "g": of("again")})
 
 
 def dedup_history(rows: DataFrame, state: AcceptedState | None = None) -> tuple[DataFrame, AcceptedState]:
     """All batches in order against what was accepted before them; the cases and the state to carry on.
 
-    The first batch is the accepted history: all its rows are accepted, and of equal contents in it
-    the first owns later cases. Defined results: rows with a null batch or number are left out; a null
-    board or title, or a place that names none, never repeats anything; an empty table gives no cases.
+    Batch 0 is accepted history: all its rows are accepted, and of equal contents in it the first owns
+    later cases. Defined results: rows with a null batch or number are left out; a null board or title,
+    or a place that names none, never repeats anything; an empty table gives no cases. The rows are
+    written by batch first, so that each batch reads its own rows only.
     """
     spark = rows.sparkSession
-    rows = cut(rows.where("h is not null"))
-    state = state or AcceptedState(spark)
+    state = state or AcceptedState.create(spark)
+    folder = f"{state.path}/batches-{uuid.uuid4().hex}"
+    rows.where("h is not null").write.partitionBy("batch_no").parquet(folder)
+    rows = spark.read.schema(rows.schema).parquet(folder)
+    numbers = sorted(r[0] for r in rows.select("batch_no").distinct().collect())
     cases = []
-    numbers = [r[0] for r in rows.select("batch_no").distinct().orderBy("batch_no").collect()]
     for number in numbers:
         batch = rows.where(F.col("batch_no") == number)
         if number == 0:
-            state.accept(*_contents(batch))
+            state.accept(cut(_contents(batch)), number)
         else:
-            cases.append(dedup_batch(state, batch))
+            cases.append(dedup_batch(state, batch, number))
+    Pointers(spark, state.path).remove(folder.rsplit("/", 1)[1])
     none = spark.createDataFrame([], "seq_a bigint, seq_b bigint")
     return reduce(DataFrame.unionByName, cases, none), state
