@@ -51,17 +51,15 @@ def role_parts(title: Column, shortenings: dict[str, str] = SHORTENINGS) -> Colu
     return F.array_sort(F.coalesce(spelled, F.array().cast("array<string>")))
 
 
-def one_slip(a: Column, b: Column) -> Column:
-    """Whether two words differ by one letter more, less or other, or by two neighbours swapped.
+def one_slip(a: str, b: str) -> Column:
+    """Whether two columns of words differ by one letter more, less or other, or by two neighbours swapped.
 
     Never between numerals, and never between words of one or two letters.
     """
-    swapped = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))),
-        lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b,
-    )
-    words = ~a.rlike(_NUMERALS) & ~b.rlike(_NUMERALS) & (F.greatest(F.length(a), F.length(b)) >= 3)
-    return words & (a != b) & ((F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & swapped))
+    swapped = f"exists(sequence(1, greatest(length({a}) - 1, 1)), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})"
+    near = f"levenshtein({a}, {b}) <= 1 or (length({a}) = length({b}) and {swapped})"
+    words = f"not {a} rlike r'{_NUMERALS}' and not {b} rlike r'{_NUMERALS}' and greatest(length({a}), length({b})) >= 3"
+    return F.expr(f"{words} and {a} <> {b} and ({near})")
 
 
 class AcceptedState:
@@ -164,36 +162,23 @@ class AcceptedState:
 
 def _paragraphs() -> Column:
     """Of ``words``: each distinct word with its hash beside board and place."""
-    return F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("w"), F.xxhash64(F.lit("one"), F.col("board"), F.col("place"), w).alias("ph")))
-
-
-def _reach(length: Column) -> Column:
-    """How many first or last letters of a word of this length one slip leaves whole, wherever it is."""
-    return F.greatest(F.floor((length - 1) / 2), F.lit(0)).cast("int")
+    return F.expr("transform(array_distinct(words), w -> struct(w as w, xxhash64('one', board, place, w) as ph))")
 
 
 def _all_but_one(stored: bool) -> Column:
     """Of ``words``: each word that may be mistyped, with hashes of the rest and of a piece of the word.
 
-    One slip in a word leaves its front or its back whole. The piece is part of the hash, so records
-    that differ in one word only, however many, don't all meet. A stored word has the two pieces that
-    fit its own length; a word that asks has those for partners as long and a letter shorter or longer.
+    One slip in a word leaves its front or its back whole: of a word of ``n`` letters the first or the
+    last ``(n - 1) / 2``, wherever it is. The piece is part of the hash, so records that differ in one
+    word only, however many, don't all meet. A stored word has the two pieces that fit its own length; a
+    word that asks has those for partners as long and a letter shorter or longer.
     """
-    n = F.size("words")
-    rest = lambda i: F.array_join(F.concat(F.slice("words", 1, i), F.slice("words", i + 2, n)), " ")
-
-    def pieces(word: Column) -> Column:
-        lengths = [0] if stored else [-1, 0, 1]
-        front = [F.concat(F.lit("<"), F.substring(word, F.lit(1), _reach(F.length(word) + more))) for more in lengths]
-        back = [F.concat(F.lit(">"), F.substring(word, F.length(word) - _reach(F.length(word) + more) + 1, _reach(F.length(word) + more))) for more in lengths]
-        return F.array_distinct(F.array(*front, *back))
-
-    def hashes(x: Column, piece: Column) -> Column:
-        of = lambda seed: F.xxhash64(F.lit(seed), F.col("board"), F.col("place"), rest(x["i"]), piece)
-        return F.struct(of("part").alias("lh"), of("again").alias("lg"), x["word"].alias("word"))
-
-    words = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: ~x["word"].rlike(_NUMERALS) & (F.length(x["word"]) >= 2))
-    return F.flatten(F.transform(words, lambda x: F.transform(pieces(x["word"]), lambda piece: hashes(x, piece))))
+    reach = [f"cast(greatest(floor((length(x.word) - 1 + {more}) / 2), 0) as int)" for more in ([0] if stored else [-1, 0, 1])]
+    pieces = [f"concat('<', substring(x.word, 1, {n})), concat('>', substring(x.word, length(x.word) - {n} + 1, {n}))" for n in reach]
+    of = lambda seed: f"xxhash64('{seed}', board, place, x.rest, piece)"
+    rest = "array_join(concat(slice(words, 1, i), slice(words, i + 2, size(words))), ' ')"
+    words = f"filter(transform(words, (w, i) -> struct({rest} as rest, w as word)), x -> length(x.word) >= 2 and not x.word rlike r'{_NUMERALS}')"
+    return F.expr(f"flatten(transform({words}, x -> transform(array_distinct(array({', '.join(pieces)})), piece -> struct({of('part')} as lh, {of('again')} as lg, x.word as word))))")
 
 
 def _asking(contents: DataFrame) -> DataFrame:
@@ -255,7 +240,7 @@ def dedup_batch(state: AcceptedState, rows: DataFrame, number: int) -> DataFrame
     """
     keyed = rows.where("h is not null")
     contents = cut(_contents(keyed))
-    slip = one_slip(F.col("word"), F.col("other"))
+    slip = one_slip("word", "other")
     own = F.struct("batch_no", "seq")
     same = contents.select("h", "g").join(state.table("full", number), ["h", "g"]).select("h", "g", own.alias("owner"))
     likely = _covered(contents, state.table("paragraphs"))
@@ -267,7 +252,7 @@ def dedup_batch(state: AcceptedState, rows: DataFrame, number: int) -> DataFrame
     fresh = contents.join(owners.select("h", "g"), ["h", "g"], "left_anti")
     early = fresh.select(F.explode(_all_but_one(stored=True)).alias("p"), F.col("seq").alias("early")).select("p.lh", "p.lg", F.col("p.word").alias("other"), "early")
     edges = cut(_asking(fresh).join(early, ["lh", "lg"]).where((F.col("early") < F.col("seq")) & slip).select("early", F.col("seq").alias("late")).distinct())
-    inner = cut(_owned_within(edges))
+    inner = _owned_within(edges)
     accepted = cut(fresh.join(inner.select(F.col("late").alias("seq")), "seq", "left_anti"))
     inner = contents.select("h", "g", F.col("seq").alias("late")).join(inner, "late").select("h", "g", F.col("early").alias("owner"))
     owner_of = owners.unionByName(inner).unionByName(accepted.select("h", "g", F.col("seq").alias("owner")))
