@@ -32,11 +32,30 @@ def groups(spark, names):
 
 
 def test_names_link(spark):
-    a = ["Folsespan Juniper Laboratories"] * 9 + ["Folsespan Juniper Labs", "Folsespan J. Laboratories", "FOLSESPAN JUNIPER LABORATORIES", "Fölsespan Juniper Laboratories",
+    a = ["Folsespan Juniper Laboratories"] * 9 + ["Folsespan Juniper Labs", "Folsespan J. Laboratories", "FOLSESPAN JUNIPER LABORATORIES", "Fölsespan Juniper Laboratories", "FOLSESPANJUNIPERLABORATORIES",
          "Juniper Folsespan Laboratories", "FolsespanJuniperLaboratories", "Folsespaan Juniper Laboratories", "Folsespan", "Folsespan Juniper Laboratories GmbH", "FJL Careers"]
     b = ["Wewitras Juniper Laboratories"] * 5 + ["Wewitras Juniper Laboratories Inc"]
-    got = groups(spark, [*a, *b, None, "", "  ", "!!"])
-    assert got == sorted([sorted(set(a)), sorted(set(b))])
+    # Remarks are learned from how they come and go, of one word or of several.
+    more = [[n, n, f"{n} Careers", f"{n} - People Team"] for n in ("Korvan Ridge Systems", "Tilmes Canyon Robotics", "Druplo Harbor Energy")]
+    got = groups(spark, [*a, *b, *sum(more, []), None, "", "  ", "!!"])
+    assert got == sorted([sorted(set(a)), sorted(set(b)), *[sorted(set(m)) for m in more]])
+
+
+def test_names_of_one_first_word_and_short_words(spark):
+    """Another word in the place of one that was meant makes another employer, with variants of its own."""
+    air = ["Delta Airlines"] * 9 + ["Delta Airlines Inc", "DELTA AIRLINES", "Delta Arlines"]
+    dental = ["Delta Dental"] * 5 + ["Delta Dental LLC", "Delta Dentall"]
+    nova = ["Nova Labs"] * 6 + ["Nvoa Labs", "Nova Labs Ltd"]
+    got = groups(spark, [*air, *dental, *nova])
+    assert got == sorted([sorted(set(air)), sorted(set(dental)), sorted(set(nova))])
+    # A rare employer beside a frequent one of the same first word is gone through in a second round.
+    got = groups(spark, [*["Delta Airlines"] * 400, *dental, "Delta Airlnes"])
+    assert got == sorted([["Delta Airlines", "Delta Airlnes"], sorted(set(dental))])
+
+
+def test_names_learned_shortenings(spark):
+    names = [f"{w} Ridge {k}" for w in ("Korvan", "Tilmes", "Druplo") for k in ("Therapeutics", "Therapeutics", "Tx")]
+    assert groups(spark, names) == [[f"{w} Ridge Therapeutics", f"{w} Ridge Tx"] for w in ("Druplo", "Korvan", "Tilmes")]
 
 
 def test_names_pairs_and_ties(spark):
@@ -44,12 +63,14 @@ def test_names_pairs_and_ties(spark):
     pairs = {tuple(r) for r in name_pairs(link_names(df)).collect()}
     assert pairs == {(" Korvan Systems", "Korvan Systems"), (" Korvan Systems", "Korvan Systems Inc"), ("Korvan Systems", "Korvan Systems Inc")}
     assert link_names(df.limit(0)).count() == 0
-    assert link_names(df.withColumns({"words": F.lit(1), "mark": F.lit(2), "n": F.lit(3)})).count() == 3
+    assert link_names(df.withColumns({"words": F.lit(1), "mark": F.lit(2), "n": F.lit(3), "form": F.lit(4)})).count() == 3
 
 
 def test_names_channel():
-    assert words_of("The Acme-Data Company (Careers)")[0] == ["acme", "data"] and words_of("ABC Inc") == (["abc"], True) and words_of("Inc")[0] == ["inc"]
-    assert channel(["systems"], ["systems"]) == 0 and channel(["sys"], ["systems"]) == -1.5 and channel(["robotics"], ["systems"]) < -8
+    assert words_of("The Acme-Data Company") == [("acme", False), ("data", False)] and words_of("ABC Inc") == [("abc", True)] and words_of("Inc") == [("inc", False)]
+    assert channel(["systems"], ["systems"]) == 0 and channel(["sys"], ["systems"]) == -1.5 and channel(["robotics"], ["systems"]) < -12
+    assert channel(["tx"], ["therapeutics"]) < -12 and channel(["tx"], ["therapeutics"], frozenset({("tx", "therapeutics")})) == -1.5
+    assert channel(["systems", "team"], ["systems"]) == -6 and channel([], ["systems"]) == -1
     assert channel(["networks", "ridge"], ["ridge", "networks"]) == 0
 
 
