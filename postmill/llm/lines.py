@@ -2,9 +2,10 @@
 
 Each line of a source becomes a 64-bit identifier. The identifiers of a source's documents, one
 document after the other with a border between, are sorted as suffixes; suffixes with a common prefix
-of the wanted number of lines stand together, and the documents among them are counted. A source of any size
+stand together, and for each length of prefix the documents among them are counted. A source of any size
 is worked on in bounded shards of whole documents; since a document lies in one shard only, the
-counts of the shards add up exactly.
+counts of the shards add up exactly. A block is given in its longest form: one line more, before or
+behind, and it would stand in too few documents.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.spans import window_hashes
 from postmill.session import cut, small
 
 # At most so many repeated blocks are broadcast; beyond that they are joined by shuffle.
@@ -71,25 +73,65 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     return order, common
 
 
-def _shard_blocks(texts: list[np.ndarray], owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct blocks of ``depth`` lines, one in each row, and how many owners have each."""
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+def _shard_blocks(runs: list[np.ndarray], owner: np.ndarray, at: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each length from ``least`` on, the distinct blocks of a shard's runs of lines.
+
+    Gives arrays: two hashes of the block, the number of its owners, the hashes of the block without its last
+    and without its first line, and a place where it stands (owner, and position in the owner's lines).
+    """
+    lengths = np.array([len(r) + 1 for r in runs], dtype=np.int64)
     ends = np.cumsum(lengths) - 1
     border = np.zeros(int(lengths.sum()), dtype=bool)
     border[ends] = True
     flat = np.zeros(len(border), dtype=np.int64)
-    flat[~border] = np.concatenate(texts)
+    flat[~border] = np.concatenate(runs)
     symbols = np.unique(flat, return_inverse=True)[1].astype(np.int64)
-    symbols[border] = symbols.max() + 1 + np.arange(len(texts))
-    order, common = suffix_array(symbols, depth)
-    text_of = np.repeat(np.arange(len(texts)), lengths)
-    whole = order + depth <= ends[text_of[order]]  # the block ends before the border
-    order, common = order[whole], common[whole]
-    group = np.cumsum(common < depth)
-    pairs = np.unique(np.stack([group, owner[text_of[order]]]), axis=1)
-    _, first = np.unique(group, return_index=True)
-    counts = np.unique(pairs[0], return_counts=True)[1]
-    return flat[order[first][:, None] + np.arange(depth)], counts
+    symbols[border] = symbols.max() + 1 + np.arange(len(runs))
+    longest = int(lengths.max()) - 1
+    order, common = suffix_array(symbols, longest)
+    run_of = np.repeat(np.arange(len(runs)), lengths)
+    left = ends[run_of[order]] - order  # lines before the border
+    place = at[run_of] + np.arange(len(flat)) - (ends - lengths + 1)[run_of]
+    codes = flat.view(np.uint64)
+    hashes = lambda n: [window_hashes(codes, n, w).view(np.int64) for w in (0, 1)] if n else [np.zeros(len(flat) + 1, np.int64)] * 2
+    shorter = hashes(least - 1)
+    for depth in range(least, longest + 1):
+        whole = left >= depth
+        # A group of equal blocks begins where the common prefix with any suffix since the last whole one is shorter.
+        group = np.cumsum(common < depth)[whole]
+        here, owners = order[whole], owner[run_of[order[whole]]]
+        _, first, group = np.unique(group, return_index=True, return_inverse=True)
+        counts = np.bincount(np.unique(np.stack([group, owners]), axis=1)[0])
+        now, rep = hashes(depth), here[first]
+        yield (*[h[rep] for h in now], counts, *[h[rep] for h in shorter], *[h[rep + 1] for h in shorter], owners[first], place[rep], depth)
+        shorter = now
+
+
+_BLOCK = "s string, size int, h1 bigint, h2 bigint, n bigint, a1 bigint, a2 bigint, b1 bigint, b2 bigint, k string, at int"
+
+
+def _blocks(least: int):
+    """Documents with their lines, in which 0 stands for a line that no block can hold, to blocks of their shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _BLOCK.split(", ")]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SHARD_DOCS):
+                part = batch.slice(lo, SHARD_DOCS).to_pydict()
+                by_source: dict[str, list[tuple[int, int, np.ndarray]]] = {}
+                for i, (s, lines) in enumerate(zip(part["s"], part["lines"])):
+                    x = np.array(lines, dtype=np.int64)
+                    cuts = np.flatnonzero(x == 0)
+                    for a, b in zip([0, *(cuts + 1)], [*cuts, len(x)]):
+                        if b - a >= least:
+                            by_source.setdefault(s, []).append((i, a, x[a:b]))
+                for s, runs in by_source.items():
+                    keys = np.array(part["k"], dtype=object)
+                    for h1, h2, n, a1, a2, b1, b2, owner, at, size in _shard_blocks([r for *_, r in runs], np.array([i for i, *_ in runs]), np.array([a for _, a, _ in runs]), least):
+                        columns = [pa.array([s] * len(n), pa.string()), pa.array(np.full(len(n), size), pa.int32()), *[pa.array(c, pa.int64()) for c in (h1, h2, n, a1, a2, b1, b2)], pa.array(keys[owner], pa.string()), pa.array(at, pa.int32())]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
 
 
 def repeated_blocks(
@@ -100,82 +142,78 @@ def repeated_blocks(
     text: str = "descriptionPlain",
     min_docs: int = 5,
     min_share: float = 0.2,
-    block_lines: int = 1,
+    min_lines: int = 1,
 ) -> DataFrame:
-    """Blocks of ``block_lines`` lines in at least ``min_docs`` and ``min_share`` of a source's documents.
+    """The longest blocks of ``min_lines`` lines or more in at least ``min_docs`` and ``min_share`` of a source's documents.
 
     Columns: ``source, block, lines, n_docs``, where ``block`` is the array of the lines' identifiers
-    and ``lines`` their text. A longer repeated block is given by the overlapping blocks it is made
-    of. Defined results: a document is a distinct ``key`` within its source; a null text counts as a
-    document without lines; rows with a null source or key are left out; a block that one document
-    repeats counts once; rows delivered several times count once; an empty table gives no rows.
+    and ``lines`` their text; empty lines don't count. Every shorter block within one given stands in as
+    many documents at least. Defined results: a document is a distinct ``key`` within its source; a null
+    text counts as a document without lines; rows with a null source or key are left out; a block that one
+    document repeats counts once; rows delivered several times count once; an empty table gives no rows.
+    Identifiers are compared within a source, by 64 bits for a line and 128 for a block of several.
 
     Plan: only identifiers (8 bytes a line) are exchanged, by document, never by source or line, so a
-    source with a third of all rows is spread like any other. Suffix arrays are built over bounded
-    shards; their counts are summed with map-side combining. Text is read a second time for the lines
-    of the blocks found, of which a source has at most ``1 / min_share`` times the lines of a document.
+    source with a third of all rows is spread like any other. Lines that too few documents have are cut out
+    first, by a count with map-side combining; suffix arrays are built over bounded shards of what is left, and
+    their counts summed. Text is read a second time for the lines of the blocks found, of which a
+    source has at most ``1 / min_share`` times the lines of a document.
     """
     known = df.where(F.col(source).isNotNull() & F.col(key).isNotNull())
     docs = known.select(
-        F.col(source).alias("s"), F.col(key).alias("k"), F.coalesce(_ids(_lines(F.col(text))), F.array().cast("array<bigint>")).alias("ids")
+        F.col(source).cast("string").alias("s"), F.col(key).cast("string").alias("k"), F.coalesce(_ids(_lines(F.col(text))), F.array().cast("array<bigint>")).alias("ids")
     )
-    # Rows of one document come together; equal deliveries fall away before the exchange.
-    docs = docs.distinct().groupBy("s", "k").agg(F.collect_list("ids").alias("texts"))
-    docs = cut(docs.select("s", "texts"))
+    # Rows of one document come together, a border between them; equal deliveries fall away before the exchange.
+    docs = docs.distinct().groupBy("s", "k").agg(F.flatten(F.transform(F.array_sort(F.collect_list("ids")), lambda x: F.array_append(x, F.lit(0).cast("bigint")))).alias("ids"))
+    docs = cut(docs)
     totals = docs.groupBy("s").agg(F.count("*").alias("total"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SHARD_DOCS):
-                part = batch.slice(lo, SHARD_DOCS).to_pydict()
-                by_source: dict[str, list[tuple[int, np.ndarray]]] = {}
-                for i, (s, texts) in enumerate(zip(part["s"], part["texts"])):
-                    by_source.setdefault(s, []).extend((i, np.array(t, dtype=np.int64)) for t in texts)
-                for s, rows in by_source.items():
-                    blocks, counts = _shard_blocks([t for _, t in rows], np.array([i for i, _ in rows]), block_lines)
-                    lists = pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, blocks.size + 1, block_lines), pa.int32()), pa.array(blocks.ravel(), pa.int64())
-                    )
-                    names = pa.array([s], pa.string()).take(pa.array(np.zeros(len(counts), dtype=np.int64)))
-                    yield pa.RecordBatch.from_arrays([names, lists, pa.array(counts, pa.int64())], names=["s", "block", "n"])
-
+    enough = (F.col("n_docs") >= min_docs) & (F.col("n_docs") >= min_share * F.col("total"))
+    single = docs.select("s", F.explode(F.array_distinct("ids")).alias("line_id")).groupBy("s", "line_id").agg(F.count("*").alias("n_docs"))
+    wanted = cut(single.where("line_id <> 0").join(totals, "s").where(enough).select("s", "line_id"))
+    good = wanted.groupBy("s").agg(F.collect_set("line_id").alias("good"))
+    lines = F.transform("ids", lambda x: F.when(F.array_contains("good", x), x).otherwise(F.lit(0).cast("bigint")))
+    cleared = docs.join(small(cut(good), BROADCAST_BLOCKS), "s").select("s", "k", lines.alias("lines")).where(F.exists("lines", lambda x: x != 0))
     found = (
-        docs.mapInArrow(run, "s string, block array<bigint>, n bigint")
-        .groupBy("s", "block")
-        .agg(F.sum("n").alias("n_docs"))
-        .where(F.col("n_docs") >= min_docs)
+        cleared.mapInArrow(_blocks(min_lines), _BLOCK)
+        .groupBy("s", "size", "h1", "h2")
+        .agg(F.sum("n").alias("n_docs"), F.min(F.struct("k", "at")).alias("place"), *[F.first(c).alias(c) for c in ("a1", "a2", "b1", "b2")])
         .join(totals, "s")
-        .where(F.col("n_docs") >= min_share * F.col("total"))
-        .select("s", "block", "n_docs")
+        .where(enough)
     )
     found = cut(found)
+    inner = found.select("s", (F.col("size") - 1).alias("size"), F.col("a1").alias("h1"), F.col("a2").alias("h2"))
+    inner = inner.union(found.select("s", F.col("size") - 1, "b1", "b2")).distinct()
+    longest = found.join(inner, ["s", "size", "h1", "h2"], "left_anti").select("s", "place.k", "place.at", "size", "n_docs")
+    longest = docs.join(small(cut(longest), BROADCAST_BLOCKS), ["s", "k"]).select("s", F.slice("ids", F.col("at") + 1, F.col("size")).alias("block"), "n_docs")
+    longest = cut(longest)
     # The text of the lines of the blocks found: few, whatever the number of documents.
-    wanted = cut(found.select("s", F.explode("block").alias("line_id")).distinct())
     text_of = known.select(
-        F.col(source).alias("s"), F.explode(F.filter(_lines(F.col(text)), lambda x: x != "")).alias("line")
+        F.col(source).cast("string").alias("s"), F.explode(F.filter(_lines(F.col(text)), lambda x: x != "")).alias("line")
     ).withColumn("line_id", F.xxhash64("line"))
     names = text_of.join(small(wanted, BROADCAST_BLOCKS), ["s", "line_id"], "left_semi").groupBy("s", "line_id").agg(F.min("line").alias("line"))
-    lines = (
-        found.select("s", "block", "n_docs", F.posexplode("block").alias("pos", "line_id"))
+    out = (
+        longest.select("s", "block", "n_docs", F.posexplode("block").alias("pos", "line_id"))
         .join(names, ["s", "line_id"])
         .groupBy("s", "block", "n_docs")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     )
-    return lines.select(F.col("s").alias(source), "block", F.col("lines.line").alias("lines"), "n_docs")
+    return out.select(F.col("s").alias(source), "block", F.col("lines.line").alias("lines"), "n_docs")
 
 
 def without_blocks(
-    df: DataFrame, blocks: DataFrame, *, source: str = "board", text: str = "descriptionPlain", out: str = "clean_text"
+    df: DataFrame, blocks: DataFrame, *, source: str = "board", text: str = "descriptionPlain", out: str = "clean_text", min_lines: int = 1
 ) -> DataFrame:
     """``df`` with ``out``: the text without the lines that lie in a repeated block of its source.
 
-    Lines that stay keep their text as stored. A null text stays null; a source without blocks keeps
+    A part of a block, of at least ``min_lines`` lines, is a repeated block too, and is deleted wherever it
+    stands. Lines that stay keep their text as stored. A null text stays null; a source without blocks keeps
     its texts. The blocks of a source are few (see ``repeated_blocks``); they are joined by broadcast
     where their count is within the bound, else by shuffle.
     """
-    per_source = blocks.groupBy(F.col(source).alias("__s")).agg(F.collect_set("block").alias("__blocks"), F.max(F.size("block")).alias("__n"))
+    parts = F.transform(F.sequence(F.lit(0), F.size("block") - min_lines), lambda i: F.slice("block", i + 1, F.lit(min_lines)))
+    per_source = blocks.where(F.size("block") >= min_lines).groupBy(F.col(source).alias("__s")).agg(F.array_distinct(F.flatten(F.collect_list(parts))).alias("__blocks"))
     raw, formed = F.split(F.col(text), "\n"), _lines(F.col(text))
-    joined = df.join(small(cut(per_source), BROADCAST_BLOCKS), F.col(source) == F.col("__s"), "left")
+    joined = df.join(small(cut(per_source), BROADCAST_BLOCKS), F.col(source).cast("string") == F.col("__s"), "left").withColumn("__n", F.when(F.col("__s").isNotNull(), min_lines))
     # Identifiers of the lines that are not empty, with their places; a block covers its places.
     places = F.filter(F.transform(formed, lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
     ids = F.transform(F.col("__places"), lambda i: F.xxhash64(F.get(F.col("__formed"), i)))

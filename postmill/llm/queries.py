@@ -67,7 +67,12 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_blocks(table(spark, d, "ashby")).select("board", F.col("lines")[0].alias("line"))
+    return repeated_blocks(table(spark, d, "ashby")).select("board", F.explode("lines").alias("line")).distinct()
+
+
+def p5_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The longest repeated blocks of each board, and in how many of its postings each stands."""
+    return repeated_blocks(table(spark, d, "ashby")).select("board", F.array_join("lines", "\n").alias("block"), "n_docs")
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -123,11 +128,11 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents")).coverage()
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_accepted": p7_accepted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_blocks": p5_blocks, "p5_clean": p5_clean, "p7_found": p7_found, "p7_accepted": p7_accepted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}
 
 _LINES = r"""
 WITH line_rows AS (
-    SELECT board, id, pos, raw, lower(trim(regexp_replace(raw, '[\s\p{Z}\x85\x1c-\x1f]+', ' ', 'g'))) AS line
+    SELECT board, id, descriptionPlain, pos, raw, lower(trim(regexp_replace(raw, '[\s\p{Z}\x85\x1c-\x1f]+', ' ', 'g'))) AS line
     FROM (SELECT DISTINCT board, id, descriptionPlain,
                  unnest(string_split(descriptionPlain, chr(10))) AS raw,
                  unnest(range(len(string_split(descriptionPlain, chr(10))))) AS pos FROM ashby)
@@ -152,6 +157,12 @@ SQL: dict[str, str] = {
     "p10_found": """WITH w AS (SELECT DISTINCT doc_id, md5(text[i:i + 299]) AS h FROM documents, unnest(range(1, len(text) - 298)) r(i) WHERE len(text) >= 300)
  SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p5_found": f"{_LINES} SELECT board, line FROM found",
+    "p5_blocks": f"""{_LINES},
+texts AS (SELECT board, id, list(line ORDER BY pos) AS ls FROM (SELECT *, hash(descriptionPlain) AS t FROM line_rows WHERE line <> '') GROUP BY board, id, t),
+parts AS (SELECT board, id, ls[i:i + n - 1] AS b FROM texts, unnest(range(1, len(ls) + 1)) a(i), unnest(range(1, len(ls) - i + 2)) c(n)),
+kept AS (SELECT board, b, count(DISTINCT id) AS n FROM parts JOIN totals USING (board) GROUP BY board, b, total HAVING n >= 5 AND n >= 0.2 * total),
+inside AS (SELECT board, b[:-2] AS b FROM kept WHERE len(b) > 1 UNION SELECT board, b[2:] FROM kept WHERE len(b) > 1)
+SELECT board, array_to_string(b, chr(10)) AS block, n AS n_docs FROM kept k WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.board = k.board AND i.b = k.b)""",
     "p5_clean": f"""{_LINES}
 SELECT DISTINCT a.board, a.id, CASE WHEN a.descriptionPlain IS NULL THEN NULL ELSE coalesce(k.clean_text, '') END AS clean_text
 FROM ashby a LEFT JOIN (

@@ -219,6 +219,10 @@ def test_lines(spark):
     df = spark.createDataFrame(rows, "board string, id string, descriptionPlain string").withColumns({"s": F.lit(1), "k": F.lit(2), "block": F.lit(3), "lines": F.lit(4)})
     found = repeated_blocks(df)
     assert {(r.board, tuple(r.lines), r.n_docs) for r in found.collect()} == {("b", ("equal opportunity",), 8), ("b", ("about us",), 5)}
+    block = [("b", f"i{i}", f"own {i}\nShare\nthis \n\npost\nown too {i}") for i in range(6)] + [("b", f"k{i}", "share") for i in range(6)]
+    longest = repeated_blocks(spark.createDataFrame(block, "board string, id string, descriptionPlain string"))
+    assert {(tuple(r.lines), r.n_docs) for r in longest.collect()} == {(("share", "this", "post"), 6)}
+    assert {r.clean_text for r in without_blocks(df.where("id = 'i7'").selectExpr("board", "'share\nx' descriptionPlain"), longest).collect()} == {"x"}
     clean = {(r.board, r.id): r.clean_text for r in without_blocks(df, found).collect()}
     assert clean["b", "i1"] == "own 1\n" and clean["b", "nul"] is None and clean["c", "j0"] == legal and clean["b", "rep"] == "again\n" * 50
     assert repeated_blocks(df.limit(0)).count() == 0
@@ -227,9 +231,9 @@ def test_lines(spark):
 def test_blocks_of_two_lines(spark):
     rows = [("b", f"i{i}", f"x{i}\nA\nB\ny{i}") for i in range(6)] + [("b", f"k{i}", f"A\nz{i}\nB") for i in range(6)]
     df = spark.createDataFrame(rows, "board string, id string, descriptionPlain string")
-    found = repeated_blocks(df, block_lines=2)
+    found = repeated_blocks(df, min_lines=2)
     assert {tuple(r.lines) for r in found.collect()} == {("a", "b")}
-    clean = {r.id: r.clean_text for r in without_blocks(df, found).collect()}
+    clean = {r.id: r.clean_text for r in without_blocks(df, found, min_lines=2).collect()}
     assert clean["i0"] == "x0\ny0" and clean["k0"] == "A\nz0\nB"
 
 
