@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postmill.llm import spans as SP
 from postmill.llm.encode import PrefixEncoder, encode_texts, load_ranks
 from postmill.llm.history import AcceptedState, _owned_within, dedup_history, history_rows, one_slip, role_parts
-from postmill.llm.leak import find_leaks
+from postmill.llm.leak import Blocks, find_leaks
 from postmill.llm.lines import repeated_blocks, suffix_array, without_blocks
 from postmill.llm.names import channel, link_names, name_pairs, words_of
 from postmill.llm.neardup import BANDS, ROWS, NearDuplicates, Shingler, bands_of, dart_signature, mix
@@ -414,11 +414,43 @@ def test_leaks(spark):
     assert find_leaks(d, e.limit(0)).count() == 0 and find_leaks(d.limit(0), e).count() == 0
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr("postmill.llm.leak.BLOCK_WORDS", 1)
-    d = spark.createDataFrame([(1, QUESTION)], "doc_id bigint, text string")
-    e = spark.createDataFrame([(10, QUESTION), (11, QUESTION + " Why?")], "item_id bigint, text string")
-    assert {(r.doc_id, r.item_id) for r in find_leaks(d, e).collect()} == {(1, 10), (1, 11)}
+def leaks(spark, docs, items):
+    out = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    return {tuple(r) for r in out.collect()}
+
+
+def test_leaks_by_windows(spark, monkeypatch):
+    """Beyond one automaton the same passages come from hashes that meet by shuffle."""
+    r = random.Random(21)
+    words = [f"w{n}" for n in range(40)]
+    items = [(n, " ".join(r.choices(words, k=r.randint(5, 40)))) for n in range(30)]
+    items += [(90, items[3][1]), (91, None), (92, "")]
+    docs = []
+    for n in range(40):
+        parts = r.choice(items[:30])[1].split()
+        a = r.randint(0, len(parts))
+        docs.append((n, " - ".join([*r.choices(words, k=r.randint(0, 9)), *parts[a : a + r.randint(8, 20)], "x", *r.choices(words, k=r.randint(0, 9))])))
+    docs += [(95, None), (96, "")]
+    whole = leaks(spark, docs, items)
+    monkeypatch.setattr("postmill.llm.leak.AUTOMATON_WORDS", 1)
+    assert leaks(spark, docs, items) == whole and len(whole) > 5
+    want = set()
+    for d, t in docs:
+        for i, q in items:
+            a, b = (t or "").replace(" - ", " ").split(), (q or "").split()
+            if {tuple(a[k : k + 12]) for k in range(len(a) - 11)} & {tuple(b[k : k + 12]) for k in range(len(b) - 11)}:
+                want.add((d, i))
+    assert {(d, i) for d, i, *_ in whole} == want
+
+
+def test_a_million_words_in_one_automaton():
+    r = random.Random(22)
+    words = [f"{a}{b}" for a in string.ascii_lowercase for b in range(4000)]
+    items = [(n, " ".join(r.choices(words, k=100))) for n in range(10_000)]
+    blocks = Blocks(items, 12)
+    text = "so " + " ".join(items[77][1].split()[30:45]) + " and " + items[4000][1]
+    assert sorted(blocks.passages(text)) == [(77, 1, 15), (4000, 17, 116)]
+    assert len(blocks.automaton) <= 170_000
 
 
 # --- shared spans ----------------------------------------------------------------------------------
