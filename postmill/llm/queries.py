@@ -39,7 +39,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Each posting with the first posting of its class of equal texts, and its number of links."""
+    """Each posting with the first posting of its class of equal sets, and its number of links.
+
+    Where p2_found links the copies of one text to the first of them only, that one's pairs and these classes give all pairs.
+    """
     return NearDuplicates(table(spark, d, "ashby")).classes()
 
 
@@ -123,12 +126,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents")).pairs()
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of documents that share spans, with the places of these: all pairs follow from it."""
+    return SharedSpans(table(spark, d, "documents")).classes()
+
+
 def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Of each document with a shared span, how much of its text stands elsewhere."""
     return SharedSpans(table(spark, d, "documents")).coverage()
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_blocks": p5_blocks, "p5_clean": p5_clean, "p7_found": p7_found, "p7_accepted": p7_accepted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_coverage": p10_coverage}
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_blocks": p5_blocks, "p5_clean": p5_clean, "p7_found": p7_found, "p7_accepted": p7_accepted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_classes": p10_classes, "p10_coverage": p10_coverage}
 
 _LINES = r"""
 WITH line_rows AS (
@@ -156,6 +164,12 @@ SQL: dict[str, str] = {
     "p9_found": f"WITH {_RUNS('d', 'doc_id', 'documents')}, {_RUNS('e', 'item_id', 'eval_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (t)",
     "p10_found": """WITH w AS (SELECT DISTINCT doc_id, md5(text[i:i + 299]) AS h FROM documents, unnest(range(1, len(text) - 298)) r(i) WHERE len(text) >= 300)
  SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_coverage": """WITH w AS (SELECT DISTINCT doc_id, i, md5(text[i:i + 299]) AS h FROM documents, unnest(range(1, len(text) - 298)) r(i) WHERE len(text) >= 300),
+ s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), k AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN s USING (h))
+ SELECT doc_id, sum(least(300, i - coalesce(p, i - 300)))::BIGINT AS shared_chars FROM k GROUP BY doc_id""",
+    "p2_classes": f"""{_TRIPLES}, l AS (SELECT id_a, id_b FROM x JOIN c ca ON ca.id = id_a JOIN c cb ON cb.id = id_b WHERE k * 100 >= 70 * (ca.n + cb.n - k)),
+ e AS (SELECT id_a AS id, id_b AS other FROM l UNION ALL SELECT id_b, id_a FROM l), g AS (SELECT id, list_sort(list(t)) AS ts FROM s GROUP BY id)
+ SELECT id, min(id) OVER (PARTITION BY ts) AS class_id, coalesce((SELECT count(*) FROM e WHERE e.id = g.id), 0)::BIGINT AS n_links FROM g""",
     "p5_found": f"{_LINES} SELECT board, line FROM found",
     "p5_blocks": f"""{_LINES},
 texts AS (SELECT board, id, list(line ORDER BY pos) AS ls FROM (SELECT *, hash(descriptionPlain) AS t FROM line_rows WHERE line <> '') GROUP BY board, id, t),

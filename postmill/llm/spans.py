@@ -259,6 +259,7 @@ class SharedSpans:
 
         All members of a class are paired, unless it has more than ``ALL_PAIRS_WITHIN``: then its
         first record stands for it in pairs with other texts, and its members are linked to the first.
+        Every pair of different texts is listed, so a span of many texts gives many; ``classes`` says the same without them.
         """
         few = self.copies.where(F.col("size") <= ALL_PAIRS_WITHIN)
         members = few.select("first", F.col("doc").alias("member"))
@@ -271,6 +272,20 @@ class SharedSpans:
         both = across.unionByName(inner).unionByName(star).where("a <> b")
         return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
+    def classes(self) -> DataFrame:
+        """Groups of records that share spans: ``span_class, doc_id, start, stop``, linear in the spans.
+
+        Two records share a span if, and only if, they have a row each of one class. A class is a set of
+        records, with all spans that stand in exactly these; records of equal texts have the rows of
+        their first one, and a class of their own over the whole text. Nothing is expanded into pairs.
+        """
+        name = F.concat_ws(":", F.hex("g1"), F.hex("g2"))
+        own = self.spans.select(name.alias("span_class"), F.col("doc").alias("first"), "start", F.col("end").alias("stop"))
+        members = self.copies.select("first", F.col("doc").alias("member"))
+        spread = own.join(members, "first", "left").select("span_class", F.coalesce("member", "first").alias("doc_id"), "start", "stop")
+        whole = self.copies.select(F.concat(F.lit("copies of "), F.col("first").cast("string")).alias("span_class"), F.col("doc").alias("doc_id"), F.lit(0).cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("stop"))
+        return spread.unionByName(whole).distinct()
+
     def coverage(self) -> DataFrame:
         """Of each record with a shared span: how many of its code points lie in one."""
         own = self.spans.select("doc", "start", "end").unionByName(self.copies.select("doc", F.lit(0).cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("end")))
@@ -292,7 +307,7 @@ def _shared(rows: DataFrame, places: DataFrame, length: int, bucket_windows: int
         .select("mini", (F.col("windows") > bucket_windows).alias("hot"))
     )
     wanted = places.join(shared, "mini").groupBy("doc").agg(F.collect_set(F.struct("mini", "hot", "start", "n")).alias("places"))
-    packed = rows.join(wanted, "doc").dropDuplicates(["doc", "text"]).select("doc", "text", "places")
+    packed = rows.join(wanted, "doc").select("doc", "text", "places")  # a repeated delivery repeats windows, which count once
     packed = cut(packed.mapInArrow(_pack(length), "mini bigint, hot boolean, doc bigint, start bigint, n bigint, packed string"))
     cold = packed.where("not hot").select("mini", "doc", "start", "n", "packed").repartition("mini").sortWithinPartitions("mini")
     spans = cold.mapInArrow(_buckets(length), _GROUP)

@@ -485,6 +485,12 @@ def test_shared_spans(spark, bucket):
     spans = SP.SharedSpans(df, length=30, bucket_windows=bucket)
     assert {tuple(x) for x in spans.pairs().collect()} == pairs and len(pairs) > 100
     assert {x.doc_id: x.shared_chars for x in spans.coverage().collect()} == cover
+    groups = {}
+    for x in spans.classes().collect():
+        groups.setdefault(x.span_class, set()).add(x.doc_id)
+        text = dict(docs)[x.doc_id]
+        assert 30 <= x.stop - x.start and x.stop <= len(text)
+    assert {(a, b) for g in groups.values() for a in g for b in g if a < b} == pairs
     assert SP.SharedSpans(df.limit(0), length=30).pairs().count() == 0
 
 
@@ -497,6 +503,16 @@ def test_many_equal_texts_are_not_expanded(spark, monkeypatch):
     assert {x.doc_id: x.shared_chars for x in spans.coverage().collect()} == {i: 60 for i in range(20)} | {50: 40, 51: 35}
 
 
+def test_a_span_of_many_texts(spark):
+    """A span in 2,000 different texts is a class of 2,000 rows, in no more rows than that."""
+    r = random.Random(31)
+    text = lambda n: "".join(r.choices(string.ascii_letters, k=n))
+    shared = text(40)
+    df = spark.createDataFrame([(i, chr(0x4E00 + i) * 20 + shared + chr(0x5E00 + i) * 20) for i in range(2000)], "doc_id bigint, text string")
+    rows = SP.SharedSpans(df, length=30).classes().collect()
+    assert len(rows) == 2000 and len({x.span_class for x in rows}) == 1 and {(x.start, x.stop) for x in rows} == {(20, 60)}
+
+
 def test_long_text_in_segments(monkeypatch):
     monkeypatch.setattr(SP, "SEGMENT", 50)
     codes = np.array([ord(c) for c in "".join(random.Random(9).choices("abc", k=400))], dtype=np.uint32)
