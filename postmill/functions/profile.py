@@ -64,3 +64,31 @@ class LatestSlot:
 def needs_new_vector(before: str, after: str) -> bool:
     """Only a change in the text that is embedded asks for a new vector."""
     return before != after
+
+
+def profile_text(focus: str, kinds: list[str], fields: list[str], interests: str, prefix: str = "") -> str:
+    """What is embedded of a person: what they did, and what they seek. Skills are left out on purpose."""
+    seek = [f"{', '.join(kinds)} roles" if kinds else "early-career roles"]
+    seek += [f"in {', '.join(fields)}"] if fields else []
+    seek += [f"— {interests.strip()}"] if interests.strip() else []
+    return f"{prefix}Experience: {focus.strip()}\nSeeking: {' '.join(seek)}"
+
+
+def baseline_profile_text(resume: str, kinds: list[str], interests: str, prefix: str = "", most: int = 6000) -> str:
+    """The plain text of a person, cut, with the soft answers behind it."""
+    return "\n".join([f"{prefix}{resume[:most]}", *[x for x in (", ".join(kinds), interests.strip()) if x]])
+
+
+def save_answers(profile: Guarded, soft_before: str, soft_after: str, value: object, expected: int, embed) -> str:
+    """Save a person's answers by one of three ways; says which.
+
+    ``none``: there is no profile yet, only the answers are kept. ``embedded``: the rendered text changed, so a new
+    vector is made before anything is published. ``plain``: it didn't, and the vector stays.
+    """
+    if profile.value is None:
+        return "none"
+    if needs_new_vector(soft_before, soft_after):
+        profile.publish((value, embed(soft_after)), expected)
+        return "embedded"
+    profile.publish((value, profile.value[1]), expected)
+    return "plain"

@@ -1,49 +1,54 @@
-"""Scalar functions over text, all of them native expressions but for numeric entities."""
+"""Scalar functions over text, all of them native expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postmill.schema import clean
 
 # The named entities that are decoded.
-_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+# The elements whose beginning and end break a line.
+BLOCKS = ("p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")
+# A tag of one of these elements, opening or closing, or a line break.
+BREAK = rf"(?i)<\s*/?\s*(?:{'|'.join(BLOCKS)}|br)(?:[\s/][^<>]*)?>"
 # A number, an optional plus, an optional range, and the word; the range keeps "0-3 years" at 0.
-YEARS = r"(?i)(?:^|[^0-9.])([0-9]{1,2})\+?(?:\s*(?:-|–|to)\s*[0-9]{1,2}\+?)?\s*years?(?:[^A-Za-z]|$)"
-_ENTITY = re.compile(r"&(#[xX]?[0-9a-fA-F]+|[a-zA-Z]+);")
+YEARS = r"(?i)(?:^|[^0-9])([0-9]{1,9})\s*\+?(?:\s*(?:-|–|—|to)\s*[0-9]{1,9}\s*\+?)?\s*years?"
+# White space of every kind but line feeds.
+_BLANKS = r"[ \t\x0B\f\r\p{Zs}\x{FEFF}]+"
 
 
-def _entity(m: re.Match) -> str:
-    body = m.group(1)
-    if body[0] != "#":
-        return _NAMED.get(body.lower(), m.group())
-    try:
-        code = int(body[2:], 16) if body[1] in "xX" else int(body[1:])
-        return chr(code) if not 0xD800 <= code < 0xE000 else m.group()
-    except (ValueError, OverflowError):
-        return m.group()
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities to characters, in one pass; unknown and impossible ones stay as they are.
 
+    The text is divided into entities and what lies between; each entity is turned into its character by a
+    native expression, so nothing that a replacement makes is decoded again. Texts without ``&`` pass through.
+    """
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
 
-@F.pandas_udf(T.StringType())  # a type object: a session may not be there yet
-def _decode_numeric(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None else _ENTITY.sub(_entity, t))
+    def one(part: Column) -> Column:
+        body = F.substring(part, F.lit(2), F.length(part) - 2)
+        hexed = F.lower(F.substring(body, 2, 1)) == "x"
+        digits = F.regexp_replace(F.when(hexed, F.substring(body, F.lit(3), F.length(body))).otherwise(F.substring(body, F.lit(2), F.length(body))), "^0+(?=.)", "")
+        code = F.when(F.length(digits) <= 8, F.conv(F.when(hexed, digits).otherwise(F.conv(digits, 10, 16)), 16, 10).cast("bigint"))
+        fits = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        decoded = F.when(F.substring(body, 1, 1) == "#", char).otherwise(F.element_at(named, F.lower(body)))
+        return F.when(part.startswith("&") & (F.length(part) > 2), F.coalesce(decoded, part)).otherwise(part)
 
-
-def decode_entities(text: Column) -> Column:
-    """Named, decimal and hexadecimal entities to characters, once; unknown ones stay as they are."""
-    return _decode_numeric(text)
+    parts = F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z]+);|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def html_to_text(text: Column) -> Column:
-    """Tags off; ends of blocks become line ends, other tags blanks; entities decoded; blanks collapsed."""
-    broken = F.regexp_replace(text, r"(?i)<\s*(?:br|/(?:p|li|div|tr|h[1-6]))\s*/?>|<\s*(?:li|p|div|tr|h[1-6])\b[^>]*>", "\n")
-    plain = decode_entities(F.regexp_replace(broken, r"<[^>]+>", " "))
-    return clean(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n\s*\n\s*", "\n\n"))
+    """Tags off, a line end for each that breaks a line; entities decoded; blanks and empty lines run together.
+
+    White space of every kind counts as ``clean`` counts it.
+    """
+    lines = F.regexp_replace(F.regexp_replace(text, BREAK, "\n"), "<[^>]+>", " ")
+    lines = F.regexp_replace(decode_entities(lines), _BLANKS, " ")
+    return clean(F.regexp_replace(lines, "\n(?: ?\n)+ ?", "\n\n"))
 
 
 def escape_html(text: Column) -> Column:
@@ -104,8 +109,19 @@ def canonical_terms(terms: Column, aliases: dict[str, str]) -> Column:
 
 
 def fingerprint(version: int, *parts: Column) -> Column:
-    """SHA-256 over a version and parts, null told from empty."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(str(version)), *[F.coalesce(F.concat(F.lit("="), p), F.lit("-")) for p in parts]), 256)
+    """SHA-256 over the JSON array of a version and parts: null told from empty, no part runs into another."""
+    return F.sha2(F.concat(F.lit(f"[{version},"), F.substring(F.to_json(F.array(*[p.cast("string") for p in parts])), 2, 2**31 - 1)), 256)
+
+
+def text_fingerprint(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def plausible_years(date: Column, now: Column) -> tuple[Column, Column]:
+    """A stated date and its class year, both null unless the year lies from one before to six after that of ``now``."""
+    year = stated_year(date)
+    good = year.between(F.year(now) - 1, F.year(now) + 6)
+    return F.when(good, clean(date)), F.when(good, year)
 
 
 def grounded(claim: Column, text: Column) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.schema import role_key
+from postmill.session import small
+
+# Cards of a page, at most, whose keys are broadcast.
+PAGE_CARDS = 1_000
 
 
 def role_groups(df: DataFrame, company: str, title: str, seen: str, published: str | None = None, deadline: str | None = None) -> DataFrame:
@@ -24,13 +28,50 @@ def role_groups(df: DataFrame, company: str, title: str, seen: str, published: s
             F.max(F.col(published) if published else null).alias("max_published"),
             F.min(F.col(deadline) if deadline else null).alias("min_deadline"),
             F.count("*").alias("n_variants"),
+            F.array_sort(F.collect_set(F.struct(F.col(company).alias("company"), F.col(title).alias("title")))).alias("spellings"),
         )
     )
 
 
-def card_order(sort: str, now: Column | None = None) -> list[Column]:
+def group_counts(groups: DataFrame, new_since: Column) -> DataFrame:
+    """How many roles there are, and how many of them were seen newly: one row."""
+    return groups.agg(F.count("*").alias("total"), F.count_if(F.col("max_seen") >= new_since).alias("new_count"))
+
+
+def ranked_groups(scored: DataFrame, company: str, title: str, score: str, seen: str, key: str, new_since: Column, variant: list[str]) -> DataFrame:
+    """One row for each role of scored rows: the best score, and all variants, the newest first (ties: larger key).
+
+    Any order of cards may follow; ``card_order("score")`` is best score, company, title.
+    """
+    c, t = role_key(company, title)
+    item = F.struct(F.col(seen).alias("seen"), F.col(key).alias("key"), F.col(score).alias("score"), *[F.col(v).alias(f"v_{v}") for v in variant])
+    rows = scored.withColumns({"__c": c, "__t": t}).where("__c is not null and __t is not null")
+    return rows.groupBy(F.col("__c").alias("company"), F.col("__t").alias("title")).agg(
+        F.max(score).alias("best_score"), F.count("*").alias("n_variants"), F.coalesce(F.bool_or(F.col(seen) >= new_since), F.lit(False)).alias("any_new"),
+        F.sort_array(F.collect_list(item), asc=False).alias("variants"),
+    )
+
+
+def variant_row(new_since: Column, seen: str, status: str = "status", note: str = "note") -> Column:
+    """What a card says of one variant besides its own columns: whether it is new, the status and the note, if any."""
+    return F.struct((F.col(seen) >= new_since).alias("is_new"), F.col(status).alias("status"), F.col(note).alias("note"))
+
+
+def recommendation(df: DataFrame, now: Column, deadline: str, unverified: list[str], columns: list[str]) -> DataFrame:
+    """Items of a ranking as shown: ``columns``, the days left, and which of ``unverified`` the row doesn't state."""
+    flags = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in unverified]), lambda x: x.isNotNull())
+    return df.select(*columns, days_left(F.col(deadline), now).alias("days_left"), flags.alias("unverified"))
+
+
+def badge(company: Column, curated: Column, text: str) -> Column:
+    """A fixed text for a company on a curated list, else null. ``curated`` is a flag of the row, as a semi-join or a join gives it."""
+    return F.when(curated & company.isNotNull(), F.lit(text))
+
+
+def card_order(sort: str, now: Column | None = None, locale: bool = False) -> list[Column]:
     """Total orders of cards: ``seen``, ``published``, ``company``, ``deadline``, ``score``."""
-    name = [F.col("company").asc(), F.col("title").asc()]
+    # Display order is by locale, so that case doesn't part names; equal ones by code point, so that it is total.
+    name = [*[F.collate(c, "UNICODE").asc() for c in ("company", "title")], F.col("company").asc(), F.col("title").asc()] if locale else [F.col("company").asc(), F.col("title").asc()]
     if sort == "seen":
         return [F.col("max_seen").desc_nulls_last(), *name]
     if sort == "published":
@@ -62,9 +103,8 @@ def assemble(df: DataFrame, cards: DataFrame, company: str, title: str, seen: st
     The cards of a page are few; their keys are broadcast, and only rows of those roles are grouped.
     """
     c, t = role_key(company, title)
-    rows = df.withColumns({"__c": c, "__t": t}).join(
-        F.broadcast(cards.select(F.col("company").alias("__c"), F.col("title").alias("__t"))), ["__c", "__t"], "left_semi"
-    )
+    keys = small(cards.select(F.col("company").alias("__c"), F.col("title").alias("__t")), PAGE_CARDS)
+    rows = df.withColumns({"__c": c, "__t": t}).join(keys, ["__c", "__t"], "left_semi")
     item = F.struct(F.col(seen).alias("seen"), F.col(key).alias("key"), *[F.col(v).alias(f"v_{v}") for v in variant])
     grouped = rows.groupBy(F.col("__c").alias("company"), F.col("__t").alias("title")).agg(
         F.sort_array(F.collect_list(item), asc=False).alias("variants"), F.coalesce(F.bool_or(F.col(seen) >= new_since), F.lit(False)).alias("any_new")

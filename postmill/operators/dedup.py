@@ -38,6 +38,15 @@ def survivors(df: DataFrame, by: list[Column], key: str, order: list[Column] | N
     return grouped.select("__row.*", F.array_sort(F.filter("__all", lambda k: k != F.col("__row")[key])).alias("siblings"))
 
 
+def sibling_rows(df: DataFrame, by: list[Column], key: str) -> DataFrame:
+    """``survivor, sibling``: the keys that each survivor stands for, one a row, for groups too large for an array."""
+    names = [f"__k{i}" for i in range(len(by))]
+    rows = df.withColumns(dict(zip(names, by))).select(*names, key).distinct()
+    first = rows.groupBy(*names).agg(F.min(key).alias("survivor"))
+    same = [rows[n].eqNullSafe(first[n]) for n in names]
+    return rows.join(first, same).where(F.col("survivor") != F.col(key)).select("survivor", F.col(key).alias("sibling"))
+
+
 def owners(batch: DataFrame, stored: DataFrame, company: str, title: str, location: str, key: str, active: str) -> DataFrame:
     """``batch`` with ``owner`` and ``outcome``: ``new``, ``self`` or ``other``.
 
@@ -117,21 +126,18 @@ def retire_carriers(written: DataFrame, stored: DataFrame, key: str, keys: str,
 
 
 def collapse(df: DataFrame, by: list[Column], key: str, active: str) -> DataFrame:
-    """All rows with ``active`` false for each but the first active row of its group, and the keys that one gains."""
+    """All rows with ``active`` false for each but the first active row of its group, and the keys that one gains.
+
+    ``key`` is unique but for repeated rows.
+    """
     names = [f"__k{i}" for i in range(len(by))]
     rows = df.withColumns(dict(zip(names, by)))
     groups = rows.where(F.col(active)).groupBy(*names).agg(F.min(key).alias("__first"), F.collect_set(key).alias("__all"))
-    same = [rows[n].eqNullSafe(groups[n]) for n in names]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    joined = rows.join(groups, cond, "left").drop(*[groups[n] for n in names])
-    first = F.col(key) == F.col("__first")
-    return (
-        joined.withColumn(active, F.col(active) & F.coalesce(first, F.lit(False)))
-        .withColumn("gained", F.when(F.col(active), F.array_sort(F.filter("__all", lambda k: k != F.col("__first")))))
-        .drop("__first", "__all", *names)
-    )
+    # The keys gained go to the row of the first key only; all other rows are inactive by not being one.
+    firsts = groups.select(F.col("__first").alias("__f"), F.array_sort(F.filter("__all", lambda k: k != F.col("__first"))).alias("__gained"))
+    joined = rows.drop(*names).join(firsts, F.col(key) == F.col("__f"), "left")
+    stays = F.col(active) & F.col("__f").isNotNull()
+    return joined.withColumn("gained", F.when(stays, F.col("__gained"))).withColumn(active, F.coalesce(stays, F.lit(False))).drop("__f", "__gained")
 
 
 def latest(df: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# More cells than this are not brought to the driver for an allocation.
-MAX_CELLS = 100_000
+from postmill.session import cut, small
+
+# Cells up to this number are allocated by the driver; more of them by windows over the cells.
+DRIVER_CELLS = 100_000
 
 
 def allocate(cells: dict[str, int], target: int) -> dict[str, int]:
@@ -34,26 +36,77 @@ def allocate(cells: dict[str, int], target: int) -> dict[str, int]:
     return seats
 
 
+def _allocate_rows(counted: DataFrame, target: int) -> DataFrame:
+    """``allocate`` for any number of cells: ranks over ranges of them, never a list on the driver.
+
+    With at least one seat for each cell the floors may exceed the target only if there are about as many
+    cells as seats; then the largest allocations give seats back, all of them in whole rounds down to a level.
+    """
+    from postmill.operators.rank import global_rank
+
+    total = counted.agg(F.sum("size")).first()[0] or 0
+    exact = F.col("size") * F.lit(float(target)) / F.lit(float(total or 1))
+    cells = cut(counted.withColumn("frac", exact - F.floor(exact)).withColumn("seats", F.least("size", F.greatest(F.lit(1), F.floor(exact).cast("bigint")))))
+    spare = target - (cells.agg(F.sum("seats")).first()[0] or 0)
+    if spare > 0:
+        open_ = global_rank(cells.where("seats < size"), "frac", "cell", "at").select("cell", "at")
+        cells = cells.join(open_, "cell", "left").withColumn("seats", F.col("seats") + (F.coalesce(F.col("at") < spare, F.lit(False))).cast("bigint")).drop("at")
+    elif spare < 0:
+        levels = {r["seats"]: r["n"] for r in cells.groupBy("seats").agg(F.count("*").alias("n")).collect()}  # at most sqrt(2 target) different ones
+        level, over = max(levels), -spare
+        while level > 1 and over > 0:
+            high = sum(n for s, n in levels.items() if s >= level)
+            if over < high:
+                break
+            over, level = over - high, level - 1
+        cells = cells.withColumn("seats", F.least("seats", F.lit(level)))
+        if over > 0 and level > 1:  # the last ones: of equal allocations the larger keys
+            last = cells.where(F.col("seats") == level).select("cell").orderBy(F.col("cell").desc()).limit(over).withColumn("less", F.lit(1))
+            cells = cells.join(last, "cell", "left").withColumn("seats", F.col("seats") - F.coalesce("less", F.lit(0))).drop("less")
+    return cells.select("cell", "size", "seats")
+
+
 def stratified_counts(df: DataFrame, cell: str, target: int) -> DataFrame:
-    """Cells with their size and seats. The cells, not the rows, come to the driver, up to a bound."""
-    counted = df.groupBy(F.col(cell).alias("cell")).agg(F.count("*").alias("size")).where("cell is not null")
-    rows = counted.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells")
+    """Cells with their size and seats. Up to a bound the cells, never the rows, come to the driver."""
+    counted = cut(df.groupBy(F.col(cell).alias("cell")).agg(F.count("*").alias("size")).where("cell is not null"))
+    if counted.limit(DRIVER_CELLS + 1).count() > DRIVER_CELLS:
+        return _allocate_rows(counted, target)
+    rows = counted.collect()
     seats = allocate({r["cell"]: r["size"] for r in rows}, target)
     return df.sparkSession.createDataFrame([(r["cell"], r["size"], seats[r["cell"]]) for r in rows], "cell string, size bigint, seats bigint")
 
 
 def stratified_sample(df: DataFrame, cell: str, key: str, target: int) -> DataFrame:
     """The first rows by key of each cell, as many as it has seats."""
-    seats = stratified_counts(df, cell, target).select(F.col("cell").alias(cell), "seats")
-    ranked = df.join(F.broadcast(seats), cell).withColumn("__n", F.row_number().over(Window.partitionBy(cell).orderBy(key)))
+    seats = small(stratified_counts(df, cell, target).select(F.col("cell").alias(cell), "seats"), DRIVER_CELLS)
+    ranked = df.join(seats, cell).withColumn("__n", F.row_number().over(Window.partitionBy(cell).orderBy(key)))
     return ranked.where("__n <= seats").drop("__n", "seats")
 
 
 def holdout(df: DataFrame, key: str, every: int = 5) -> DataFrame:
-    """``df`` of labelled items with ``held_out`` for each ``every``-th by key. The labels are few."""
-    return df.withColumn("held_out", (F.row_number().over(Window.orderBy(key)) - 1) % every == every - 1)
+    """``df`` of labelled items with ``held_out`` for each ``every``-th by key; ranked over ranges of the key."""
+    from postmill.operators.rank import global_rank
+
+    ranked = global_rank(df.withColumn("__o", F.lit(0)), "__o", key, "__rank")
+    return ranked.withColumn("held_out", F.col("__rank") % every == every - 1).drop("__rank", "__o")
+
+
+def project(ranked: DataFrame, allowed: DataFrame, key: str = "id", rank: str = "rank") -> DataFrame:
+    """A ranking restricted to allowed ids, its order kept and its places counted anew."""
+    from postmill.operators.rank import global_rank
+
+    kept = ranked.join(allowed.select(key).distinct(), key, "left_semi")
+    return global_rank(kept.withColumn("__s", -F.col(rank)), "__s", key, "__rank").drop(rank, "__s").withColumnRenamed("__rank", rank)
+
+
+def with_metadata(ranked: DataFrame, sample: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of a ranking with what the sample says of their items."""
+    return ranked.join(sample, key, "left")
+
+
+def top_label_count(ranked: DataFrame, label: str, n: int = 20, rank: str = "rank", column: str = "label") -> DataFrame:
+    """How many of the first ``n`` bear a label: one row."""
+    return ranked.where(F.col(rank) < n).agg(F.count_if(F.col(column) == label).alias("n"))
 
 
 def precision_at_k(ranked: DataFrame, k: int, rank: str = "rank", label: str = "label", strict: str = "relevant", lenient: tuple[str, ...] = ("relevant", "borderline")) -> DataFrame:
@@ -112,4 +165,4 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return ranked.withColumn("batch", F.floor(F.col("__rank") / size)).drop("__rank", "__o")
 
 
-__all__ = ["allocate", "batches", "entered", "holdout", "judged", "ndcg_at_k", "pool", "precision_at_k", "retained", "stratified_counts", "stratified_sample"]
+__all__ = ["allocate", "batches", "entered", "holdout", "judged", "ndcg_at_k", "pool", "precision_at_k", "project", "retained", "stratified_counts", "stratified_sample", "top_label_count", "with_metadata"]

@@ -50,6 +50,6 @@ def rail(counts: DataFrame, pinned: list[str], show: int) -> DataFrame:
     """Values of one facet as shown: pinned ones first (0 where absent), then by count, then by value."""
     spark = counts.sparkSession
     pins = spark.createDataFrame([(p,) for p in pinned], "value string")
-    rows = counts.select("value", "n").join(F.broadcast(pins.withColumn("pin", F.lit(0))), "value", "full")
+    rows = counts.select("value", "n").join(pins.withColumn("pin", F.lit(0)), "value", "full")
     rows = rows.select("value", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pin", F.lit(1)).alias("pin"))
     return rows.orderBy("pin", F.col("n").desc(), "value").limit(max(show, len(pinned))).drop("pin")

@@ -34,6 +34,46 @@ def delisted(stored: DataFrame, delivered: DataFrame, complete: DataFrame, scope
     return inside.join(delivered.select(*key).distinct(), key, "left_anti")
 
 
+def source_scope(targets: DataFrame, source: str = "source", active: str = "is_active") -> DataFrame:
+    """Sources whose single active target's snapshot is the whole source: only these may delist by source."""
+    return targets.where(F.col(active)).groupBy(source).agg(F.count("*").alias("n")).where("n = 1").select(source)
+
+
+def target_count(targets: DataFrame, source: str = "source", active: str = "is_active") -> DataFrame:
+    """Active targets of each source."""
+    return targets.groupBy(source).agg(F.count_if(F.coalesce(F.col(active), F.lit(False))).alias("n"))
+
+
+def crawl_health(targets: DataFrame, outcomes: DataFrame, key: list[str], now: Column) -> DataFrame:
+    """``targets`` with what a crawl left: ``last_crawled_at``, ``last_error``, ``company``, ``etag``.
+
+    ``outcomes`` has for each crawled target ``error, company, etag``. A success clears the error; a company is
+    learned from a fresh resolution only, and an etag kept unless a new one came; a failure changes the error alone.
+    """
+    new = outcomes.select(*key, F.col("error").alias("__e"), F.col("company").alias("__c"), F.col("etag").alias("__t"), F.lit(True).alias("__hit"))
+    joined, hit, good = targets.join(new, key, "left"), F.col("__hit").isNotNull(), F.col("__hit").isNotNull() & F.col("__e").isNull()
+    return joined.withColumns(
+        {
+            "last_crawled_at": F.when(hit, now).otherwise(F.col("last_crawled_at")),
+            "last_error": F.when(hit, F.col("__e")).otherwise(F.col("last_error")),
+            "company": F.when(good, F.coalesce("__c", "company")).otherwise(F.col("company")),
+            "etag": F.when(good, F.coalesce("__t", "etag")).otherwise(F.col("etag")),
+        }
+    ).drop("__e", "__c", "__t", "__hit")
+
+
+def upsert_targets(targets: DataFrame, found: DataFrame, key: list[str], now: Column) -> DataFrame:
+    """``targets`` with those a discovery found: new ones are active, known ones only get the time of discovery."""
+    fresh = found.select(*key).distinct().withColumns({"is_active": F.lit(True), "last_seen_in_discovery_at": now})
+    missing = {c: F.lit(None).cast(targets.schema[c].dataType) for c in targets.columns if c not in fresh.columns}
+    return merge(targets, fresh.withColumns(missing), key, only=["last_seen_in_discovery_at"])
+
+
+def ensured(df: DataFrame, row: DataFrame, key: str) -> DataFrame:
+    """``df`` with a row of a given key in any case: that of ``row`` if there is none."""
+    return df.unionByName(row.join(df.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
 def merge(stored: DataFrame, new: DataFrame, key: list[str], once: list[str] = (), always: dict[str, Column] | None = None, only: list[str] | None = None, insert: bool = True) -> DataFrame:
     """``stored`` with ``new`` merged in by natural key.
 

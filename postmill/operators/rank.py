@@ -7,6 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.session import cut, small
+
+# Ranges of a ranking, at most, whose counts are broadcast.
+RANGES = 100_000
 # Weights of similarity and freshness, and the half-life of freshness in days.
 SIMILARITY, FRESHNESS, HALF_LIFE = 0.95, 0.05, 30.0
 
@@ -50,14 +54,12 @@ def global_rank(df: DataFrame, score: str, key: str, out: str = "rank") -> DataF
     ranked within their range; the ranges before it add their counts.
     """
     parts = df.repartitionByRange(F.col(score).desc_nulls_last(), F.col(key).asc()).withColumn("__p", F.spark_partition_id())
-    from postmill.session import cut
-
     parts = cut(parts)
     counts = parts.groupBy("__p").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
     starts = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__p").orderBy(F.col(score).desc_nulls_last(), F.col(key).asc()))
-    return parts.join(F.broadcast(starts), "__p").withColumn(out, (F.col("__before") + own - 1).cast("bigint")).drop("__p", "__before")
+    return parts.join(small(starts, RANGES), "__p").withColumn(out, (F.col("__before") + own - 1).cast("bigint")).drop("__p", "__before")
 
 
 def bands(ranked: DataFrame, rank: str = "rank", out: str = "band") -> DataFrame:
@@ -78,6 +80,21 @@ def fold_roles(ranked: DataFrame, by: list[str], rank: str, key: str, location:
     )
 
 
+def overlap_order() -> list[Column]:
+    """Order of overlap scores: the best first, ties by id."""
+    return [F.col("score").desc_nulls_last(), F.col("id").asc()]
+
+
+def needs_embedding(signature: str, vector: str, model: str, template: str, current_model: str, current_template: int) -> Column:
+    """A signature is there, and no vector, or one of another model or template."""
+    return F.col(signature).isNotNull() & ~usable(vector, model, template, current_model, current_template)
+
+
+def baseline_text(title: Column, body: Column, prefix: str = "", most: int = 6000) -> Column:
+    """The title and the first characters of a description: what is embedded without a signature."""
+    return F.concat(F.lit(prefix), title, F.lit("\n"), F.substring(body, 1, most))
+
+
 def overlap_score(terms: Column, wanted: list[str], bonus: Column) -> Column:
     """Shared terms, and half a point for the bonus."""
     shared = F.size(F.array_intersect(terms, F.array(*[F.lit(w) for w in wanted])))

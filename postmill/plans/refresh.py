@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.models import EXTRACTED, Classifier, RuleClassifier, classify, extract
 from postmill.operators.dedup import alias_pass, cross_keys, fold_keys, own_key, owners, retire_carriers, survivors, union_keys
-from postmill.operators.lifecycle import delisted, insert_new, merge, partition_seen
+from postmill.operators.lifecycle import bump, delisted, insert_new, merge, partition_seen
 from postmill.operators.location import location_facets
 from postmill.operators.rules import Cascade, counters, decide, route
 from postmill.plans.store import SnapshotStore
@@ -54,7 +55,7 @@ class Refresh:
         found = found.withColumnRenamed("application_deadline", "told")
         return keeps.join(found, KEY, "left").withColumn("application_deadline", F.coalesce("application_deadline", "told")).drop("told")
 
-    def run(self, delivery: DataFrame, complete: DataFrame, now: str, offsets: dict | None = None) -> DataFrame:
+    def run(self, delivery: DataFrame, complete: DataFrame, now: str, offsets: dict | None = None, not_modified: DataFrame | None = None) -> DataFrame:
         """Delist, dedup, split by what is known, route and judge the unseen, merge, retire, publish; gives the counts.
 
         ``delivery`` has the columns of LISTINGS up to ``duplicate_keys``; ``complete`` the
@@ -66,8 +67,10 @@ class Refresh:
         are remembered; other drops are judged again in the next run. A delisted row that comes
         again is active again. A delivery may have the columns of OPTIONAL: an unseen row with
         ``preclassified_kind`` is kept as that without rules or model. Keeps go to the extractor, if
-        there is one; every written row has its location's facets by ``places``. Offsets become current with the state, so a failed run is repeated
-        from the old ones.
+        there is one; every written row has its location's facets by ``places``. ``not_modified`` has the ``(source, company)``
+        scopes (a null company: the whole source) whose feed said that nothing changed: their active rows count as
+        seen, and none is delisted. Offsets become current with the state, so a failed run is repeated
+        from the old ones. Listings are kept in parts by company; only parts with a changed row are written.
         """
         store, at = self.store, F.lit(now).cast("timestamp")
         stored, rejects, number = store.read("listings", LISTINGS), store.read("rejects", REJECTS), store.number
@@ -77,7 +80,14 @@ class Refresh:
             stored.where(F.col("source").isin(list(self.delisting_sources))), delivery, complete, ["source", "company"], KEY, "is_listed"
         ).select(*KEY, F.lit(False).alias("is_listed"))
         gone = cut(gone)
-        held = cut(merge(stored, gone, KEY, only=["is_listed"], insert=False))
+        held = merge(stored, gone, KEY, only=["is_listed"], insert=False)
+        bumped = None
+        if not_modified is not None:
+            scopes = not_modified.select(F.col("source").alias("__s"), F.col("company").alias("__c")).distinct()
+            same = (F.col("source") == F.col("__s")) & (F.col("__c").isNull() | (F.col("company") == F.col("__c")))
+            bumped = cut(held.where("is_listed").join(scopes, same, "left_semi").select(*KEY))
+            held = bump(held, bumped, KEY, "last_seen", at)
+        held = cut(held)
         keyed = held.withColumn("key", own_key())
         one = survivors(delivery.withColumn("key", own_key()), dedup_key("company", "title", "location"), "key")
         one = one.withColumn("aliases", cross_keys("duplicate_keys", F.col("source")))
@@ -112,5 +122,15 @@ class Refresh:
         fresh = judged.where("bucket = 'model_reject'").select(*KEY, at.alias("last_seen"))
         next_rejects = insert_new(merge(rejects, seen_again, KEY, insert=False), fresh, KEY)
         counts = cut(counters(judged, "bucket").unionByName(counters(batch.where("seen <> 'unseen'"), "seen")).unionByName(off.agg(F.lit("delisted").alias("bucket"), F.count("*").alias("n"))))
-        store.publish({"listings": final, "rejects": next_rejects}, offsets, expected=number)
+        # Parts of the companies of all rows that this run changed, as they were and as they are.
+        changed = [f.select(*KEY) for f in (gone, keeps, known, off)] + [f.select("target.*") for f in (folds, retired)] + ([bumped] if bumped is not None else [])
+        touched = reduce(DataFrame.unionByName, changed).distinct()
+        final = cut(final)
+        part = store.part_of(["company"]).alias("part")
+        both = stored.select(*KEY, part).unionByName(final.select(*KEY, part)).join(touched, KEY, "left_semi")
+        only = sorted(r["part"] for r in both.select("part").distinct().collect())
+        store.publish(
+            {"listings": final.where(store.part_of(["company"]).isin(only)) if only else final.limit(0), "rejects": next_rejects},
+            offsets, expected=number, keys={"listings": ["company"]}, only={"listings": only} if number else None,
+        )
         return counts

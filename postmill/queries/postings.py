@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from postmill.functions import text as X
 from postmill.operators import predicates as P
-from postmill.operators.cards import assemble, card_order, new_divider, page_of, role_groups, urgency
+from postmill.operators.cards import assemble, card_order, group_counts, new_divider, page_of, ranked_groups, role_groups, urgency
 from postmill.operators.facets import facet_counts
 from postmill.operators.location import dictionary, location_facets
 from postmill.operators.predicates import SearchParams
+from postmill.operators.rank import baseline_text, freshness
 from postmill.operators.rules import Cascade, counters, first_rule, route
 from postmill.operators.timestamps import number_instant
-from postmill.schema import CATEGORY_FIELD, EMPLOYMENT, WORKPLACE, mapped
+from postmill.schema import CATEGORY_FIELD, EMPLOYMENT_C, INTERVAL_C, SPONSORSHIP, WORKPLACE_C, amount, mapped
 from postmill.session import table
-from postmill.sources.feeds import normalise_c, normalise_d
+from postmill.sources.feeds import normalise_c, normalise_d, salary_component
 
 NOW = "2026-11-01 00:00:00"
 NEW_SINCE = "2026-10-29 00:00:00"
@@ -23,6 +24,7 @@ FIELD_RULES = [("ml_ai", "machine learning|research scientist"), ("data", "data"
 CASCADE = Cascade(accept_all=("engineer|scientist|analyst", "intern|co-op"), veto="intern|co-op|new grad|apprentice", reject_any=("designer|manager", "ii|iii"), max_years=0)
 _ENDS = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
 _clean = lambda c: f"regexp_replace({c}, '{_ENDS}', '', 'g')"
+_told = lambda c: f"list_filter(list_transform(coalesce({c}, []), lambda x: {_clean('x')}), lambda x: x <> '')"
 _NUMBER = "CASE WHEN {0} BETWEEN 1704067200 AND 1830297599 THEN {0} * 1000000 WHEN {0} BETWEEN 1704067200000 AND 1830297599999 THEN {0} * 1000 WHEN {0} BETWEEN 1704067200000000 AND 1830297599999999 THEN {0} WHEN {0} BETWEEN 1704067200000000000 AND 1830297599999999999 THEN {0} // 1000 END"
 
 
@@ -30,14 +32,68 @@ def _case(column: str, table: dict[str, str]) -> str:
     return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 
 
+# The hosts of the tables whose URLs bear the keys of crawled feeds.
+HOSTS = [("apply", r"apply\.listings\.example/j/([0-9]+-[0-9a-fA-F-]+)"), ("old", r"old\.listings\.example/([0-9]+/[0-9]+)")]
+
+
 def feed_c(spark: SparkSession, d: str) -> DataFrame:
-    out = normalise_c(table(spark, d, "ashby"), "board")
-    return out.select("source_external_id", "company", "title", "location", "department", "employment_type", "workplace_type", "url").distinct()
+    """Every column that the feed fills, but for the instant of publication, which p4_found gives."""
+    out = normalise_c(table(spark, d, "ashby"), "board", table(spark, d, "boards"))
+    return out.select(
+        "source", "source_external_id", "company", "title", "description_html", "description_plain", "location", "department", "employment_type", "workplace_type",
+        F.col("comp_min").cast("double").alias("comp_min"), F.col("comp_max").cast("double").alias("comp_max"), "comp_currency", "comp_interval", "url",
+    ).distinct()
 
 
 def feed_d(spark: SparkSession, d: str) -> DataFrame:
-    out = normalise_d(table(spark, d, "simplify"))
-    return out.select("source_external_id", "company", "title", "location", "cs_field", F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("published_us")).distinct()
+    out = normalise_d(table(spark, d, "simplify"), HOSTS)
+    return out.select(
+        "source", "source_external_id", "company", "title", "description_html", "description_plain", "location", F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("published_us"), "url",
+        F.array_join(F.transform("duplicate_keys", lambda k: F.concat(k["source"], F.lit(":"), k["source_external_id"])), ",").alias("aliases"),
+        F.col("preclassified.kind").alias("kind"), F.col("preclassified.field").alias("field"), F.col("preclassified.citizenship").alias("citizenship"),
+    ).distinct()
+
+
+def pay(spark: SparkSession, d: str) -> DataFrame:
+    """The salary component of each posting, amounts clamped."""
+    rows = table(spark, d, "ashby").select("id", salary_component(F.col("compensation.summaryComponents")).alias("c"))
+    return rows.select("id", amount(F.col("c.minValue")).cast("double").alias("low"), amount(F.col("c.maxValue")).cast("double").alias("high"), mapped(F.col("c.interval"), INTERVAL_C).alias("per")).distinct()
+
+
+def search_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many roles an active search finds, and how many of them are new."""
+    where = P.build_where(SearchParams(active="isListed", values={"employmentType": ("Intern", "none")}))
+    groups = role_groups(table(spark, d, "ashby").where(where), "board", "title", "crawled_at")
+    return group_counts(groups, F.lit(NEW_SINCE).cast("timestamp"))
+
+
+def ranked_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Roles by their best score; the score is made of the length of the title and the freshness."""
+    score = F.round(F.length("title") + freshness(F.col("crawled_at"), _now()), 6)
+    rows = table(spark, d, "ashby").where("isListed").select("board", "title", "id", "crawled_at", score.alias("score")).distinct()
+    groups = ranked_groups(rows, "board", "title", "score", "crawled_at", "id", F.lit(NEW_SINCE).cast("timestamp"), [])
+    groups = page_of(groups, card_order("score"), 2, 50)
+    return groups.select("company", "title", "best_score", "n_variants", "any_new", F.array_join("variants.key", ",").alias("keys"), F.col("place").cast("bigint").alias("place"))
+
+
+def card_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """The roles with the spellings, as stored, of their companies and titles."""
+    groups = role_groups(table(spark, d, "simplify").withColumn("at", F.lit(NOW).cast("timestamp")), "company_name", "title", "at")
+    return groups.select("company", "title", F.size("spellings").cast("bigint").alias("n_spellings"))
+
+
+def sponsorship_map(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "simplify").select("id", mapped(F.col("sponsorship"), SPONSORSHIP, fold=False).alias("citizenship")).distinct()
+
+
+def baseline_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "ashby").select("id", F.md5(baseline_text(F.col("title"), F.coalesce("descriptionPlain", F.lit("")))).alias("text")).distinct()
+
+
+def plausible_years(spark: SparkSession, d: str) -> DataFrame:
+    """Class years of the dates that stand at the beginning of a value, where they are plausible."""
+    date, year = X.plausible_years(F.regexp_extract("date_updated", r"^([0-9]{4}-[0-9]{2})", 1), _now())
+    return table(spark, d, "simplify").select("id", date.alias("stated"), year.cast("bigint").alias("class_year")).where("class_year is not null").distinct()
 
 
 def display_names(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +109,7 @@ def html_escaped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_keys(spark: SparkSession, d: str) -> DataFrame:
-    key = X.url_key(F.col("url"), [("apply", r"apply\.listings\.example/j/([0-9]+-[0-9a-fA-F-]+)"), ("old", r"old\.listings\.example/([0-9]+/[0-9]+)")])
+    key = X.url_key(F.col("url"), HOSTS)
     rows = table(spark, d, "simplify").select("url").unionByName(table(spark, d, "labels").select("url")).where("url is not null").distinct()
     return rows.select("url", key["source"].alias("source"), key["source_external_id"].alias("source_external_id"))
 
@@ -163,16 +219,18 @@ def filter_new(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ashby").where(where).select("id").distinct()
 
 
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    """The window of every pay component of each posting; one open window where there is none."""
+    rows = table(spark, d, "ashby").select("id", F.explode_outer("compensation.summaryComponents").alias("c"))
+    return rows.select("id", F.col("c.minValue").alias("low"), F.col("c.maxValue").alias("high"))
+
+
 def filter_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "ashby").select("id", F.get("compensation.summaryComponents", F.lit(0)).alias("c"))
-    rows = rows.select("id", F.col("c.minValue").alias("low"), F.col("c.maxValue").alias("high"))
-    return rows.where(P.window_holds("low", "high", 60.0)).select("id").distinct()
+    return _windows(spark, d).where(P.window_holds("low", "high", 60.0)).select("id").distinct()
 
 
 def filter_windows_overlap(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "ashby").select("id", F.get("compensation.summaryComponents", F.lit(0)).alias("c"))
-    rows = rows.select("id", F.col("c.minValue").alias("low"), F.col("c.maxValue").alias("high"))
-    return rows.where(P.windows_overlap("low", "high", 40.0, 70.0)).select("id").distinct()
+    return _windows(spark, d).where(P.windows_overlap("low", "high", 40.0, 70.0)).select("id").distinct()
 
 
 def filter_keep_null(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +249,7 @@ def location_conditions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enum_maps(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ashby").select("id", mapped(F.col("employmentType"), EMPLOYMENT).alias("employment"), mapped(F.col("workplaceType"), WORKPLACE).alias("workplace")).distinct()
+    return table(spark, d, "ashby").select("id", mapped(F.col("employmentType"), EMPLOYMENT_C).alias("employment"), mapped(F.col("workplaceType"), WORKPLACE_C).alias("workplace")).distinct()
 
 
 def strict_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +258,7 @@ def strict_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_years(spark: SparkSession, d: str) -> DataFrame:
-    text = F.substring("date_updated", 1, 7)
-    return table(spark, d, "simplify").select("id", X.stated_year(text).cast("bigint").alias("class_year")).where("class_year is not null").distinct()
+    return table(spark, d, "simplify").select("id", X.stated_year(F.regexp_extract("date_updated", "[0-9]{4}-[0-9]{2}", 0)).cast("bigint").alias("class_year")).where("class_year is not null").distinct()
 
 
 def canonical_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -239,10 +296,11 @@ QUERIES = {
     "filter_windows_overlap": filter_windows_overlap, "filter_keep_null": filter_keep_null, "filter_curated": filter_curated,
     "location_conditions": location_conditions, "enum_maps": enum_maps, "strict_dates": strict_dates, "class_years": class_years,
     "canonical_terms": canonical_terms, "grounded_titles": grounded_titles, "label_lines": label_lines, "quoted_lines": quoted_lines, "location_parts": location_parts,
+    "pay": pay, "search_counts": search_counts, "ranked_cards": ranked_cards, "card_spellings": card_spellings, "sponsorship_map": sponsorship_map, "baseline_texts": baseline_texts, "plausible_years": plausible_years,
 }
 
 _WORD = lambda c, p: f"coalesce(regexp_matches({c}, '(?i)(?:^|[^A-Za-z0-9_])(?:{p})(?:[^A-Za-z0-9_]|$)'), false)"
-_EMPLOYMENT, _WORKPLACE = _case(f"lower({_clean('employmentType')})", EMPLOYMENT), _case(f"lower({_clean('workplaceType')})", WORKPLACE)
+_EMPLOYMENT, _WORKPLACE = _case(f"lower({_clean('employmentType')})", EMPLOYMENT_C), _case(f"lower({_clean('workplaceType')})", WORKPLACE_C)
 _YEARS = lambda c: f"list_min(list_transform(regexp_extract_all({c}, '{X.YEARS}', 1), lambda n: n::INT))"
 _ROUTE = f"""CASE WHEN {_WORD("title", CASCADE.accept_all[0])} AND {_WORD("title", CASCADE.accept_all[1])} THEN 'accept'
  WHEN ({_WORD("title", CASCADE.reject_any[0])} OR {_WORD("title", CASCADE.reject_any[1])}) AND NOT {_WORD("title", CASCADE.veto)} THEN 'title_drop'
@@ -252,21 +310,43 @@ _GROUPS = f"""SELECT {_clean("board")} AS company, {_clean("title")} AS title, m
 _NOW_SQL, _SINCE = f"TIMESTAMPTZ '{NOW}+00'", f"TIMESTAMPTZ '{NEW_SINCE}+00'"
 _PAGE = lambda order: f"SELECT company, title, (row_number() OVER (ORDER BY {order}) - 1)::BIGINT AS place FROM ({_GROUPS}) ORDER BY place LIMIT 50 OFFSET 50"
 _ROLE = lambda c: f"({_clean(c)}, {_clean('title')})"
-_COMP = "(SELECT id, compensation.summaryComponents[1].minValue AS low, compensation.summaryComponents[1].maxValue AS high FROM ashby)"
-_HTML_BREAKS = r"(?i)<\s*(?:br|/(?:p|li|div|tr|h[1-6]))\s*/?>|<\s*(?:li|p|div|tr|h[1-6])\b[^>]*>"
+_COMP = "(SELECT id, c.minValue AS low, c.maxValue AS high FROM (SELECT id, unnest(compensation.summaryComponents) AS c FROM ashby) UNION ALL SELECT id, NULL, NULL FROM ashby WHERE coalesce(len(compensation.summaryComponents), 0) = 0)"
+_BREAK = X.BREAK.replace("(?i)", "")
+# A value's instant by its shape, for the values that have a zone or a date alone; the rest is held against the truth of problem 4.
+_PAY = "list_filter(compensation.summaryComponents, lambda c: c.compensationType = 'Salary')[1]"
+_AMOUNT = lambda c: f"CASE WHEN isfinite({c}) AND {c} >= 0 AND {c} < 10000000000 THEN round({c}, 2) END"
+
 
 SQL = {
-    "feed_c": f"""SELECT DISTINCT id AS source_external_id, {_clean("board")} AS company, {_clean("title")} AS title, location, department,
- {_EMPLOYMENT} AS employment_type, coalesce({_WORKPLACE}, CASE WHEN isRemote THEN 'remote' END) AS workplace_type, jobUrl AS url FROM ashby WHERE isListed""",
-    "feed_d": f"""SELECT DISTINCT id AS source_external_id, {_clean("company_name")} AS company, {_clean("title")} AS title,
- nullif(array_to_string(list_filter(list_transform(locations, lambda x: {_clean("x")}), lambda x: x <> ''), '; '), '') AS location, {_case("category", CATEGORY_FIELD)} AS cs_field,
- coalesce({_NUMBER.format("date_posted")}, 0) AS published_us FROM simplify
- WHERE active AND is_visible AND id <> '' AND {_clean("company_name")} <> '' AND {_clean("title")} <> '' AND url <> ''""",
+    "feed_c": f"""SELECT DISTINCT 'c' AS source, id AS source_external_id, {_clean("board")} AS company, {_clean("title")} AS title, descriptionHtml AS description_html, descriptionPlain AS description_plain,
+ location, department, {_EMPLOYMENT} AS employment_type, coalesce({_WORKPLACE}, CASE WHEN isRemote THEN 'remote' END) AS workplace_type,
+ {_AMOUNT("c.minValue")} AS comp_min, {_AMOUNT("c.maxValue")} AS comp_max, c.currencyCode AS comp_currency, {_case(f"lower({_clean('c.interval')})", INTERVAL_C)} AS comp_interval, jobUrl AS url
+ FROM (SELECT *, {_PAY} AS c FROM ashby WHERE isListed)""",
+    "feed_d": rf"""WITH t AS (SELECT *, {_told("locations")} AS ls, {_told("terms")} AS ts, {_told("degrees")} AS ds, nullif({_clean("category")}, '') AS cat, {_clean("url")} AS u,
+ regexp_extract(url, '{HOSTS[0][1]}', 1) AS a, regexp_extract(url, '{HOSTS[1][1]}', 1) AS o FROM simplify WHERE active AND is_visible),
+ p AS (SELECT *, nullif(array_to_string(ls, '; '), '') AS loc FROM t),
+ q AS (SELECT *, concat_ws('. ', 'Category: ' || cat, 'Term: ' || nullif(array_to_string(ts, ', '), ''), 'Locations: ' || loc, 'Degrees: ' || nullif(array_to_string(ds, ', '), ''), 'Curated entry without a posting''s text') AS plain FROM p)
+ SELECT DISTINCT 'd' AS source, {_clean("id")} AS source_external_id, {_clean("company_name")} AS company, {_clean("title")} AS title,
+ '<p>' || replace(replace(replace(replace(plain, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</p>' AS description_html, plain AS description_plain, loc AS location,
+ coalesce({_NUMBER.format("date_posted")}, 0) AS published_us, u AS url, CASE WHEN a <> '' THEN 'apply:' || lower(a) WHEN o <> '' THEN 'old:' || lower(o) ELSE '' END AS aliases,
+ 'internship' AS kind, {_case("cat", CATEGORY_FIELD)} AS field, {_case("sponsorship", SPONSORSHIP)} AS citizenship FROM q
+ WHERE u <> '' AND {_clean("id")} <> '' AND {_clean("company_name")} <> '' AND {_clean("title")} <> ''""",
+    "pay": f"""SELECT DISTINCT id, {_AMOUNT("c.minValue")} AS low, {_AMOUNT("c.maxValue")} AS high, {_case(f"lower({_clean('c.interval')})", INTERVAL_C)} AS per FROM (SELECT id, {_PAY} AS c FROM ashby)""",
+    "search_counts": f"""SELECT count(*) AS total, count(*) FILTER (m >= {_SINCE}) AS new_count FROM (SELECT max(crawled_at) AS m FROM ashby
+ WHERE isListed AND (employmentType = 'Intern' OR employmentType IS NULL) AND board IS NOT NULL AND title IS NOT NULL GROUP BY {_clean("board")}, {_clean("title")})""",
+    "ranked_cards": f"""WITH r AS (SELECT DISTINCT board, title, id, crawled_at, round(len(title) + exp(-ln(2.0) * greatest(0, (epoch_us({_NOW_SQL}) - epoch_us(crawled_at)) / 86400000000.0) / 30), 6) AS s FROM ashby WHERE isListed),
+ g AS (SELECT {_clean("board")} AS company, {_clean("title")} AS title, max(s) AS best_score, count(*) AS n_variants, bool_or(crawled_at >= {_SINCE}) AS any_new, string_agg(id, ',' ORDER BY crawled_at DESC, id DESC) AS keys FROM r GROUP BY 1, 2)
+ SELECT *, (row_number() OVER (ORDER BY best_score DESC, company, title) - 1)::BIGINT AS place FROM g ORDER BY place LIMIT 50 OFFSET 50""",
+    "card_spellings": f"SELECT {_clean('company_name')} AS company, {_clean('title')} AS title, count(DISTINCT (company_name, title)) AS n_spellings FROM simplify WHERE company_name IS NOT NULL AND title IS NOT NULL GROUP BY 1, 2",
+    "sponsorship_map": f"SELECT DISTINCT id, {_case('sponsorship', SPONSORSHIP)} AS citizenship FROM simplify",
+    "baseline_texts": "SELECT DISTINCT id, md5(title || chr(10) || coalesce(descriptionPlain, '')[1:6000]) AS text FROM ashby",
+    "plausible_years": """SELECT DISTINCT id, t AS stated, y AS class_year FROM (SELECT id, t, (t[1:4]::INT + (t[6:7]::INT >= 8)::INT)::BIGINT AS y FROM
+ (SELECT id, regexp_extract(date_updated, '^([0-9]{4}-[0-9]{2})', 1) AS t FROM simplify) WHERE t <> '' AND t[6:7]::INT BETWEEN 1 AND 12) WHERE y BETWEEN 2025 AND 2032""",
     "display_names": r"SELECT board, array_to_string(list_transform(string_split(trim(regexp_replace(board, '[-_.\s]+', ' ', 'g')), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS name FROM boards",
     "html_text": rf"""SELECT DISTINCT id, regexp_replace(regexp_replace(regexp_replace(
- replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(descriptionHtml, '{_HTML_BREAKS}', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
+ replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(descriptionHtml, '(?i){_BREAK}', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&#39;', ''''), '&amp;', '&'),
- '[ \t]+', ' ', 'g'), '\n\s*\n\s*', chr(10) || chr(10), 'g'), '{_ENDS}', '', 'g') AS plain FROM ashby""",
+ '{X._BLANKS}', ' ', 'g'), '\n(?: ?\n)+ ?', chr(10) || chr(10), 'g'), '{_ENDS}', '', 'g') AS plain FROM ashby""",
     "html_escaped": "SELECT DISTINCT id, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM ashby",
     "url_keys": r"""SELECT url, CASE WHEN a <> '' THEN 'apply' WHEN o <> '' THEN 'old' END AS source, lower(coalesce(nullif(a, ''), nullif(o, ''))) AS source_external_id
  FROM (SELECT url, regexp_extract(url, 'apply\.listings\.example/j/([0-9]+-[0-9a-fA-F-]+)', 1) AS a, regexp_extract(url, 'old\.listings\.example/([0-9]+/[0-9]+)', 1) AS o
@@ -318,7 +398,7 @@ SQL = {
     "enum_maps": f"SELECT DISTINCT id, {_EMPLOYMENT} AS employment, {_WORKPLACE} AS workplace FROM ashby",
     "strict_dates": "SELECT DISTINCT id, try_cast(date_updated AS DATE)::VARCHAR AS day FROM simplify WHERE regexp_matches(date_updated, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND try_cast(date_updated AS DATE) IS NOT NULL",
     "class_years": """SELECT DISTINCT id, (CASE WHEN t = y THEN y::INT WHEN m BETWEEN 1 AND 12 THEN y::INT + (m >= 8)::INT END)::BIGINT AS class_year FROM (
- SELECT id, t, t[1:4] AS y, try_cast(t[6:7] AS INT) AS m FROM (SELECT id, trim(date_updated[1:7]) AS t FROM simplify) WHERE regexp_matches(t, '^[0-9]{4}(-[0-9]{2})?$'))
+ SELECT id, t, t[1:4] AS y, try_cast(t[6:7] AS INT) AS m FROM (SELECT id, regexp_extract(date_updated, '[0-9]{4}-[0-9]{2}') AS t FROM simplify) WHERE regexp_matches(t, '^[0-9]{4}(-[0-9]{2})?$'))
  WHERE t = y OR m BETWEEN 1 AND 12""",
     "canonical_terms": """SELECT DISTINCT id, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(degrees, lambda x: lower(trim(x))), lambda x: x <> ''),
  lambda x: CASE x WHEN 'phd' THEN 'doctorate' WHEN 'bachelor''s' THEN 'bachelor' WHEN 'master''s' THEN 'master' ELSE x END))), '|') AS degrees FROM simplify""",

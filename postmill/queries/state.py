@@ -19,14 +19,12 @@ NOW = "2026-11-01 00:00:00"
 
 
 def _first_last(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The oldest and the newest snapshot, one row for each id."""
+    """The state that all snapshots but the newest left, each id as it was last, and the newest snapshot."""
     snaps = table(spark, d, "ashby_snapshots")
-    ends = snaps.agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi"))
-    rows = snaps.join(F.broadcast(ends), F.col("snapshot_no").isin(F.col("lo"), F.col("hi")))
+    newest = snaps.agg(F.max("snapshot_no")).first()[0]
     row = F.struct("board", "title", "location", "isListed", "loaded_at")
-    one = rows.groupBy("id", (F.col("snapshot_no") == F.col("lo")).alias("old")).agg(F.max_by(row, F.struct("loaded_at", "title", "location")).alias("r"))
-    pick = lambda old: one.where(F.col("old") == old).select("id", "r.*")
-    return pick(True), pick(False)
+    last = lambda df: df.groupBy("id").agg(F.max_by(row, F.struct("snapshot_no", "loaded_at", "title", "location")).alias("r")).select("id", "r.*")
+    return last(snaps.where(F.col("snapshot_no") < F.lit(newest))), last(snaps.where(F.col("snapshot_no") == F.lit(newest)))
 
 
 def dedup_survivors(spark: SparkSession, d: str) -> DataFrame:
@@ -115,9 +113,10 @@ def not_modified_bump(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "labels").groupBy("id").agg(F.min("label").alias("label"))
-    changes = rows.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.lit("changed")).alias("label"))
-    return L.upsert_or_clear(rows, changes, "id", "label")
+    """The labels, after those delivered again: another label replaces the first one, the same or none clears it."""
+    rows = table(spark, d, "labels").groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other"), F.count("*").alias("n"))
+    changes = rows.where("n > 1").select("id", F.when(F.col("label") != F.col("other"), F.col("other")).alias("label"))
+    return L.upsert_or_clear(rows.select("id", "label"), changes, "id", "label")
 
 
 def fingerprint_stale(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +229,37 @@ def topk_entered(spark: SparkSession, d: str) -> DataFrame:
     return E.entered(a, b, 50)
 
 
+def ranking_projected(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking restricted to the items of even labels, its order kept."""
+    a, _ = _two_lists(spark, d)
+    allowed = table(spark, d, "embeddings").where("label in (0, 2, 4, 6, 8)").select(F.col("vec_id").alias("id"))
+    return E.project(a, allowed).select("id", "rank")
+
+
+def top_relevant(spark: SparkSession, d: str) -> DataFrame:
+    return E.top_label_count(_judged(spark, d), "relevant")
+
+
+def overlap_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Ids by their overlap score, the best first."""
+    return R.global_rank(term_overlap(spark, d).groupBy("id").agg(F.max("score").alias("score")), "score", "id")
+
+
+def active_targets(spark: SparkSession, d: str) -> DataFrame:
+    return L.target_count(table(spark, d, "boards"))
+
+
+def unvectored(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a signature whose vector is of another model or template."""
+    emb = table(spark, d, "embeddings").withColumns({"model": F.when(F.col("vec_id") % 7 > 0, "m"), "template": (F.col("label") % 3).cast("int"), "signature": F.when(F.col("label") > 2, "s")})
+    return emb.where(R.needs_embedding("signature", "embedding", "model", "template", "m", 1)).select("vec_id")
+
+
+def sibling_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "ashby_batches").select("id", "board", "title", "location").distinct()
+    return D.sibling_rows(rows, dedup_key("board", "title", "location"), "id")
+
+
 def field_clustering(spark: SparkSession, d: str) -> DataFrame:
     out = R.mean_pair_cosine(table(spark, d, "embeddings"), "embedding", "label")
     return out.select(F.round("intra", 6).alias("intra"), F.round("inter", 6).alias("inter"))
@@ -252,7 +282,7 @@ def stub_classify(spark: SparkSession, d: str) -> DataFrame:
 
 def stub_embed(spark: SparkSession, d: str) -> DataFrame:
     out = embed(table(spark, d, "documents").select("doc_id", "text"), HashEmbedder(16), ["doc_id"], "text")
-    return out.select("doc_id", F.size("vector").cast("bigint").alias("n"), "error")
+    return out.select("doc_id", F.coalesce(F.size("vector"), F.lit(0)).cast("bigint").alias("n"), "error")
 
 
 
@@ -263,7 +293,7 @@ QUERIES = {
         board_company, merge_keeps, merge_partial, insert_rejects, sighting_bump, not_modified_bump, status_upsert, fingerprint_stale, recompute_diff,
         active_scan, walk_back, cosine_rank, blend_rank, rank_bands, role_fold, excluded_count, term_overlap, embed_text, stratified_counts,
         stratified_sample, holdout_split, precision_at_10, ndcg_at_10, pool_topk, topk_entered, field_clustering, embed_batches, vector_roundtrip,
-        stub_classify, stub_embed,
+        stub_classify, stub_embed, ranking_projected, top_relevant, overlap_ranked, active_targets, unvectored, sibling_keys,
     )
 }
 
@@ -271,11 +301,9 @@ _ENDS = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
 _k = lambda c: f"regexp_replace({c}, '{_ENDS}', '', 'g')"
 _KEY = f"{_k('board')}, {_k('title')}, coalesce({_k('location')}, '')"
 _ENDS_OF = """
-WITH one AS (
-  SELECT *, row_number() OVER (PARTITION BY snapshot_no, id ORDER BY loaded_at DESC, title DESC, location DESC NULLS LAST) AS r FROM ashby_snapshots
-  WHERE snapshot_no IN ((SELECT min(snapshot_no) FROM ashby_snapshots), (SELECT max(snapshot_no) FROM ashby_snapshots))
-), o AS (SELECT *, epoch_us(loaded_at) AS us FROM one WHERE r = 1 AND snapshot_no = (SELECT min(snapshot_no) FROM ashby_snapshots)),
-n AS (SELECT *, epoch_us(loaded_at) AS us FROM one WHERE r = 1 AND snapshot_no = (SELECT max(snapshot_no) FROM ashby_snapshots))
+WITH one AS (SELECT *, epoch_us(loaded_at) AS us, snapshot_no = (SELECT max(snapshot_no) FROM ashby_snapshots) AS newest FROM ashby_snapshots),
+r AS (SELECT *, row_number() OVER (PARTITION BY newest, id ORDER BY snapshot_no DESC, loaded_at DESC, title DESC, location DESC NULLS LAST) AS r FROM one),
+o AS (SELECT * FROM r WHERE r = 1 AND NOT newest), n AS (SELECT * FROM r WHERE r = 1 AND newest)
 """
 _SCORED = """
 WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
@@ -285,7 +313,7 @@ ranked AS (SELECT *, (row_number() OVER (ORDER BY score DESC, vec_id) - 1)::BIGI
 judged AS (SELECT *, CASE WHEN label = 0 THEN 2.0 WHEN label <= 2 THEN 1.0 ELSE 0.0 END AS g FROM ranked)
 """
 _BY_SIM = "(SELECT vec_id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) - 1 AS rank FROM scored)"
-_FP = lambda lang: f"sha256('1' || chr(31) || '=' || kind || chr(31) || {lang})"
+_FP = lambda lang: f"sha256('[1,' || (to_json([kind, {lang}])::VARCHAR)[2:])"
 
 SQL = {
     "dedup_survivors": f"""SELECT min(id) AS id, coalesce(array_to_string(list_sort(list_distinct(list(id)))[2:], ','), '') AS siblings
@@ -313,9 +341,9 @@ SQL = {
     "insert_rejects": f"{_ENDS_OF} SELECT id, 'old' AS origin FROM o UNION ALL SELECT id, 'new' FROM n WHERE id NOT IN (SELECT id FROM o)",
     "sighting_bump": f"{_ENDS_OF} SELECT id, CASE WHEN id IN (SELECT id FROM n) THEN 0::BIGINT ELSE us END AS last_seen FROM o",
     "not_modified_bump": f"{_ENDS_OF} SELECT id, CASE WHEN isListed AND starts_with(board, 'n') THEN 0::BIGINT ELSE us END AS last_seen FROM o",
-    "status_upsert": """SELECT id, CASE WHEN id % 3 = 0 THEN 'changed' ELSE label END AS label FROM (SELECT id, min(label) AS label FROM labels GROUP BY id)
- WHERE NOT (id % 3 = 0 AND id % 2 <> 0)""",
-    "fingerprint_stale": f"SELECT doc_id, {_FP(chr(39) + '-' + chr(39))} AS stored FROM documents WHERE lang IS NULL",
+    "status_upsert": """SELECT id, CASE WHEN n > 1 THEN b ELSE a END AS label FROM (SELECT id, min(label) AS a, max(label) AS b, count(*) AS n FROM labels GROUP BY id)
+ WHERE n = 1 OR a <> b""",
+    "fingerprint_stale": f"SELECT doc_id, {_FP('NULL')} AS stored FROM documents WHERE lang IS NULL",
     "recompute_diff": f"{_ENDS_OF} SELECT n.id, n.title, n.location FROM n JOIN o ON n.id = o.id WHERE n.title IS DISTINCT FROM o.title OR n.location IS DISTINCT FROM o.location",
     "active_scan": "SELECT board, is_active FROM boards WHERE is_active",
     "walk_back": """WITH d AS (SELECT (ts::DATE)::VARCHAR AS day, count(DISTINCT user_id) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 24)
@@ -327,6 +355,21 @@ SQL = {
     "role_fold": f"""{_SCORED}, p AS (SELECT label, (vec_id % 4)::VARCHAR AS place, min(rank) AS r FROM ranked GROUP BY ALL)
  SELECT r.label, arg_min(r.vec_id, r.rank) AS best_key, min(r.rank) AS best_rank, count(*) AS n_variants,
  (SELECT string_agg(place, ',' ORDER BY p.r) FROM p WHERE p.label = r.label) AS locations FROM ranked r GROUP BY r.label""",
+    "stub_embed": "SELECT doc_id, CASE WHEN text <> '' THEN 16::BIGINT ELSE 0 END AS n, CASE WHEN coalesce(text, '') = '' THEN 'empty' END AS error FROM documents",
+    "ranking_projected": f"{_SCORED} SELECT vec_id AS id, (row_number() OVER (ORDER BY rank) - 1)::BIGINT AS rank FROM ranked WHERE label % 2 = 0",
+    "top_relevant": f"{_SCORED} SELECT count(*) FILTER (g = 2) AS n FROM judged WHERE rank < 20",
+    "overlap_ranked": """SELECT id, s AS score, (row_number() OVER (ORDER BY s DESC, id) - 1)::BIGINT AS rank FROM (SELECT id, max(list_contains(coalesce(terms, []), 'Summer 2026')::INT + list_contains(coalesce(terms, []), 'Fall 2026')::INT
+ + CASE WHEN category = 'Software' THEN 0.5::DOUBLE ELSE 0::DOUBLE END) AS s FROM simplify GROUP BY id)""",
+    "active_targets": "SELECT source, count(*) FILTER (is_active) AS n FROM boards GROUP BY source",
+    "unvectored": "SELECT vec_id FROM embeddings WHERE label > 2 AND NOT (embedding IS NOT NULL AND vec_id % 7 > 0 AND label % 3 = 1)",
+    "sibling_keys": f"SELECT f AS survivor, id AS sibling FROM (SELECT id, min(id) OVER (PARTITION BY {_KEY}) AS f FROM (SELECT DISTINCT id, board, title, location FROM ashby_batches)) WHERE id <> f",
+    "stratified_counts": """WITH c AS (SELECT board AS cell, count(DISTINCT id) AS size FROM ashby GROUP BY board), t AS (SELECT sum(size) AS total FROM c),
+ f AS (SELECT cell, size, 200.0 * size / total AS e, least(size, greatest(1, floor(200.0 * size / total)))::BIGINT AS seats FROM c, t),
+ g AS (SELECT *, (200 - sum(seats) OVER ())::BIGINT AS spare, CASE WHEN seats < size THEN row_number() OVER (PARTITION BY seats < size ORDER BY e - floor(e) DESC, cell) END AS r FROM f)
+ SELECT cell, size, CASE WHEN spare > 0 AND r <= spare THEN seats + 1 ELSE seats END AS seats FROM g WHERE (SELECT min(spare) FROM g) >= 0
+ UNION ALL SELECT cell, size, (seats - count(n))::BIGINT FROM (SELECT cell, size, seats, n FROM f LEFT JOIN (
+  SELECT cell AS c2, n FROM (SELECT f.cell, f.seats - n + 1 AS level, n, row_number() OVER (ORDER BY f.seats - n + 1 DESC, f.cell DESC) AS k FROM f, unnest(range(1, f.seats)) u(n)) WHERE k <= (SELECT -min(spare) FROM g)
+ ) x ON x.c2 = f.cell) WHERE (SELECT min(spare) FROM g) < 0 GROUP BY cell, size, seats""",
     "stub_classify": r"""SELECT DISTINCT id, k <> '' AS relevant, nullif(lower(k), '') AS kind
  FROM (SELECT id, regexp_extract(title, '(?i)\b(intern|co-op|apprentice|new grad)\b', 1) AS k FROM ashby)""",
     "excluded_count": """SELECT count(*) FILTER (vec_id % 7 > 0 AND label % 3 = 1) AS usable, count(*) FILTER (NOT (vec_id % 7 > 0 AND label % 3 = 1)) AS excluded FROM embeddings""",

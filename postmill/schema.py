@@ -11,39 +11,37 @@ _EDGE = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z"
 
 KEY = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_external_id", T.StringType())])
 
-LISTING = T.StructType(
-    [
-        T.StructField("source", T.StringType(), False),
-        T.StructField("source_external_id", T.StringType(), False),
-        T.StructField("company", T.StringType(), False),
-        T.StructField("title", T.StringType(), False),
-        T.StructField("description_html", T.StringType()),
-        T.StructField("description_plain", T.StringType()),
-        T.StructField("location", T.StringType()),
-        T.StructField("department", T.StringType()),
-        T.StructField("employment_type", T.StringType()),
-        T.StructField("workplace_type", T.StringType()),
-        T.StructField("published_at", T.TimestampType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("duplicate_keys", T.ArrayType(KEY)),
-    ]
+# What every feed is normalised to.
+LISTING = (
+    "source string, source_external_id string, company string, title string, description_html string, description_plain string, location string, department string, "
+    "employment_type string, workplace_type string, published_at timestamp, application_deadline timestamp, comp_min decimal(12,2), comp_max decimal(12,2), "
+    "comp_currency string, comp_interval string, url string, duplicate_keys array<struct<source:string,source_external_id:string>>, preclassified struct<kind:string,field:string,citizenship:string>"
 )
 
 FEED_A = "id bigint, title string, content string, absolute_url string, company_name string, location struct<name:string>, departments array<struct<name:string>>, first_published string"
-FEED_B = "id string, text string, categories struct<commitment:string,location:string,department:string,team:string>, description string, descriptionPlain string, hostedUrl string, workplaceType string, createdAt bigint"
-FEED_C = "id string, title string, department string, employmentType string, location string, publishedAt string, isListed boolean, isRemote boolean, workplaceType string, jobUrl string, descriptionHtml string, descriptionPlain string"
-FEED_D = "id string, company_name string, title string, url string, locations array<string>, category string, terms array<string>, degrees array<string>, date_posted bigint, active boolean, is_visible boolean"
-
-# The words of two feeds for kinds of employment and of workplace.
-EMPLOYMENT = {
-    "fulltime": "full_time", "full-time": "full_time", "parttime": "part_time", "part-time": "part_time", "intern": "intern",
-    "internship": "intern", "contract": "contract", "temporary": "temporary", "fixed-term": "temporary",
+FEED_B = "id string, text string, categories struct<commitment:string,location:string,department:string,team:string>, description string, descriptionPlain string, hostedUrl string, workplaceType string, salaryRange struct<min:double,max:double,currency:string,interval:string>, createdAt bigint"
+FEED_C = "id string, title string, department string, employmentType string, location string, publishedAt string, isListed boolean, isRemote boolean, workplaceType string, jobUrl string, descriptionHtml string, descriptionPlain string, compensation struct<summaryComponents:array<struct<compensationType:string,interval:string,currencyCode:string,minValue:double,maxValue:double>>>"
+FEED_D = "id string, company_name string, title string, url string, locations array<string>, category string, terms array<string>, degrees array<string>, sponsorship string, date_posted bigint, active boolean, is_visible boolean"
+
+# The words of feeds B and C for kinds of employment, of workplace and of pay interval, and of the
+# curated feed for fields of work and for sponsorship.
+EMPLOYMENT_B = {
+    "full-time": "full_time", "part-time": "part_time", "internship": "intern", "intern": "intern", "contract": "contract",
+    "temporary": "temporary", "fixed-term": "temporary",
 }
-WORKPLACE = {"onsite": "onsite", "on-site": "onsite", "remote": "remote", "hybrid": "hybrid"}
+EMPLOYMENT_C = {"fulltime": "full_time", "parttime": "part_time", "intern": "intern", "contract": "contract", "temporary": "temporary"}
+WORKPLACE_B = {"on-site": "onsite", "onsite": "onsite", "remote": "remote", "hybrid": "hybrid"}
+WORKPLACE_C = {"onsite": "onsite", "remote": "remote", "hybrid": "hybrid"}
+INTERVAL_B = {
+    "hour": "hourly", "hourly": "hourly", "month": "monthly", "monthly": "monthly", "year": "yearly", "yearly": "yearly",
+    "annual": "yearly", "one-time": "one_time", "one_time": "one_time",
+}
+INTERVAL_C = {"1 year": "yearly", "1 month": "monthly", "1 hour": "hourly", "one_time": "one_time", "one time": "one_time"}
 CATEGORY_FIELD = {
     "Software": "swe", "Software Engineering": "swe", "AI/ML/Data": "ml_ai", "Data Science, AI & Machine Learning": "ml_ai",
     "Quant": "quant", "Hardware": "hardware_embedded", "Hardware Engineering": "hardware_embedded", "Product": "product", "Product Management": "product",
 }
+SPONSORSHIP = {"U.S. Citizenship is Required": "us_citizen_required", "Does Not Offer Sponsorship": "no_sponsorship", "Offers Sponsorship": "sponsorship_available"}
 
 
 def clean(c: Column | str) -> Column:
@@ -62,6 +60,12 @@ def one_of(c: Column, allowed: list[str]) -> Column:
     return F.when(c.isin(allowed), c)
 
 
+def amount(c: Column) -> Column:
+    """A number as decimal(12,2); null unless it is finite, not negative and below 10^10."""
+    v = c.cast("double")
+    return F.when(~F.isnan(v) & (v >= 0) & (v < 1e10), v.cast("decimal(12,2)"))
+
+
 def dedup_key(company: str, title: str, location: str) -> list[Column]:
     """Trimmed company and title, and the trimmed location with null as empty: equal for one posting."""
     return [clean(company), clean(title), F.coalesce(clean(location), F.lit(""))]

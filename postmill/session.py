@@ -17,7 +17,7 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) a folder of our own is made.
+    Only where it is unset and the master is local, as in tests, a folder of our own is made; a cluster must set it.
     """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -61,10 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Bytes, at most, of a frame that is broadcast, as its rows are in JSON.
+BROADCAST_BYTES = 16_000_000
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast of ``df`` if it is found to have at most ``max_rows`` rows.
+    """Hint a broadcast of ``df`` if it is found to have at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes.
 
-    ``df`` should already be materialised (``cut``): it is counted, up to the bound, before the
-    hint is given. Beyond the bound the plain frame comes back, so that the join is a shuffle join.
+    ``df`` should already be materialised (``cut``): up to the bound its rows are counted and measured before the
+    hint is given. Beyond the bounds the plain frame comes back, so that the join is a shuffle join.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= BROADCAST_BYTES else df

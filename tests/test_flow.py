@@ -2,12 +2,19 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from postmill.functions.models import HashEmbedder, RuleClassifier
+from postmill.functions.text import url_segment
+from postmill.operators import lifecycle as L
 from postmill.operators.rules import Cascade
+from postmill.plans.discovery import UrlIndex, discover
+from postmill.plans.enrich import ENRICHED, Enrichment
+from postmill.plans.reclassify import reclassify
 from postmill.plans.refresh import LISTINGS, REJECTS, Refresh
 from postmill.plans.pointer import Conflict
 from postmill.plans.store import SnapshotStore
-from postmill.schema import FEED_A, FEED_B, FEED_C, FEED_D
+from postmill.schema import FEED_A, FEED_B, FEED_C, FEED_D, LISTING
 from postmill.sources import feeds as S
 from postmill.streaming.refresh import recent_by_source, stream_refresh
 
@@ -116,17 +123,26 @@ def test_normalisers(spark):
     a = spark.createDataFrame([(1, "T ", "&lt;p&gt;a&lt;/p&gt;", "u", " Co ", ("X",), [("D",)], "2025-01-01T00:00:00Z"), (2, "T", None, "u", None, None, None, None)], FEED_A)
     r = S.normalise_a(a).collect()
     assert [(x.source_external_id, x.company, x.description_plain, x.department) for x in r] == [("1", "Co", "a", "D")]
-    b = spark.createDataFrame([("i", "T", ("Intern", "L", None, "Team"), "d", "p", "u", "unspecified", 1735689600000)], FEED_B).selectExpr("*", "'acme-co' as board")
+    b = spark.createDataFrame([("i", "T", ("Intern", "L", None, "Team"), "d", "p", "u", "unspecified", (1.5, 1e12, "USD", "Annual"), 1735689600000)], FEED_B).selectExpr("*", "'acme-co' as board")
     x = S.normalise_b(b, "board").first()
     assert (x.company, x.employment_type, x.workplace_type, x.department, x.published_at) == ("Acme Co", "intern", None, "Team", dt.datetime(2025, 1, 1))
-    c = spark.createDataFrame([("1", "T", None, "FullTime", None, None, True, True, None, "u", "h", "p"), ("2", "T", None, None, None, None, False, True, None, "u", "h", "p"), ("3", "T", None, None, None, None, True, False, None, "u", "h", "p")], FEED_C).selectExpr("*", "'b' as board")
-    assert {(x.source_external_id, x.employment_type, x.workplace_type) for x in S.normalise_c(c, "board").collect()} == {("1", "full_time", "remote"), ("3", None, None)}
-    d = spark.createDataFrame([("1", "Co", "T<", "u", [" X", None, ""], "Quant", [], [], 1748779200, True, True), ("2", " ", "T", "u", None, None, None, None, None, True, True)], FEED_D)
-    x = S.normalise_d(d).collect()
-    assert len(x) == 1 and (x[0].location, x[0].cs_field, x[0].published_at) == ("X", "quant", dt.datetime(2025, 6, 1, 12)) and "T&lt;" in x[0].description_html
+    assert (float(x.comp_min), x.comp_max, x.comp_currency, x.comp_interval) == (1.5, None, "USD", "yearly")
+    pay = ([("EquityCashValue", "1 YEAR", "USD", None, None), ("Salary", "1 HOUR", "USD", 20.0, float("nan"))],)
+    c = spark.createDataFrame([("1", "T", None, "FullTime", None, "Jan 5, 2025 10:00 AM", True, True, None, "u", "h", "p", pay), ("2", "T", None, None, None, None, False, True, None, "u", "h", "p", None), ("3", "T", None, "Full-time", None, "2025-01-05", True, False, None, "u", "h", "p", None)], FEED_C).selectExpr("*", "'b' as board")
+    zones = spark.createDataFrame([("b", "America/New_York", "mdy")], "board string, tz string, date_style string")
+    got = {x.source_external_id: x for x in S.normalise_c(c, "board", zones).collect()}
+    assert {(i, x.employment_type, x.workplace_type) for i, x in got.items()} == {("1", "full_time", "remote"), ("3", None, None)}
+    assert (got["1"].published_at, got["3"].published_at) == (dt.datetime(2025, 1, 5, 15), dt.datetime(2025, 1, 5, 5))
+    assert (float(got["1"].comp_min), got["1"].comp_max, got["1"].comp_interval, got["3"].comp_min) == (20.0, None, "hourly", None)
+    d = spark.createDataFrame([("1", "Co", "T<", "https://h/j/AB12", [" X", None, ""], "Quant", ["Fall"], [], "Does Not Offer Sponsorship", 1748779200, True, True), ("2", " ", "T", "u", None, None, None, None, None, None, True, True)], FEED_D)
+    x = S.normalise_d(d, [("h", "/j/([0-9A-F]+)")]).collect()
+    assert len(x) == 1 and (x[0].location, x[0].preclassified.field, x[0].preclassified.citizenship, x[0].published_at) == ("X", "quant", "no_sponsorship", dt.datetime(2025, 6, 1, 12))
+    assert x[0].duplicate_keys == [("h", "ab12")] and x[0].description_plain.startswith("Category: Quant. Term: Fall. Locations: X. ")
+    listing = spark.createDataFrame([], LISTING).columns
+    assert all(n(f).columns == listing for n, f in ((S.normalise_a, a), (S.normalise_d, d)))
 
 
-PAGES = {"full": [{"i": n} for n in range(5)], "empty": []}
+PAGES = {"full": [{"i": n} for n in range(5)], "empty": [], "odd": [{"i": 1}, {"j": 2}], "kept": [{"i": 0}], "gap": [{"i": n} for n in range(3)]}
 
 
 def fetch(board, offset, size, validator):
@@ -134,18 +150,100 @@ def fetch(board, offset, size, validator):
         raise OSError("refused")
     if validator == "same":
         return "not_modified", [], validator
+    if board == "gap" and offset == 0:
+        raise OSError("page lost")
     return "ok", PAGES[board][offset : offset + size], "tag"
 
 
 def test_paged_source(spark):
     spark.dataSource.register(S.PagedFeed)
-    reader = spark.read.format("postmill_feed").option("fetcher", "test_flow:fetch").option("page_size", 2)
-    got = reader.option("boards", "full,empty,down,kept").option("validators", json.dumps({"kept": "same"})).load().collect()
+    reader = spark.read.format("postmill_feed").option("fetcher", "test_flow:fetch").option("page_size", 2).option("required", "i")
+    fetched = reader.option("boards", "full,empty,down,kept,odd").option("validators", json.dumps({"kept": "same"})).load().cache()
     by = {}
-    for r in got:
+    for r in fetched.collect():
         by.setdefault(r.board, []).append(r)
-    assert [json.loads(r.payload)["i"] for r in by["full"]] == [0, 1, 2, 3, 4]
-    assert (by["empty"][0].status, by["empty"][0].payload) == ("ok", None) and by["kept"][0].status == "not_modified" and "refused" in by["down"][0].error
+    assert [json.loads(r.payload)["i"] for r in by["full"] if r.payload] == [0, 1, 2, 3, 4] and by["full"][-1].status == "complete"
+    assert (by["empty"][0].status, by["empty"][0].payload) == ("empty", None) and by["kept"][0].status == "not_modified" and "refused" in by["down"][0].error
+    assert by["odd"][-1].status == "error"
+    assert {(r.board, r.validator) for r in S.complete_boards(fetched).collect()} == {("full", "tag"), ("empty", "tag")}
+    full = reader.option("boards", "kept").option("validators", json.dumps({"kept": "same"})).option("full", "true").load()
+    assert {r.status for r in full.collect()} == {"ok", "complete"}
+    skipped = reader.option("boards", "gap").option("pages", "skip").load().collect()
+    assert [json.loads(r.payload)["i"] for r in skipped if r.payload] == [2]
+    code = spark.createDataFrame([("ok", None, 3, 200), ("ok", None, 0, 200), ("error", "x", 0, 500), ("ok", None, 0, 429)], "status string, error string, records int, code int")
+    assert [r[0] for r in code.select(S.board_outcome(*map(F.col, code.columns))).collect()] == ["valid", "empty", "error", "rate_limited"]
+
+
+INDEX = {"a": ['{"url": "https://b.example/One/x"}\nnot json\n{"url": "https://b.example/two"}', None, '{"url": "https://b.example/one"}\n{"no": 1}\n[]']}
+
+
+def fetch_index(crawl, host, page):
+    if host not in INDEX:
+        raise OSError("no such host")
+    if page is None:
+        return len(INDEX[host])
+    if INDEX[host][page] is None:
+        raise OSError("page lost")
+    return INDEX[host][page]
+
+
+def test_discovery(spark, tmp_path):
+    (tmp_path / "crawls.json").write_text('[{"id": "2026-10"}, {"id": "2026-05"}]')
+    assert S.crawl_list(spark, str(tmp_path / "crawls.json")) == ["2026-10", "2026-05"]
+    (tmp_path / "none.json").write_text("[]")
+    with pytest.raises(ValueError):
+        S.crawl_list(spark, str(tmp_path / "none.json"))
+    spark.dataSource.register(UrlIndex)
+    urls = spark.read.format("postmill_index").option("fetcher", "test_flow:fetch_index").option("hosts", "a,z").option("crawl", "2026-10").option("base", "0").load().cache()
+    assert {(r.host, r.page, r.error) for r in urls.where("error is not null").collect()} == {("a", 1, "page lost"), ("z", None, "no such host")}
+    targets = spark.createDataFrame([("s", "one", False, None, None)], "source string, token string, is_active boolean, company string, last_seen_in_discovery_at timestamp")
+    validate = lambda tokens: tokens.withColumn("outcome", F.when(F.col("token") == "two", "empty").otherwise("valid"))
+    now = F.lit("2025-01-01").cast("timestamp")
+    after, asked = discover(spark, urls, url_segment(F.col("url"), ["b.example"]), "s", targets, validate, now)
+    assert {(r.token, r.is_active, r.last_seen_in_discovery_at is None) for r in after.collect()} == {("one", False, False), ("two", True, False)} and asked.count() == 2
+    out = spark.createDataFrame([("s", "one", "boom", None, None), ("s", "two", None, "Two Co", "e1")], "source string, token string, error string, company string, etag string")
+    rows = {r.token: r for r in L.crawl_health(after.withColumns({"last_crawled_at": F.lit(None).cast("timestamp"), "last_error": F.lit(None).cast("string"), "etag": F.lit("e0")}), out, ["source", "token"], now).collect()}
+    assert (rows["one"].last_error, rows["one"].etag, rows["two"].company, rows["two"].etag) == ("boom", "e0", "Two Co", "e1")
+    assert [r.source for r in L.source_scope(after.withColumn("source", F.concat("source", F.when(F.col("is_active"), "1").otherwise("2")))).collect()] == ["s1"]
+    one = spark.createDataFrame([(1, "x")], "id int, v string")
+    assert L.ensured(one.limit(0), one, "id").collect() == L.ensured(one, one.withColumn("v", F.lit("y")), "id").collect() == one.collect()
+
+
+def test_readers_of_evaluations(spark, tmp_path):
+    (tmp_path / "rankings.json").write_text('[{"approach": "a", "rank": 0, "id": 7}]')
+    (tmp_path / "labels.csv").write_text("id,company,title,url,label\n1,a,b,c,relevant\n")
+    assert S.read_eval(spark, str(tmp_path), "rankings").first() == ("a", 0, 7) and S.read_eval(spark, str(tmp_path), "labels").first().label == "relevant"
+    (tmp_path / "cv.txt").write_text("é")
+    (tmp_path / "q.json").write_text('{"types": []}')
+    assert S.read_profile(str(tmp_path / "cv.txt"), str(tmp_path / "q.json")) == ("é", {"types": []})
+
+
+class Signer:
+    def distill(self, title, body):
+        if "Bad" in title:
+            raise ValueError("no answer")
+        return {"skills": ["JS ", "python"], "focus": f" builds {title} "}
+
+
+def test_enrichment_and_reclassification(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    rows = [("c", str(i), "Co", t, "text", "intern", None, i != 3) for i, t in enumerate(["Web Intern", "Bad Intern", "Lab Intern", "Off Intern", "Clerk"])]
+    listings = spark.createDataFrame(rows, "source string, source_external_id string, company string, title string, description_plain string, kind string, field string, is_listed boolean")
+    run = lambda **k: Enrichment(store, Signer(), HashEmbedder(4), "m", 1, aliases={"js": "javascript"}, **k).run(listings)
+    assert run() == {"scanned": 4, "signed": 3, "sign_failed": 1, "embedded": 3, "embed_failed": 0, "up_to_date": 0}
+    assert run() == {"scanned": 4, "signed": 0, "sign_failed": 1, "embedded": 0, "embed_failed": 0, "up_to_date": 3}
+    got = {r.source_external_id: r for r in store.read("enriched", ENRICHED).collect()}
+    assert set(got) == {"0", "2", "4"} and all(len(r.embedding) == 4 and r.embedding_model == "m" for r in got.values()) and "javascript" in got["0"].signature
+    assert run(prompt=2)["signed"] == 3 and {len(r.embedding) for r in store.read("enriched", ENRICHED).collect()} == {4}
+
+    held = spark.createDataFrame([], LISTINGS).unionByName(listings, allowMissingColumns=True).select(*spark.createDataFrame([], LISTINGS).columns)
+    store.publish({"listings": held}, keys={"listings": ["company"]})
+    number = store.number
+    dry = {r.source_external_id: r.outcome for r in reclassify(store, RuleClassifier(), "2025-01-01 00:00:00", dry_run=True).collect()}
+    assert dry == {"0": "kept", "1": "kept", "2": "kept", "4": "delisted"} and store.number == number
+    assert reclassify(store, RuleClassifier(), "2025-01-01 00:00:00").count() == 4
+    assert {r.source_external_id: r.is_listed for r in store.read("listings", LISTINGS).collect()} == {"0": True, "1": True, "2": True, "3": False, "4": False}
+    assert [r.source_external_id for r in store.read("rejects", REJECTS).collect()] == ["4"]
 
 
 def test_readers(spark, tmp_path):
