@@ -25,6 +25,7 @@ CASCADE = Cascade(accept_all=("engineer|scientist|analyst", "intern|co-op"), vet
 _ENDS = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
 _clean = lambda c: f"regexp_replace({c}, '{_ENDS}', '', 'g')"
 _told = lambda c: f"list_filter(list_transform(coalesce({c}, []), lambda x: {_clean('x')}), lambda x: x <> '')"
+_fold = lambda c: f"translate(strip_accents(lower({c})), '\u0142\u00f8\u0111', 'lod')"
 _NUMBER = "CASE WHEN {0} BETWEEN 1704067200 AND 1830297599 THEN {0} * 1000000 WHEN {0} BETWEEN 1704067200000 AND 1830297599999 THEN {0} * 1000 WHEN {0} BETWEEN 1704067200000000 AND 1830297599999999 THEN {0} WHEN {0} BETWEEN 1704067200000000000 AND 1830297599999999999 THEN {0} // 1000 END"
 
 
@@ -281,7 +282,7 @@ def quoted_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def location_parts(spark: SparkSession, d: str) -> DataFrame:
-    terms = dictionary(table(spark, d, "places"), [("USA", "United States"), ("US", "United States")])
+    terms = dictionary(table(spark, d, "places"), [("USA", "United States"), ("US", "United States")], home="United States")
     out = location_facets(table(spark, d, "ashby").select("id", "location").distinct(), ["id"], "location", terms)
     return out.select("id", F.array_join("countries", "|").alias("countries"), F.array_join("regions", "|").alias("regions")).distinct()
 
@@ -406,15 +407,20 @@ SQL = {
  FROM (SELECT *, regexp_extract(title, '([A-Z][a-z]{5,})$', 1) AS w FROM ashby)""",
     "label_lines": "SELECT DISTINCT id, CASE WHEN l IN ('relevant', 'borderline', 'irrelevant') THEN l END AS label FROM (SELECT id, trim(label) AS l FROM labels)",
     "quoted_lines": """SELECT DISTINCT id, '"' || replace(coalesce(company, ''), '"', '""') || '","' || replace(coalesce(title, ''), '"', '""') || '"' AS line FROM labels""",
-    "location_parts": rf"""WITH dict AS (
- SELECT DISTINCT region_code AS term, true AS exact, 0 AS priority, country, region FROM places WHERE region_code IS NOT NULL
- UNION SELECT lower(region), false, 1, country, region FROM places WHERE region IS NOT NULL UNION SELECT lower(country), false, 2, country, NULL FROM places
- UNION SELECT lower(city), false, 3, min(country), min(region) FROM places GROUP BY lower(city) HAVING count(DISTINCT (country, coalesce(region, ''))) = 1
+    "location_parts": rf"""WITH p AS (SELECT *, country = 'United States' AS h FROM places), dict AS (
+ SELECT DISTINCT region_code AS term, true AS exact, CASE WHEN h THEN 2 ELSE 1 END AS priority, country, CASE WHEN h THEN region END AS region FROM p WHERE region_code IS NOT NULL
+ UNION SELECT {_fold("region")}, false, CASE WHEN h THEN 4 ELSE 3 END, country, CASE WHEN h THEN region END FROM p WHERE region IS NOT NULL
+ UNION SELECT {_fold("country")}, false, 5, country, NULL FROM p
+ UNION SELECT {_fold("city")}, false, CASE WHEN min(country) = 'United States' THEN 6 ELSE 7 END, min(country), CASE WHEN min(country) = 'United States' THEN min(region) END FROM p GROUP BY 1 HAVING count(DISTINCT (country, coalesce(region, ''))) = 1
  UNION SELECT x, true, 0, 'United States', NULL FROM (VALUES ('USA'), ('US')) v(x)),
 v AS (SELECT DISTINCT location FROM ashby WHERE location IS NOT NULL),
-t AS (SELECT DISTINCT location, {_clean("x")} AS t FROM (SELECT location, unnest(regexp_split_to_array(p, '[,/()\x{{2013}}\x{{2014}}]|\s-\s')) AS x FROM (SELECT location, unnest(regexp_split_to_array(location, '[;|]|\s+or\s+')) AS p FROM v))),
-h AS (SELECT location, t, priority, country, region FROM t JOIN dict ON lower(t) = lower(term) WHERE t <> '' AND (NOT exact OR t = term)
- QUALIFY row_number() OVER (PARTITION BY location, t ORDER BY priority, country, region NULLS FIRST) = 1),
-g AS (SELECT location, array_to_string(list_sort(list_distinct(list(country))), '|') AS countries, coalesce(array_to_string(list_sort(list_distinct(list(region) FILTER (region IS NOT NULL))), '|'), '') AS regions FROM h GROUP BY location)
-SELECT DISTINCT id, coalesce(countries, '') AS countries, coalesce(regions, '') AS regions FROM ashby LEFT JOIN g USING (location)""",
+s AS (SELECT location, n, {_clean("s")} AS s FROM (SELECT location, unnest(regexp_split_to_array(location, '[;|]|(?i:\s+or\s+)')) AS s, generate_subscripts(regexp_split_to_array(location, '[;|]|(?i:\s+or\s+)'), 1) AS n FROM v)),
+t AS (SELECT DISTINCT location, n, {_clean("x")} AS t FROM (SELECT location, n, unnest(regexp_split_to_array(s, '[,/()\x{{2013}}\x{{2014}}-]')) AS x FROM s)),
+h AS (SELECT location, n, t, country, region FROM t JOIN dict ON CASE WHEN exact THEN t = term ELSE NOT regexp_matches(t, '^[A-Z][A-Z]$') AND {_fold("t")} = term END WHERE t <> ''
+ QUALIFY row_number() OVER (PARTITION BY location, n, t ORDER BY priority, country, region NULLS FIRST) = 1),
+w AS (SELECT location, list_filter(regexp_split_to_array({_fold("s")}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.location = s.location AND h.n = s.n)),
+g AS (SELECT DISTINCT location, array_to_string(w[i:i + k - 1], ' ') AS g FROM w, unnest([1, 2, 3, 4]) a(k), unnest(range(1, len(w) - k + 2)) b(i)),
+f AS (SELECT location, country, region FROM h UNION SELECT location, country, region FROM g JOIN dict ON NOT exact AND g = array_to_string(list_filter(regexp_split_to_array(term, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), ' ')),
+r AS (SELECT location, array_to_string(list_sort(list_distinct(list(country))), '|') AS countries, coalesce(array_to_string(list_sort(list_distinct(list(region) FILTER (region IS NOT NULL))), '|'), '') AS regions FROM f GROUP BY location)
+SELECT DISTINCT id, coalesce(countries, '') AS countries, coalesce(regions, '') AS regions FROM ashby LEFT JOIN r USING (location)""",
 }

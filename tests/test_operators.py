@@ -30,7 +30,7 @@ def test_text_functions(spark):
     assert one(spark, X.html_to_text(v), None) is None
     assert one(spark, X.escape_html(v), '<a href="x">&') == "&lt;a href=&quot;x&quot;&gt;&amp;"
     assert one(spark, X.display_name(v), "acme-big_co.inc") == "Acme Big Co Inc"
-    assert [one(spark, X.min_years(v), t) for t in ("0-3 years", "5+ years or 2 years", "in 2020 years", "none", None)] == [0, 2, None, None, None]
+    assert [one(spark, X.min_years(v), t) for t in ("0-3 years", "5+ years or 2 years", "in 2020 years", "2 — 4 + yearly", "none", None)] == [0, 2, 2020, 2, None, None]
     assert [one(spark, X.stated_year(v), t) for t in ("2026", "2026-08", "2026-07", "2026-13", "x")] == [2026, 2027, 2026, None, None]
     assert str(one(spark, X.strict_date(v), "2025-02-28")) == "2025-02-28" and one(spark, X.strict_date(v), "2025-02-30") is None
     assert one(spark, X.url_segment(v, ["h.example"], ["embed"], "for"), "https://h.example/Embed?for=X") == "embed"
