@@ -119,6 +119,37 @@ def test_stream(spark, tmp_path):
     assert recent_by_source(events, "ts", "source").isStreaming
 
 
+def test_stream_scopes_and_failed_batches(spark, tmp_path):
+    """An empty board delists, one not modified counts as seen, and the rows of a failed batch come again."""
+    schema = DELIVERY + ", status string"
+    folder = str(tmp_path / "in")
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    row = lambda i, co: ("c", i, co, f"Engineer Intern {i}", "X", "text", None, None, None)
+    mark = lambda co, status: ("c", None, co, None, None, None, None, None, status)
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    failures, told = [], []
+    classes = {"fail": False}
+
+    class Run(Refresh):
+        def run(self, *a, **k):
+            if classes["fail"]:
+                raise OSError("lost")
+            return super().run(*a, **k)
+
+    go = lambda: stream_refresh(spark, folder, schema, Run(store, CASCADE, delisting_sources=("c",)), str(tmp_path / "cp"), lambda n: f"2025-01-0{n + 1} 00:00:00", 50, lambda n, e: failures.append(n)).awaitTermination(300)
+    put("a", [row("1", "Acme"), row("2", "Beta"), row("3", "Gamma")])
+    go()
+    classes["fail"] = True
+    put("b", [row("4", "Acme"), row("1", "Acme")])
+    go()
+    assert failures == [1] and store.offsets["batch"] == 0
+    classes["fail"] = False
+    put("c", [mark("Beta", None), mark("Gamma", "not_modified")])
+    go()
+    got = {r.source_external_id: (r.is_listed, r.last_seen.day) for r in store.read("listings", LISTINGS).collect()}
+    assert got == {"1": (True, 3), "2": (False, 1), "3": (True, 3), "4": (True, 3)}
+
+
 def test_normalisers(spark):
     a = spark.createDataFrame([(1, "T ", "&lt;p&gt;a&lt;/p&gt;", "u", " Co ", ("X",), [("D",)], "2025-01-01T00:00:00Z"), (2, "T", None, "u", None, None, None, None)], FEED_A)
     r = S.normalise_a(a).collect()

@@ -4,14 +4,17 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.functions import contracts as C
 from postmill.functions import text as X
 from postmill.functions.models import HashEmbedder, RateGate, RuleClassifier, Transient, classify, embed, with_retry
-from postmill.functions.profile import Conflict, Guarded, LatestSlot, Version, active_profile, needs_new_vector
+from postmill.functions.profile import Conflict, Guarded, LatestSlot, Version, active_profile, baseline_profile_text, needs_new_vector, profile_text, save_answers
 from postmill.operators import dedup as D
 from postmill.operators import lifecycle as L
 from postmill.operators import predicates as P
 from postmill.operators import rank as R
-from postmill.operators.cards import card_order, days_left, page_count, page_of, role_groups
+from postmill.operators import evaluate as E
+from postmill.operators.cards import badge, card_order, days_left, page_count, page_of, ranked_groups, recommendation, role_groups, variant_row
+from postmill.operators.location import dictionary, location_facets
 from postmill.operators.evaluate import allocate, holdout, ndcg_at_k, precision_at_k, stratified_sample
 from postmill.operators.facets import facet_counts, rail
 from postmill.operators.rules import Cascade, counters, decide, route
@@ -241,3 +244,109 @@ def test_small_functions_of_the_survey(spark):
         judged(ranked, labels, 2).collect()
     items = spark.createDataFrame([(1,), (3,), (5,)], "id int")
     assert [r.id for r in retained(labels, ranked, items).collect()] == [3]
+
+
+LANDS = [("Ontaria", "Canadia", "OA", "Torvale"), ("Washfield", "Usonia", "WF", "Seaport"), ("Georgo", "Usonia", "GO", "Atlan"), (None, "Georgo", None, "Tbili"), (None, "Brazilo", None, "São Veldro"), ("Dee Cee", "Usonia", "DC", "Washfield")]
+
+
+def test_locations(spark):
+    places = spark.createDataFrame(LANDS, "region string, country string, region_code string, city string")
+    terms = dictionary(places, [("US", "Usonia"), ("USA", "Usonia")], home="Usonia")
+    values = {
+        "Torvale, OA": (["Canadia"], []), "US-WF-Seaport": (["Usonia"], ["Washfield"]), "sao veldro": (["Brazilo"], []), "Atlan, Georgo": (["Usonia"], ["Georgo"]),
+        "Washfield, D.C.": (["Usonia"], ["Dee Cee"]), "Seaport, Washfield": (["Usonia"], ["Washfield"]), "Remote within the Usonia": (["Usonia"], []), "Greater Seaport area (Hybrid) or Tbili": (["Georgo", "Usonia"], ["Washfield"]),
+        "Remote": ([], []), "OR": ([], []), None: ([], []), "  ": ([], []), "oa": ([], []),
+    }
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, location string")
+    got = {r.id: (r.countries, r.regions) for r in location_facets(df, ["id"], "location", terms, [(r"washfield[ ,]+d[.]? ?c[.]?", "Usonia", "Dee Cee")]).collect()}
+    assert {v: got[i] for i, v in enumerate(values)} == values
+
+
+def test_entities_and_tags(spark):
+    v = F.col("v")
+    cases = {"&amp;lt;": "&lt;", "&#x1F600;&#00065;": "😀A", "&#xD800;&#99999999999;&#;&x": "&#xD800;&#99999999999;&#;&x", "a &AMP; b": "a & b", "": "", "no entity": "no entity", "&#0169;": "©"}
+    assert {t: one(spark, X.decode_entities(v), t) for t in cases} == cases
+    assert one(spark, X.html_to_text(v), "<H2 class='x'>a</H2>\u00a0 b<br/>c<table><tr><td>d</td></tr></table><pre>e</pre>") == "a\n b\nc \n d \n e"
+    assert one(spark, X.fingerprint(1, F.lit("a"), F.lit('b"')) == X.fingerprint(1, F.lit('a","b"')), "x") is False
+    assert one(spark, X.text_fingerprint(v), "x") == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    now = F.lit("2026-01-01").cast("timestamp")
+    assert [one(spark, F.struct(*X.plausible_years(v, now)), t) for t in ("2027-08", " 2025", "2034", "2020-01", "soon")] == [("2027-08", 2028), ("2025", 2025), (None, None), (None, None), (None, None)]
+
+
+class Talker:
+    def __init__(self, *answers):
+        self.answers = list(answers)
+
+    def answer(self, system, user, schema, temperature):
+        got = self.answers.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    def profile(self, text):
+        return {"skills": [{"name": "JS", "evidence": "used  js"}, {"name": "Rust", "evidence": "eager"}], "focus": {"text": " f ", "evidence": self.answers[0]}}
+
+
+def test_contracts(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "integer"}}, "b": {"type": ["string", "null"], "enum": ["x", None]}}}
+    assert C.chat_json(Talker(Transient("429"), '{"a": [1], "b": null}'), "s", "u", schema, sleep=lambda _: None) == {"a": [1], "b": None}
+    for bad in ('{"b": "x"}', '{"a": [true]}', '{"a": ["1"]}', "[]", '{"a": [], "b": 3}'):
+        with pytest.raises(ValueError):
+            C.chat_json(Talker(bad), "s", "u", schema)
+    assert [C.model_for("extract", s, "d") for s in ({}, {"model": "m"}, {"model": "m", "model.extract": "e"})] == ["d", "m", "e"]
+    assert one(spark, C.prompt_text(F.col("v"), ("Title", F.lit("T")), most=3), "abcdef") == "Title: T\n\nDescription:\nabc"
+    raw = spark.createDataFrame([("2027-09", "1990", "maybe", "pursuing", "June 1"), (None, "2028", "no_sponsorship", None, "2026-02-03")], "grad_date_min string, grad_date_max string, citizenship_status string, degree_status string, application_deadline string")
+    got = [r.asDict() for r in C.guarded_extract(raw, F.lit("2026-01-01").cast("timestamp"), ["no_sponsorship"], ["pursuing"]).collect()]
+    assert (got[0]["grad_year_min"], got[0]["grad_date_max"], got[0]["grad_year_max"], got[0]["citizenship_status"], got[0]["application_deadline"]) == (2028, None, None, None, None)
+    assert (got[1]["grad_year_max"], got[1]["application_deadline"].day, got[1]["citizenship_status"]) == (2028, 3, "no_sponsorship")
+    assert C.extract_profile(Talker("Built X"), "I used js and built\n x", {"js": "javascript"}) == {"skills": ["javascript"], "focus": "f", "dropped": ["rust"]}
+    with pytest.raises(ValueError):
+        C.extract_profile(Talker("never said"), "I used js", {})
+    assert profile_text(" did ", ["Intern"], ["swe"], " ml ") == "Experience: did\nSeeking: Intern roles in swe — ml" and profile_text("d", [], [], "").endswith("Seeking: early-career roles")
+    assert baseline_profile_text("abcdef", ["Intern"], "", most=3) == "abc\nIntern"
+    g = Guarded()
+    assert save_answers(g, "a", "b", "p", 0, str) == "none"
+    g.publish(("p", "v"), 0)
+    assert save_answers(g, "a", "a", "q", 1, str) == "plain" and g.value == ("q", "v")
+    assert save_answers(g, "a", "b", "r", 2, str.upper) == "embedded" and g.value == ("r", "B")
+    with pytest.raises(Conflict):
+        save_answers(g, "a", "a", "q", 1, str)
+
+
+@pytest.mark.parametrize("target", [3, 20, 37, 150])
+def test_allocation_by_windows_equals_the_driver(spark, target):
+    sizes = {f"c{i:02d}": n for i, n in enumerate([1, 1, 2, 3, 5, 8, 13, 40, 40, 7, 1, 1])}
+    counted = spark.createDataFrame(list(sizes.items()), "cell string, size bigint")
+    assert {r.cell: r.seats for r in E._allocate_rows(counted, target).collect()} == E.allocate(sizes, target)
+
+
+def test_evaluation_helpers(spark):
+    ranked = spark.createDataFrame([(10, 0, "relevant"), (11, 1, "irrelevant"), (12, 2, "relevant"), (13, 3, None)], "id bigint, rank bigint, label string")
+    assert {(r.id, r["rank"]) for r in E.project(ranked, ranked.where("id in (13, 12)")).collect()} == {(12, 0), (13, 1)}
+    assert E.top_label_count(ranked, "relevant", 2).first().n == 1
+    assert E.with_metadata(ranked.select("id"), spark.createDataFrame([(10, "t")], "id bigint, title string")).where("title is not null").count() == 1
+    t = lambda day: dt.datetime(2025, 1, day)
+    rows = spark.createDataFrame([(1, "A ", "T", 0.5, t(1), None), (2, "A", "T", 0.9, t(2), t(9)), (3, "B", "T", 0.9, t(1), None)], "id bigint, c string, t string, score double, seen timestamp, due timestamp")
+    groups = ranked_groups(rows, "c", "t", "score", "seen", "id", F.lit("2025-01-02").cast("timestamp"), ["due"])
+    got = page_of(groups, card_order("score"), 1, 10).orderBy("place").collect()
+    assert [(r.company, r.best_score, r.any_new, [v.key for v in r.variants]) for r in got] == [("A", 0.9, True, [2, 1]), ("B", 0.9, False, [3])]
+    shown = recommendation(rows, F.lit("2025-01-08 12:00:00").cast("timestamp"), "due", ["due"], ["id"]).orderBy("id").collect()
+    assert [(r.days_left, r.unverified) for r in shown] == [(None, ["due"]), (1, []), (None, ["due"])]
+    assert rows.withColumns({"status": F.lit("saved"), "note": F.lit(None).cast("string")}).select(variant_row(F.lit("2025-01-02").cast("timestamp"), "seen").alias("v")).orderBy("v").first().v == (False, "saved", None)
+    assert one(spark, badge(F.col("v"), F.lit(True), "Selective"), "Co") == "Selective" and one(spark, badge(F.col("v"), F.lit(False), "Selective"), "Co") is None
+    names = spark.createDataFrame([("b", "x"), ("A", "x"), ("a", "x"), ("B", "x")], "company string, title string")
+    assert [r.company for r in names.orderBy(*card_order("company", locale=True)).collect()] == ["a", "A", "b", "B"]
+
+
+def test_collapse_keeps_gained_keys_on_the_first_row(spark):
+    df = spark.createDataFrame([("1", "k", True), ("2", "k", True), ("3", "k", False), ("4", "z", False)], "id string, k string, active boolean")
+    got = {r.id: (r.active, r.gained) for r in D.collapse(df, [F.col("k")], "id", "active").collect()}
+    assert got == {"1": (True, ["2"]), "2": (False, None), "3": (False, None), "4": (False, None)}
+    assert {tuple(r) for r in D.sibling_rows(df, [F.col("k")], "id").collect()} == {("1", "2"), ("1", "3")}
+
+
+def test_search_parameters_of_places_and_years():
+    p = P.parse_params({"country": "us, ca", "gradYear": "2027", "sort": "score", "page": "x"}, {}, codes={"country": "countries"}, year=("gradYear", "low", "high"))
+    assert p.overlaps == {"countries": ("US", "CA")} and p.window == ("low", "high", 2027) and p.sort == "score" and p.page == 1
+    p = P.parse_params({"gradYear": "1990", "sort": "odd"}, {}, year=("gradYear", "low", "high"))
+    assert p.window is None and p.sort == "seen"
