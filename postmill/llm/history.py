@@ -10,7 +10,8 @@ word but for one mistyped spot. Paragraphs that nothing accepted has rule most r
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -62,6 +63,12 @@ def one_slip(a: str, b: str) -> Column:
     return F.expr(f"{words} and {a} <> {b} and ({near})")
 
 
+def _together(*steps: Callable) -> list:
+    """What independent steps give, each of them a job or two that alone would leave cores idle."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
 class AcceptedState:
     """Hashes of everything accepted so far, in bucketed tables under one folder.
 
@@ -117,11 +124,15 @@ class AcceptedState:
         return rows if before is None else rows.where(F.col("batch_no") < before)
 
     def _append(self, frames: dict[str, DataFrame], append: str) -> None:
-        for table, df in frames.items():
+        def write(table: str, df: DataFrame) -> None:
             columns, key = self.TABLES[table]
             names = [c.split()[0] for c in columns.split(", ")]
             df.select(*names, F.lit(append).alias("append")).repartition(self.buckets, *key).write.insertInto(self._name(table))
 
+        for table in frames:
+            self._name(table)  # made known once, before the writers need it
+        _together(*[lambda t=t, df=df: write(t, df) for t, df in frames.items()])
+
     def accept(self, contents: DataFrame, number: int) -> None:
         """Append the contents ``h, g, board, place, words, batch_no, seq`` of a batch; once for each batch."""
         if number in self.document["batches"]:
@@ -247,18 +258,20 @@ def dedup_batch(state: AcceptedState, rows: DataFrame, number: int) -> DataFrame
     asking = likely.select("h", "g", "missing", F.explode(_all_but_one(stored=False)).alias("p")).select("h", "g", "missing", "p.*").where("missing is null or word = missing")
     held = state.table("parts", number).withColumnRenamed("word", "other")
     near = asking.join(held, ["lh", "lg"]).where(slip).select("h", "g", own.alias("owner"))
-    owners = cut(same.unionByName(near).groupBy("h", "g").agg(F.min("owner.seq").alias("owner")) if state.document["appends"] else contents.select("h", "g", F.col("seq").alias("owner")).limit(0))
-    # Contents new in this batch that are one slip apart: an earlier one that is accepted owns a later one.
+    owners = same.unionByName(near).groupBy("h", "g").agg(F.min("owner.seq").alias("owner")) if state.document["appends"] else contents.select("h", "g", F.col("seq").alias("owner")).limit(0)
+    # Contents of this batch that are one slip apart: an earlier one that is accepted owns a later one.
+    early = contents.select(F.explode(_all_but_one(stored=True)).alias("p"), F.col("seq").alias("early")).select("p.lh", "p.lg", F.col("p.word").alias("other"), "early")
+    edges = _asking(contents).join(early, ["lh", "lg"]).where((F.col("early") < F.col("seq")) & slip).select("early", F.col("seq").alias("late")).distinct()
+    owners, edges = _together(lambda: cut(owners), lambda: cut(edges))
     fresh = contents.join(owners.select("h", "g"), ["h", "g"], "left_anti")
-    early = fresh.select(F.explode(_all_but_one(stored=True)).alias("p"), F.col("seq").alias("early")).select("p.lh", "p.lg", F.col("p.word").alias("other"), "early")
-    edges = cut(_asking(fresh).join(early, ["lh", "lg"]).where((F.col("early") < F.col("seq")) & slip).select("early", F.col("seq").alias("late")).distinct())
+    known = contents.join(owners.select("h", "g"), ["h", "g"], "left_semi").select("seq")
+    edges = edges.join(known.withColumnRenamed("seq", "late"), "late", "left_anti").join(known.withColumnRenamed("seq", "early"), "early", "left_anti")
     inner = _owned_within(edges)
     accepted = cut(fresh.join(inner.select(F.col("late").alias("seq")), "seq", "left_anti"))
     inner = contents.select("h", "g", F.col("seq").alias("late")).join(inner, "late").select("h", "g", F.col("early").alias("owner"))
     owner_of = owners.unionByName(inner).unionByName(accepted.select("h", "g", F.col("seq").alias("owner")))
-    cases = cut(keyed.select("h", "g", "seq").join(owner_of, ["h", "g"]).where("seq <> owner").select(F.col("owner").alias("seq_a"), F.col("seq").alias("seq_b")))
-    state.accept(accepted, number)
-    return cases
+    cases = keyed.select("h", "g", "seq").join(owner_of, ["h", "g"]).where("seq <> owner").select(F.col("owner").alias("seq_a"), F.col("seq").alias("seq_b"))
+    return _together(lambda: cut(cases), lambda: state.accept(accepted, number))[0]
 
 
 def _contents(keyed: DataFrame) -> DataFrame:
