@@ -64,6 +64,13 @@ class RuleClassifier:
         return {"relevant": bool(m), "kind": m.group(1).lower() if m else None, "field": None}
 
 
+class RuleSigner:
+    """A deterministic stand-in: the title's words are the skills, the title is the focus."""
+
+    def distill(self, title: str, body: str) -> dict:
+        return {"skills": re.findall(r"[a-z]{3,}", title.lower())[:20] or ["none"], "focus": title[:300] or "none"}
+
+
 class HashEmbedder:
     """A deterministic stand-in: a unit vector from the text's hash."""
 

@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.zones import ABBREVIATIONS, wall_to_utc
+from postmill.functions.zones import ABBREVIATIONS, wall_to_utc, zone_fingerprint
 
 # The instants of bare numbers, in seconds: from 2024-01-01 until before 2028-01-01.
 NUMBER_FROM, NUMBER_UNTIL = 1_704_067_200, 1_830_297_600
-# Longer values name no instant; no known form comes near this.
-MAX_LENGTH = 64
+# No form is longer: a weekday, a long month, date, time and offset take under 60 characters, a zone's name under 40.
+MAX_LENGTH = 160
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -159,7 +159,9 @@ def _instants(values: np.ndarray, mask: str, zones: np.ndarray, styles: np.ndarr
     return np.where(ok, sec * 10**6 + micros, none)
 
 
-def _normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _normalise(batches: Iterator[pd.DataFrame], zones: str) -> Iterator[pd.DataFrame]:
+    if zone_fingerprint() != zones:
+        raise RuntimeError(f"this worker's zone data are {zone_fingerprint()}, the driver's {zones}")
     for pdf in batches:
         out = pd.Series(pd.array([pd.NA] * len(pdf), dtype="Int64"))
         none = np.iinfo(np.int64).min
@@ -184,13 +186,14 @@ def _clean(value: Column) -> Column:
     return F.regexp_replace(value, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z", "")
 
 
-def text_instants(df: DataFrame, keys: list[str], value: str, zone: Column | str, style: Column | str) -> DataFrame:
+def text_instants(df: DataFrame, keys: list[str], value: str, zone: Column | str, style: Column | str, version: str | None = None) -> DataFrame:
     """``keys`` and ``epoch_us`` of each row whose text ``value`` names an instant.
 
     ``zone`` is the zone of values that bear none (null: UTC); ``style`` is ``dmy``, ``mdy`` or
     ``ymd`` and orders a numeric day and month behind which the year stands (``ymd`` and null: month
     first). Defined results: null, empty, blank and over-long values, placeholders, impossible dates
-    or times, unknown zones and unknown shapes give no row; repeated rows give repeated rows.
+    or times, unknown zones and unknown shapes give no row; repeated rows give repeated rows. All workers must have the
+    driver's zone data, else the query fails; ``version`` names a column that says which these were.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     text = _clean(F.col(value))
@@ -201,7 +204,9 @@ def text_instants(df: DataFrame, keys: list[str], value: str, zone: Column | str
         .withColumn("__mask", mask)
     )
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    return rows.mapInPandas(_normalise, f"{types}, epoch_us bigint")
+    zones = zone_fingerprint()
+    out = rows.mapInPandas(lambda batches: _normalise(batches, zones), f"{types}, epoch_us bigint")
+    return out.withColumn(version, F.lit(zones)) if version else out
 
 
 def number_instant(value: Column) -> Column:

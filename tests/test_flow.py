@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from postmill import __main__ as cli
 from postmill.functions.models import HashEmbedder, RuleClassifier
 from postmill.functions.text import url_segment
 from postmill.operators import lifecycle as L
@@ -360,3 +361,26 @@ def test_refresh_fills_rows(spark, tmp_path):
     run.run(delivery(spark, ("c", "1", "Engineer Intern", "France", None)), none, "2025-01-02 00:00:00")  # an edit makes the facets again
     row = store.read("listings", LISTINGS).where("source_external_id = '1'").first()
     assert (row.countries, row.grad_year_min, row.application_deadline.month) == (["FR"], 2027, 3)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    put = lambda name, df: df.write.parquet(str(tmp_path / name)) or str(tmp_path / name)
+    first = put("d", delivery(spark, ("c", "1", "Engineer Intern", "X", None), ("c", "2", "Clerk", "X", None)))
+    scopes = put("s", spark.createDataFrame([("c", "Acme")], "source string, company string"))
+    state = str(tmp_path / "state")
+    cli.main(["--now", "2025-01-01 00:00:00", "refresh", state, first, scopes])
+    assert SnapshotStore(spark, state).read("listings", LISTINGS).count() == 1
+    cli.main(["enrich", state])
+    assert "'embedded': 1" in capsys.readouterr().out
+    cli.main(["reclassify", state, "--dry-run"])
+    assert "kept" in capsys.readouterr().out
+    targets = put("t", spark.createDataFrame([("s", "one", True, None)], "source string, token string, is_active boolean, last_seen_in_discovery_at timestamp"))
+    urls = put("u", spark.createDataFrame([("https://b.example/two/x",)], "url string"))
+    cli.main(["discover", targets, urls, str(tmp_path / "found"), "--host", "b.example", "--source", "s"])
+    assert {r.token for r in spark.read.parquet(str(tmp_path / "found")).collect()} == {"one", "two"}
+    ranked = put("r", spark.createDataFrame([(1, 0), (2, 1)], "id bigint, rank int"))
+    labels = put("l", spark.createDataFrame([(1, "relevant"), (2, "irrelevant")], "id bigint, label string"))
+    cli.main(["eval", "score", ranked, labels, str(tmp_path / "scores"), "--k", "2"])
+    assert tuple(spark.read.parquet(str(tmp_path / "scores")).first()) == (0.5, 0.5, 1.0)
+    cli.main(["eval", "pool", ranked, ranked, "--k", "1"])
+    assert "place" in capsys.readouterr().out
